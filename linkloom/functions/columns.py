@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Characters that surrounding-whitespace removal takes off (fixed values): the
@@ -12,6 +12,22 @@ from pyspark.sql import functions as F
 WHITE = r"\s\x1c-\x1f"
 
 
+_built: dict[tuple, Column] = {}
+
+
+def over(builder: Callable[..., Column], *names: str) -> Column:
+    """``builder`` applied to named columns.
+
+    Building a long expression takes thousands of calls to the JVM, and the
+    result is immutable, so it is kept for the life of the application.
+    """
+    app = SparkSession.active().sparkContext.applicationId
+    key = (app, builder, names)
+    if key not in _built:
+        _built[key] = builder(*[F.col(n) for n in names])
+    return _built[key]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it several times inside ``body``."""
     return F.transform(F.array(value), body)[0]

@@ -39,12 +39,24 @@ AUTHORITY_SCHEMES = (
     "itms-services",
 )
 
+def _one_of(values: tuple[str, ...]) -> str:
+    """Pattern that matches exactly the given values."""
+    return "^(?:" + "|".join(v.replace("+", r"\+").replace("-", r"\-") for v in values) + r")\z"
+
+
 URL_PATTERN = (
     r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)"
     r"(?:\?([^#]*))?(?:#.*)?\z"
 )
 
 
+# Shapes that are canonical, or canonical behind the base's root, as they stand
+# (a path with "/." in it may still hold dot segments).
+_PLAIN = r"[^?#;\x00-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+PLAIN_URL = rf"^https?://[a-z0-9.\-]+(?::[0-9]+)?/{_PLAIN}*+\z"
+PLAIN_PATH = rf"^/(?!/){_PLAIN}*+\z"
+
+
 def _ipv6_pattern() -> str:
     group = "[0-9A-Fa-f]{1,4}"
     octet = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
@@ -103,7 +115,7 @@ def netloc_ok(netloc: Column) -> Column:
 def bare_path(scheme: Column, path: Column) -> Column:
     """The path without the ``;params`` of its last segment."""
     return F.when(
-        path.contains(";") & scheme.isin(*PARAM_SCHEMES),
+        path.contains(";") & scheme.rlike(_one_of(PARAM_SCHEMES)),
         F.regexp_replace(path, r";[^/]*\z", ""),
     ).otherwise(path)
 
@@ -136,7 +148,7 @@ def _assemble(scheme: Column, netloc: Column, path: Column, query: Column) -> Co
         F.when(netloc != "", F.concat(F.lit("//"), netloc, rooted))
         .when(
             path.startswith("//")
-            | (path.startswith("/") & scheme.isin(*AUTHORITY_SCHEMES)),
+            | (path.startswith("/") & scheme.rlike(_one_of(AUTHORITY_SCHEMES))),
             F.concat(F.lit("//"), path),
         )
         .otherwise(path)
@@ -153,7 +165,7 @@ def _assemble(scheme: Column, netloc: Column, path: Column, query: Column) -> Co
 
 def canonical_url(url: Column) -> Column:
     """Canonical form of a URL; null where the authority is malformed."""
-    return let(
+    full = let(
         url_parts(split_ready(strip(url))),
         lambda p: F.when(
             netloc_ok(p["netloc"]),
@@ -165,6 +177,7 @@ def canonical_url(url: Column) -> Column:
             ),
         ),
     )
+    return F.when(url.rlike(PLAIN_URL), url).otherwise(full)
 
 
 def url_domain(url: Column) -> Column:
@@ -200,18 +213,22 @@ def is_valid_canonical(url: Column) -> Column:
 
 def base_parts(base: Column) -> Column:
     """What resolution needs to know about a base URL, computed once per page:
-    ``struct<scheme, netloc, path, query, blank, ok>``."""
-    return let(
-        url_parts(split_ready(base)),
-        lambda p: F.struct(
+    ``struct<scheme, netloc, path, query, blank, ok, root>``."""
+
+    def known(p: Column) -> Column:
+        ok = netloc_ok(p["netloc"])
+        rooted = ok & p["scheme"].isin(*CRAWLABLE_SCHEMES) & (p["netloc"] != "")
+        return F.struct(
             p["scheme"].alias("scheme"),
             p["netloc"].alias("netloc"),
             bare_path(p["scheme"], p["path"]).alias("path"),
             p["query"].alias("query"),
             (base == "").alias("blank"),
-            netloc_ok(p["netloc"]).alias("ok"),
-        ),
-    )
+            ok.alias("ok"),
+            F.when(rooted, F.concat(p["scheme"], F.lit("://"), F.lower(p["netloc"]))).alias("root"),
+        )
+
+    return let(url_parts(split_ready(base)), known)
 
 
 def _remove_dot_segments(path: Column) -> Column:
@@ -251,6 +268,8 @@ def resolve_href(base: Column, href: Column) -> Column:
     """Resolve a stripped, non-empty ``href`` against a ``base_parts`` column
     and canonicalise the result; null where either side is malformed."""
 
+    usable = base["blank"] | base["ok"]
+
     def parts(scheme: Column, netloc: Column, path: Column, query: Column) -> Column:
         return F.struct(
             scheme.alias("scheme"),
@@ -265,7 +284,7 @@ def resolve_href(base: Column, href: Column) -> Column:
         stands_alone = (
             base["blank"]
             | (scheme != base["scheme"])
-            | ~scheme.isin(*RELATIVE_SCHEMES)
+            | ~scheme.rlike(_one_of(RELATIVE_SCHEMES))
         )
         query = F.when(h["query"] == "", base["query"]).otherwise(h["query"])
         target = (
@@ -283,14 +302,21 @@ def resolve_href(base: Column, href: Column) -> Column:
             )
         )
         return F.when(
-            (base["blank"] | base["ok"]) & netloc_ok(h["netloc"]),
+            usable & netloc_ok(h["netloc"]),
             let(
                 target,
                 lambda t: _assemble(t["scheme"], t["netloc"], t["path"], t["query"]),
             ),
         )
 
-    return let(url_parts(split_ready(href)), joined)
+    return (
+        F.when(
+            base["root"].isNotNull() & href.rlike(PLAIN_PATH) & ~href.contains("/."),
+            F.concat(base["root"], href),
+        )
+        .when(usable & href.rlike(PLAIN_URL), href)
+        .otherwise(let(url_parts(split_ready(href)), joined))
+    )
 
 
 def resolve_url(base: Column, href: Column) -> Column:

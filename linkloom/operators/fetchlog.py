@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions import urls as U
+from linkloom.functions.columns import over
 
 SCHEMA = "url STRING, attempt INT, kind STRING, status INT, html STRING"
 
@@ -39,7 +40,7 @@ def fetch_outcome(attempts: DataFrame) -> DataFrame:
         F.when(counted & _terminal(), F.col("attempt")),
     )
     found = attempts.groupBy("url").agg(first.alias("answer"))
-    valid = U.is_valid_url(F.col("url")) & F.col("answer").isNotNull()
+    valid = over(U.is_valid_url, "url") & F.col("answer").isNotNull()
     return found.select(
         "url",
         F.when(valid, F.col("answer.status")).otherwise(F.lit(-1)).alias("status"),
@@ -56,7 +57,7 @@ def retry_budget(attempts: DataFrame) -> DataFrame:
         F.max(F.when(counted, F.col("attempt"))).alias("last"),
     )
     tries = F.when(
-        U.is_valid_url(F.col("url")), F.coalesce("ended", "last", F.lit(0))
+        over(U.is_valid_url, "url"), F.coalesce("ended", "last", F.lit(0))
     ).otherwise(F.lit(0))
     # A wait follows every non-terminal attempt but the last one allowed.
     waits = F.least(

@@ -12,84 +12,114 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import html as H
 from linkloom.functions import urls as U
+from linkloom.functions.columns import let, over
 
 
-def _tagged(snapshot: DataFrame) -> DataFrame:
-    return snapshot.select("url", H.link_tags(F.col("html")).alias("tags"))
-
-
-def _each_href(pages: DataFrame, keep: list[str]) -> DataFrame:
-    # The outer form: for the inner one the optimizer first filters on the size
-    # of the array, and so would scan every page twice.
-    return pages.select(*keep, F.posexplode_outer("hrefs").alias("pos", "href")).filter(
-        "href IS NOT NULL"
-    )
+def _tagged(snapshot: DataFrame, *keep: str) -> DataFrame:
+    return snapshot.select("url", *keep, over(H.link_tags, "html").alias("tags"))
 
 
 def extract_hrefs(snapshot: DataFrame) -> DataFrame:
     """``(src, pos, href)``: stripped, non-empty anchor hrefs in page order."""
-    hrefs = _tagged(snapshot).select(
-        F.col("url").alias("src"), H.anchor_hrefs(F.col("tags")).alias("hrefs")
+    # The outer form: for the inner one the optimizer first filters on the size
+    # of the array, and so would scan every page twice.
+    return (
+        _tagged(snapshot)
+        .select(
+            F.col("url").alias("src"),
+            F.posexplode_outer(over(H.anchor_hrefs, "tags")).alias("pos", "href"),
+        )
+        .filter("href IS NOT NULL")
     )
-    return _each_href(hrefs, ["src"])
 
 
 def page_base_url(snapshot: DataFrame) -> DataFrame:
     """``(src, base)``: the first base href as written, else the page URL."""
     return _tagged(snapshot).select(
         F.col("url").alias("src"),
-        F.coalesce(H.base_href(F.col("tags")), F.col("url")).alias("base"),
-    )
-
-
-def raw_links(snapshot: DataFrame) -> DataFrame:
-    """``(src, pos, href, base)``; ``base`` holds the parsed base URL."""
-    based = _tagged(snapshot).select(
-        F.col("url").alias("src"),
-        U.base_parts(F.coalesce(H.base_href(F.col("tags")), F.col("url"))).alias("base"),
-        H.anchor_hrefs(F.col("tags")).alias("hrefs"),
+        F.coalesce(over(H.base_href, "tags"), F.col("url")).alias("base"),
     )
-    return _each_href(based, ["src", "base"])
 
 
 def _href_fault(href: Column) -> Column:
     """Faults that show in the href itself, before any resolution."""
     prefix = F.lower(F.substring_index(href, ":", 1))
     return F.when(href.startswith("#"), F.lit("fragment")).when(
-        href.contains(":") & ~prefix.isin("", *U.CRAWLABLE_SCHEMES),
-        F.lit("non_http_scheme"),
+        href.contains(":") & ~prefix.rlike("^(?:https?)?$"), F.lit("non_http_scheme")
     )
 
 
-def resolved_links(links: DataFrame) -> DataFrame:
-    """Add ``fault`` (fragment, non_http_scheme, unresolvable, invalid or null)
-    and ``dst``, the canonical target, to raw links."""
-    cheap = links.withColumn("fault", _href_fault(F.col("href")))
-    resolved = cheap.withColumn(
-        "dst",
-        F.when(F.col("fault").isNull(), U.resolve_href(F.col("base"), F.col("href"))),
-    )
-    return resolved.withColumn(
-        "fault",
-        F.coalesce(
-            "fault",
-            F.when(F.col("dst").isNull(), F.lit("unresolvable")).when(
-                ~U.is_valid_canonical(F.col("dst")), F.lit("invalid")
+def _resolve_all(base: Column, hrefs: Column) -> Column:
+    """Each href with its target, in one pass over the array of a page:
+    ``array<struct<href, fault, dst>>``."""
+
+    def one(href: Column) -> Column:
+        early = _href_fault(href)
+        return let(
+            F.struct(
+                href.alias("href"),
+                early.alias("fault"),
+                F.when(early.isNull(), U.resolve_href(base, href)).alias("dst"),
+            ),
+            lambda r: r.withField(
+                "fault",
+                F.coalesce(
+                    r["fault"],
+                    F.when(r["dst"].isNull(), F.lit("unresolvable")).when(
+                        ~U.is_valid_canonical(r["dst"]), F.lit("invalid")
+                    ),
+                ),
             ),
-        ),
-    ).drop("base")
+        )
+
+    return F.transform(hrefs, one)
+
+
+def _resolve_distinct(base: Column, hrefs: Column) -> Column:
+    return _resolve_all(base, F.array_distinct(hrefs))
+
+
+def _page_base(tags: Column, url: Column) -> Column:
+    return U.base_parts(F.coalesce(H.base_href(tags), url))
+
+
+def _based(snapshot: DataFrame, *keep: str) -> DataFrame:
+    return _tagged(snapshot, *keep).select(
+        "url",
+        *keep,
+        over(_page_base, "tags", "url").alias("base"),
+        over(H.anchor_hrefs, "tags").alias("hrefs"),
+    )
+
+
+def page_links(snapshot: DataFrame) -> DataFrame:
+    """``(src, pos, href, fault, dst)`` of every link: its canonical target, and
+    as ``fault`` fragment, non_http_scheme, unresolvable, invalid or null.
+
+    Targets are worked out inside the array, so that filters on the result stay
+    above the explode and nothing is resolved twice.
+    """
+    return (
+        _based(snapshot)
+        .select(
+            F.col("url").alias("src"),
+            F.posexplode_outer(over(_resolve_all, "base", "hrefs")).alias("pos", "link"),
+        )
+        .filter("link IS NOT NULL")
+        .select("src", "pos", "link.*")
+    )
 
 
 def resolve_links(snapshot: DataFrame) -> DataFrame:
     """``(src, pos, href, dst)`` of every link that resolves to a valid URL."""
-    return resolved_links(raw_links(snapshot)).filter("fault IS NULL").drop("fault")
+    return page_links(snapshot).filter("fault IS NULL").drop("fault")
 
 
 def _scopes(requests: DataFrame) -> DataFrame:
     return requests.select(
         "crawl_id",
-        U.url_domain(F.col("seed_url")).alias("domain"),
-        U.scope_prefix(F.col("seed_url")).alias("prefix"),
+        over(U.url_domain, "seed_url").alias("domain"),
+        over(U.scope_prefix, "seed_url").alias("prefix"),
     )
 
 
@@ -97,7 +127,7 @@ def _crawled_pages(snapshot: DataFrame, requests: DataFrame) -> DataFrame:
     """Snapshot pages in the scope of at least one crawl: others can never be
     reached, so their bodies are not scanned."""
     scopes = _scopes(requests).select("domain", "prefix").distinct()
-    pages = snapshot.withColumn("domain", U.url_domain(F.col("url")))
+    pages = snapshot.withColumn("domain", over(U.url_domain, "url"))
     hit = (pages["domain"] == scopes["domain"]) & U.in_scope(pages["url"], scopes["prefix"])
     return pages.join(scopes, hit, "left_semi").drop("domain")
 
@@ -105,8 +135,8 @@ def _crawled_pages(snapshot: DataFrame, requests: DataFrame) -> DataFrame:
 def _links_per_crawl(snapshot: DataFrame, requests: DataFrame) -> DataFrame:
     """Links of each page once per crawl whose scope holds the page."""
     scopes = _scopes(requests)
-    links = resolved_links(raw_links(_crawled_pages(snapshot, requests)))
-    keyed = links.withColumn("domain", U.url_domain(F.col("src")))
+    links = page_links(_crawled_pages(snapshot, requests))
+    keyed = links.withColumn("domain", over(U.url_domain, "src"))
     return keyed.join(scopes, "domain").filter(U.in_scope(F.col("src"), F.col("prefix")))
 
 
@@ -165,35 +195,21 @@ def drop_visited(links: DataFrame, seen: DataFrame, target: str = "dst") -> Data
 
 def adjacency(snapshot: DataFrame, requests: DataFrame, partitions: int) -> DataFrame:
     """``(url, status, ok, fetched_at, links)`` of each page in scope of some
-    crawl, with ``links ARRAY<STRUCT<pos, dst>>`` its distinct targets in page order.
+    crawl; ``links`` are its distinct valid targets in page order.
 
-    One pass over the bodies serves all crawls and all levels. Targets are
-    gathered per page, so a group is never larger than a page. The result is
-    hash-partitioned by URL into ``partitions``; both groupings and a bucketed
-    write of the same width use that one shuffle.
+    One pass over the bodies serves all crawls and all levels. Only the compact
+    result is shuffled, once, into ``partitions`` by URL.
     """
     pages = _crawled_pages(snapshot, requests)
     ok = (F.col("status") != -1) & (F.coalesce(F.col("html"), F.lit("")) != "")
-    tagged = pages.select(
-        "url", "status", ok.alias("ok"), "fetched_at", H.link_tags(F.col("html")).alias("tags")
-    )
-    based = tagged.select(
-        "url",
-        "status",
-        F.coalesce("ok", F.lit(False)).alias("ok"),
-        "fetched_at",
-        U.base_parts(F.coalesce(H.base_href(F.col("tags")), F.col("url"))).alias("base"),
-        F.array_distinct(H.anchor_hrefs(F.col("tags"))).alias("hrefs"),
-    )
-    page = ["url", "status", "ok", "fetched_at"]
-    links = based.select(*page, "base", F.posexplode_outer("hrefs").alias("pos", "href"))
-    links = (
-        resolved_links(links)
-        .select(*page, "pos", F.when(F.col("fault").isNull(), F.col("dst")).alias("dst"))
+    pages = pages.withColumn("ok", F.coalesce(ok, F.lit(False)))
+    resolved = over(_resolve_distinct, "base", "hrefs")
+    valid = F.filter(resolved, lambda r: r["fault"].isNull())
+    return (
+        _based(pages, "status", "ok", "fetched_at")
+        .select(
+            "url", "status", "ok", "fetched_at",
+            F.array_distinct(F.transform(valid, lambda r: r["dst"])).alias("links"),
+        )
         .repartition(partitions, "url")
     )
-    first = links.groupBy(*page, "dst").agg(F.min("pos").alias("pos"))
-    link = F.when(F.col("dst").isNotNull(), F.struct("pos", "dst"))
-    return first.groupBy(*page).agg(
-        F.sort_array(F.collect_list(link)).alias("links")
-    )

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkloom.functions import urls as U
-from linkloom.functions.columns import after, percent_decode_keep_plus, strip
+from linkloom.functions.columns import after, over, percent_decode_keep_plus, strip
 
 SCHEMA = "domain STRING, fetched_at TIMESTAMP, status INT, body STRING"
 RULES_SCHEMA = (
@@ -140,8 +140,8 @@ def robots_allowed(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataF
     is small, and otherwise splits domains with very many URLs.
     """
     by_domain = rules.select(F.col("domain").alias("_domain"), "rules")
-    keyed = urls.withColumn("_domain", U.url_domain(F.col(url)))
-    verdict = rule_verdict(match_target(F.col(url)), F.col("rules"))
+    keyed = urls.withColumn("_domain", over(U.url_domain, url))
+    verdict = rule_verdict(over(match_target, url), F.col("rules"))
     if "respect_robots_txt" in urls.columns:
         verdict = ~F.coalesce("respect_robots_txt", F.lit(True)) | verdict
     return (
@@ -164,7 +164,7 @@ def crawl_delay(domains: DataFrame, rules: DataFrame) -> DataFrame:
 def domain_delays(requests: DataFrame, rules: DataFrame) -> DataFrame:
     """``(crawl_id, domain, delay)``: seconds between requests to a domain, the
     larger of the crawl's own delay and a non-zero robots delay."""
-    domains = requests.withColumn("domain", U.url_domain(F.col("seed_url")))
+    domains = requests.withColumn("domain", over(U.url_domain, "seed_url"))
     own = F.col("politeness_delay")
     robots_delay = F.when(F.col("delay") != 0, F.col("delay").cast("double"))
     return crawl_delay(domains, rules).select(

@@ -6,21 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions import urls as U
+from linkloom.functions.columns import over
 
 
 def scheme_filter(df: DataFrame, url: str = "url") -> DataFrame:
     """Rows whose URL has a crawlable scheme."""
-    return df.filter(U.has_crawlable_scheme(F.col(url)))
+    return df.filter(over(U.has_crawlable_scheme, url))
 
 
 def valid_url_filter(df: DataFrame, url: str = "url") -> DataFrame:
     """Rows whose URL is http(s) with a well-formed authority."""
-    return df.filter(U.is_valid_url(F.col(url)))
+    return df.filter(over(U.is_valid_url, url))
 
 
 def canonicalize_urls(df: DataFrame, url: str = "url", out: str = "url_norm") -> DataFrame:
     """Add the canonical form of a URL column."""
-    return df.withColumn(out, U.canonical_url(F.col(url)))
+    return df.withColumn(out, over(U.canonical_url, url))
 
 
 def canonical_duplicates(df: DataFrame, url: str = "url") -> DataFrame:
@@ -48,15 +49,15 @@ def canonical_duplicates(df: DataFrame, url: str = "url") -> DataFrame:
 
 def domain_rollup(df: DataFrame, url: str = "url") -> DataFrame:
     """Pages per domain."""
-    return df.groupBy(U.url_domain(F.col(url)).alias("domain")).agg(
+    return df.groupBy(over(U.url_domain, url).alias("domain")).agg(
         F.count(F.lit(1)).alias("n_pages")
     )
 
 
 def seed_scope(requests: DataFrame) -> DataFrame:
     """Add ``domain`` and ``scope_path`` of each crawl request."""
-    return requests.withColumn("domain", U.url_domain(F.col("seed_url"))).withColumn(
-        "scope_path", U.scope_path(F.col("seed_url"))
+    return requests.withColumn("domain", over(U.url_domain, "seed_url")).withColumn(
+        "scope_path", over(U.scope_path, "seed_url")
     )
 
 
@@ -69,10 +70,10 @@ def scope_join(urls: DataFrame, requests: DataFrame, url: str = "url") -> DataFr
     """
     scopes = requests.select(
         "crawl_id",
-        U.url_domain(F.col("seed_url")).alias("domain"),
-        U.scope_prefix(F.col("seed_url")).alias("prefix"),
+        over(U.url_domain, "seed_url").alias("domain"),
+        over(U.scope_prefix, "seed_url").alias("prefix"),
     )
-    keyed = urls.select(F.col(url).alias("url"), U.url_domain(F.col(url)).alias("domain"))
+    keyed = urls.select(F.col(url).alias("url"), over(U.url_domain, url).alias("domain"))
     return (
         keyed.join(scopes, "domain")
         .filter(U.in_scope(F.col("url"), F.col("prefix")))

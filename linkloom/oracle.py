@@ -407,7 +407,8 @@ ORACLE: dict[str, str] = {
         SELECT host AS domain, CASE WHEN first % 4 = 1 THEN n % 5 END AS delay FROM h""",
     "domain_delays": f"""WITH {PAGES}
         SELECT first AS crawl_id, host AS domain,
-               greatest(1.5::DOUBLE, CASE WHEN first % 4 = 1 THEN n % 5 ELSE 0 END::DOUBLE) AS delay
+               greatest(1.5::DOUBLE, CASE WHEN first % 4 = 1 AND first % 7 <> 0 THEN n % 5
+                                          ELSE 0 END::DOUBLE) AS delay
         FROM h""",
     "robots_fetch_plan": _FETCHES,
     "robots_fetch_plan_spread": _FETCHES,

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions import urls as U
+from linkloom.functions.columns import over
 from linkloom.operators.links import adjacency
 from linkloom.operators.robots import match_target, robots_rules, rule_verdict
 from linkloom.operators.running import running
@@ -24,7 +25,7 @@ from linkloom.sources.requests import with_defaults
 
 _LEVEL_SCHEMA = (
     "crawl_id BIGINT, url STRING, ord ARRAY<INT>, parent STRING, state STRING, "
-    "status_code INT, crawled_at TIMESTAMP, links ARRAY<STRUCT<pos: INT, dst: STRING>>, "
+    "status_code INT, crawled_at TIMESTAMP, links ARRAY<STRING>, "
     "max_depth INT, prefix STRING, respect_robots_txt BOOLEAN"
 )
 _CUT_SCHEMA = "crawl_id BIGINT, cut ARRAY<INT>"
@@ -87,8 +88,8 @@ def crawl(requests: DataFrame, snapshot: DataFrame, robots: DataFrame | None = N
     spark = requests.sparkSession
     requests = written(
         with_defaults(requests)
-        .withColumn("url", U.canonical_url(F.col("seed_url")))
-        .withColumn("prefix", U.scope_prefix(F.col("seed_url"))),
+        .withColumn("url", over(U.canonical_url, "seed_url"))
+        .withColumn("prefix", over(U.scope_prefix, "seed_url")),
         "requests",
     )
     rules = None
@@ -205,7 +206,7 @@ def _fetch(
     if rules is None:
         checked = frontier.withColumn("allowed", F.lit(True))
     else:
-        verdict = ~F.col("respect_robots_txt") | rule_verdict(match_target(F.col("url")), F.col("rules"))
+        verdict = ~F.col("respect_robots_txt") | rule_verdict(over(match_target, "url"), F.col("rules"))
         # All URLs of a crawl are on the domain of its seed.
         checked = (
             frontier.withColumn("_domain", F.substring_index("prefix", "/", 1))
@@ -266,14 +267,14 @@ def _expand(pages: DataFrame) -> DataFrame:
             "max_depth",
             "prefix",
             "respect_robots_txt",
-            F.explode("links").alias("link"),
+            F.posexplode("links").alias("pos", "dst"),
         )
-        .filter(U.in_scope(F.col("link.dst"), F.col("prefix")))
+        .filter(U.in_scope(F.col("dst"), F.col("prefix")))
         .select(
             "crawl_id",
-            F.col("link.dst").alias("url"),
+            F.col("dst").alias("url"),
             F.struct(
-                F.array_append("ord", F.col("link.pos")).alias("ord"),
+                F.array_append("ord", F.col("pos")).alias("ord"),
                 F.col("url").alias("parent"),
                 "max_depth",
                 "prefix",

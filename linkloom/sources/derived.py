@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions import urls as U
+from linkloom.functions.columns import over
 from linkloom.operators.running import running
 from linkloom.sources.snapshot import page_snapshot
 
@@ -39,7 +40,7 @@ def _anchors(hrefs: Column) -> Column:
 
 def host_requests(pages: DataFrame) -> DataFrame:
     """One crawl per host from its root, with limits that vary by host."""
-    hosts = pages.groupBy(U.url_domain(F.col("url")).alias("host")).agg(
+    hosts = pages.groupBy(over(U.url_domain, "url").alias("host")).agg(
         F.min("page_id").alias("crawl_id")
     )
     return hosts.select(
@@ -67,7 +68,7 @@ def narrow_requests(pages: DataFrame) -> DataFrame:
 
 def noisy_pages(pages: DataFrame) -> DataFrame:
     """Pages with awkward links added: every fifth one also has a base tag."""
-    host = U.url_domain(F.col("url"))
+    host = over(U.url_domain, "url")
     scheme = F.substring_index("url", ":", 1)
     base = F.when(
         F.col("page_id") % 5 == 0,
@@ -94,7 +95,7 @@ def host_web(pages: DataFrame) -> DataFrame:
     the host's root page links its first one. The numbering is a running count
     that spreads over many tasks for a host with very many pages.
     """
-    keyed = pages.withColumn("host", U.url_domain(F.col("url")))
+    keyed = pages.withColumn("host", over(U.url_domain, "url"))
     ranked = running(
         keyed.select("host", "page_id", "url"),
         ["host"],
@@ -125,7 +126,7 @@ def host_web(pages: DataFrame) -> DataFrame:
 
 def host_robots(pages: DataFrame) -> DataFrame:
     """robots.txt of each host: missing, two kinds of bodies, or a server error."""
-    hosts = pages.groupBy(U.url_domain(F.col("url")).alias("domain")).agg(
+    hosts = pages.groupBy(over(U.url_domain, "url").alias("domain")).agg(
         F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")
     )
     kind = F.col("first") % 4

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions import urls as U
+from linkloom.functions.columns import over
 
 SCHEMA = "url STRING, status INT, html STRING, fetched_at TIMESTAMP"
 
@@ -27,7 +28,7 @@ def page_snapshot(pages: DataFrame) -> DataFrame:
     """
     status = F.col("status").cast("int") if "status" in pages.columns else F.lit(200)
     keyed = pages.select(
-        U.canonical_url(F.col("url")).alias("url"),
+        over(U.canonical_url, "url").alias("url"),
         "page_id",
         status.alias("status"),
         "html",
@@ -40,7 +41,7 @@ def page_snapshot(pages: DataFrame) -> DataFrame:
 def snapshot_from_outcomes(outcomes: DataFrame) -> DataFrame:
     """Snapshot from resolved fetch attempts (one outcome per URL)."""
     return outcomes.select(
-        U.canonical_url(F.col("url")).alias("url"),
+        over(U.canonical_url, "url").alias("url"),
         F.col("status").cast("int").alias("status"),
         "html",
         _fetched_at(outcomes),

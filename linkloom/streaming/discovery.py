@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from linkloom.functions import urls as U
-from linkloom.operators.links import raw_links, resolved_links
+from linkloom.functions.columns import over
+from linkloom.operators.links import page_links
 from linkloom.session import new_path
 
 PAGES_SCHEMA = "page_id BIGINT, url STRING, html STRING"
@@ -30,15 +31,15 @@ def discovered_links(pages: DataFrame, requests: DataFrame) -> DataFrame:
     The scope table is static and joined per micro-batch. What was seen is keyed
     state; it never expires, just as a crawl never forgets a URL.
     """
-    keyed = pages.select(U.canonical_url(F.col("url")).alias("url"), "html")
+    keyed = pages.select(over(U.canonical_url, "url").alias("url"), "html")
     scopes = requests.select(
         "crawl_id",
-        U.url_domain(F.col("seed_url")).alias("domain"),
-        U.scope_prefix(F.col("seed_url")).alias("prefix"),
+        over(U.url_domain, "seed_url").alias("domain"),
+        over(U.scope_prefix, "seed_url").alias("prefix"),
     )
-    links = resolved_links(raw_links(keyed)).filter("fault IS NULL")
+    links = page_links(keyed).filter("fault IS NULL")
     return (
-        links.withColumn("domain", U.url_domain(F.col("src")))
+        links.withColumn("domain", over(U.url_domain, "src"))
         .join(scopes, "domain")
         .filter(U.in_scope(F.col("src"), F.col("prefix")) & U.in_scope(F.col("dst"), F.col("prefix")))
         .select("crawl_id", F.col("dst").alias("url"))
