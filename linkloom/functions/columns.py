@@ -34,8 +34,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Remove all surrounding white space, not only blanks."""
-    return F.regexp_replace(text, rf"(?U)^[{WHITE}]+|[{WHITE}]+\z", "")
+    """Remove all surrounding white space, not only blanks.
+
+    Text that starts and ends with visible ASCII is left as it is, unscanned.
+    """
+    clean = F.ascii(text).between(0x21, 0x7E) & F.ascii(F.substr(text, F.lit(-1))).between(
+        0x21, 0x7E
+    )
+    return F.when(clean, text).otherwise(
+        F.regexp_replace(text, rf"(?U)^[{WHITE}]+|[{WHITE}]+\z", "")
+    )
 
 
 def after(text: Column, mark: str) -> Column:

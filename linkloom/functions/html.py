@@ -78,30 +78,45 @@ def decode_entities(text: Column) -> Column:
             .otherwise(F.coalesce(named[F.regexp_extract(token, "^&(.*);$", 1)], token))
         )
 
-    tokens = F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))
-    return F.when(text.contains("&"), F.array_join(F.transform(tokens, one), "")).otherwise(text)
+    def decoded(value: Column) -> Column:
+        tokens = F.regexp_extract_all(value, F.lit(_REFERENCE), F.lit(0))
+        return F.when(value.contains("&"), F.array_join(F.transform(tokens, one), "")).otherwise(
+            value
+        )
+
+    return let(text, decoded)
 
 
 def tag_href(tag: Column) -> Column:
     """Decoded href value of a ``link_tags`` entry."""
-    return let(
+    # A tag ends with its value, so in the usual spelling it is a plain slice.
+    usual = 'a href="'
+    quoted = let(
         F.regexp_extract(tag, _TAG_HREF, 1),
-        lambda v: decode_entities(
-            F.when(
-                v.startswith('"') | v.startswith("'"),
-                F.substr(v, F.lit(2), F.length(v) - 2),
-            ).otherwise(v)
-        ),
+        lambda v: F.when(
+            v.startswith('"') | v.startswith("'"),
+            F.substr(v, F.lit(2), F.length(v) - 2),
+        ).otherwise(v),
+    )
+    return decode_entities(
+        F.when(
+            tag.startswith(usual),
+            F.substr(tag, F.lit(len(usual) + 1), F.length(tag) - (len(usual) + 1)),
+        ).otherwise(quoted)
     )
 
 
+def _is_base(tag: Column) -> Column:
+    return F.lower(F.substr(tag, F.lit(1), F.lit(2))) == "ba"
+
+
 def anchor_hrefs(tags: Column) -> Column:
     """Stripped, non-empty href values of the anchors, in document order."""
-    anchors = F.filter(tags, lambda t: F.lower(F.substr(t, F.lit(1), F.lit(2))).rlike(r"^a[\s/]"))
-    return F.filter(F.transform(anchors, lambda t: strip(tag_href(t))), lambda h: h != "")
+    anchors = F.filter(tags, lambda t: ~_is_base(t))
+    return F.filter(F.transform(anchors, lambda t: let(tag_href(t), strip)), lambda h: h != "")
 
 
 def base_href(tags: Column) -> Column:
     """href of the first base tag as written, or null."""
-    bases = F.filter(tags, lambda t: F.lower(F.substr(t, F.lit(1), F.lit(4))) == "base")
+    bases = F.filter(tags, _is_base)
     return F.when(F.size(bases) > 0, tag_href(F.get(bases, F.lit(0))))

@@ -51,30 +51,30 @@ def _href_fault(href: Column) -> Column:
 
 def _resolve_all(base: Column, hrefs: Column) -> Column:
     """Each href with its target, in one pass over the array of a page:
-    ``array<struct<href, fault, dst>>``."""
+    ``array<struct<href, early, dst>>``; ``early`` is a fault of the href."""
 
     def one(href: Column) -> Column:
-        early = _href_fault(href)
         return let(
-            F.struct(
+            _href_fault(href),
+            lambda early: F.struct(
                 href.alias("href"),
-                early.alias("fault"),
+                early.alias("early"),
                 F.when(early.isNull(), U.resolve_href(base, href)).alias("dst"),
             ),
-            lambda r: r.withField(
-                "fault",
-                F.coalesce(
-                    r["fault"],
-                    F.when(r["dst"].isNull(), F.lit("unresolvable")).when(
-                        ~U.is_valid_canonical(r["dst"]), F.lit("invalid")
-                    ),
-                ),
-            ),
         )
 
     return F.transform(hrefs, one)
 
 
+def _link_fault(early: Column, dst: Column) -> Column:
+    return F.coalesce(
+        early,
+        F.when(dst.isNull(), F.lit("unresolvable")).when(
+            ~U.is_valid_canonical(dst), F.lit("invalid")
+        ),
+    )
+
+
 def _resolve_distinct(base: Column, hrefs: Column) -> Column:
     return _resolve_all(base, F.array_distinct(hrefs))
 
@@ -106,7 +106,13 @@ def page_links(snapshot: DataFrame) -> DataFrame:
             F.posexplode_outer(over(_resolve_all, "base", "hrefs")).alias("pos", "link"),
         )
         .filter("link IS NOT NULL")
-        .select("src", "pos", "link.*")
+        .select(
+            "src",
+            "pos",
+            "link.href",
+            _link_fault(F.col("link.early"), F.col("link.dst")).alias("fault"),
+            "link.dst",
+        )
     )
 
 
@@ -204,7 +210,7 @@ def adjacency(snapshot: DataFrame, requests: DataFrame, partitions: int) -> Data
     ok = (F.col("status") != -1) & (F.coalesce(F.col("html"), F.lit("")) != "")
     pages = pages.withColumn("ok", F.coalesce(ok, F.lit(False)))
     resolved = over(_resolve_distinct, "base", "hrefs")
-    valid = F.filter(resolved, lambda r: r["fault"].isNull())
+    valid = F.filter(resolved, lambda r: U.is_valid_canonical(r["dst"]))
     return (
         _based(pages, "status", "ok", "fetched_at")
         .select(

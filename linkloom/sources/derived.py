@@ -212,7 +212,12 @@ def shop_web(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = F.lit(200)
     region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
-    customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    # Pages are much larger than the rows they come from: spread the keys first.
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    customer = customer.repartition(width, "c_custkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    orders = orders.repartition(width, "o_orderkey")
     r, n = F.col("r_regionkey"), F.col("n_nationkey")
     c, o = F.col("c_custkey"), F.col("o_orderkey")
     root = region.filter("r_regionkey = 0").select(
