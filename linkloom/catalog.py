@@ -16,7 +16,7 @@ from linkloom.operators import fetchlog, links, politeness, robots
 from linkloom.operators import urls as url_jobs
 from linkloom.plans import report
 from linkloom.plans.crawl import CrawlRun, crawl, links_found
-from linkloom.session import new_path, written
+from linkloom.session import new_path, spread
 from linkloom.sources import derived as D
 from linkloom.sources import runs as store
 from linkloom.sources.requests import validate_requests
@@ -28,7 +28,8 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    """Register under the function's name, without a trailing ``_query``."""
+    QUERIES[fn.__name__.removesuffix("_query")] = fn
     return fn
 
 
@@ -37,11 +38,11 @@ def _pages(spark, sf):
 
 
 def _snapshot(spark, sf):
-    return page_snapshot(_pages(spark, sf))
+    return page_snapshot(spread(_pages(spark, sf)))
 
 
 def _noisy(spark, sf):
-    return page_snapshot(D.noisy_pages(_pages(spark, sf)))
+    return page_snapshot(D.noisy_pages(spread(_pages(spark, sf))))
 
 
 # -- finished crawls, shared by the queries about them --------------------------
@@ -81,14 +82,14 @@ def _ints(df: DataFrame, *names: str) -> DataFrame:
 
 
 @query
-def page_snapshot_rows(spark, sf):
+def page_snapshot_query(spark, sf):
     return _snapshot(spark, sf).select(
         "url", F.col("status").cast("bigint").alias("status"), F.md5("html").alias("html_md5")
     )
 
 
 @query
-def validated_requests(spark, sf):
+def validate_requests_query(spark, sf):
     checked = validate_requests(D.raw_requests(spark, sf))
     return _ints(
         checked.select("crawl_id", "seed_url", "max_depth", "max_pages", "error"),
@@ -435,17 +436,17 @@ def _records(run: CrawlRun):
 
 
 @query
-def crawl_shop_pages(spark, sf):
+def crawl_query(spark, sf):
     return _records(_shop(spark, sf))
 
 
 @query
-def crawl_shop_failed(spark, sf):
+def crawl_failed(spark, sf):
     return _ints(_shop(spark, sf).failed().drop("ord"), "depth")
 
 
 @query
-def crawl_hosts_pages(spark, sf):
+def crawl_hosts_query(spark, sf):
     return _records(_hosts(spark, sf))
 
 
@@ -478,7 +479,7 @@ def page_cap(spark, sf):
 
 
 @query
-def links_found_by_page(spark, sf):
+def links_found_query(spark, sf):
     return links_found(_shop(spark, sf))
 
 
@@ -542,6 +543,6 @@ def crawl_report(spark, sf):
 
 
 @query
-def stream_discovery(spark, sf):
+def stream_link_discovery_query(spark, sf):
     requests = D.host_requests(_pages(spark, sf))
     return stream_link_discovery(spark, page_stream(spark, sf, "pages.parquet"), requests)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.operators.running import running
+from linkloom.operators.running import largest_group, running
 from linkloom.session import written
 
 LOG_SCHEMA = "domain STRING, seq BIGINT, arrival TIMESTAMP"
@@ -15,7 +15,7 @@ ROBOTS_TTL = 3600
 DEFAULT_DELAY = 1.0
 
 # Largest number of distinct arrivals of one domain folded in a single row.
-FOLD_ROWS = 200_000
+FOLD_ROWS = 20_000
 
 
 def politeness_schedule(
@@ -42,13 +42,10 @@ def politeness_schedule(
         delay.alias("_delay"),
     )
     order = ["_at", "seq"]
-    counted = running(
-        log, ["domain"], order, {"_i": ("sum", F.lit(1))}, before=True, window_rows=window_rows
-    )
+    size = {"largest": largest_group(request_log, ["domain"]), "window_rows": window_rows}
+    counted = running(log, ["domain"], order, {"_i": ("sum", F.lit(1))}, before=True, **size)
     slack = F.col("_at") - F.col("_i") * F.col("_delay")
-    peaks = running(
-        counted, ["domain"], order, {"_peak": ("max", slack)}, window_rows=window_rows
-    )
+    peaks = running(counted, ["domain"], order, {"_peak": ("max", slack)}, **size)
     start = F.col("_peak") + F.col("_i") * F.col("_delay")
     return peaks.select(
         "domain",
@@ -85,31 +82,31 @@ def robots_fetch_plan(
         fetches = _fold(small, ttl).unionByName(
             _follow(points.join(large, "domain", "left_semi"), ttl)
         )
-    hits = points.join(fetches, ["domain", "at"], "left_semi").select(
-        "domain", "seq", F.lit(True).alias("fetches")
-    )
+    hits = fetches.withColumn("fetches", F.lit(True))
     return request_log.join(hits, ["domain", "seq"], "left").withColumn(
         "fetches", F.coalesce("fetches", F.lit(False))
     )
 
 
 def _fold(points: DataFrame, ttl: int) -> DataFrame:
-    """Fetch times of domains whose points fit in one row."""
+    """``(domain, seq)`` of the fetches of domains whose points fit in one row."""
     step = ttl * 1_000_000
-    times = points.groupBy("domain").agg(F.array_sort(F.collect_list("at")).alias("times"))
+    times = points.groupBy("domain").agg(
+        F.array_sort(F.collect_list(F.struct("at", "seq"))).alias("times")
+    )
     fetched = F.aggregate(
         "times",
-        F.array().cast("array<bigint>"),
+        F.array().cast("array<struct<at: bigint, seq: bigint>>"),
         lambda kept, t: F.when(
-            (F.size(kept) == 0) | (t - F.try_element_at(kept, F.lit(-1)) >= step),
+            (F.size(kept) == 0) | (t["at"] - F.try_element_at(kept, F.lit(-1))["at"] >= step),
             F.array_append(kept, t),
         ).otherwise(kept),
     )
-    return times.select("domain", F.explode(fetched).alias("at"))
+    return times.select("domain", F.explode(fetched).alias("t")).select("domain", "t.seq")
 
 
 def _follow(points: DataFrame, ttl: int) -> DataFrame:
-    """Fetch times of large domains: follow "next point at least ttl later"
+    """``(domain, seq)`` of the fetches of large domains: follow "next point at least ttl later"
     from the first point, doubling the step length each round."""
     step = ttl * 1_000_000
     # Merge points with the times "ttl later"; the next point at or after such a
@@ -145,4 +142,4 @@ def _follow(points: DataFrame, ttl: int) -> DataFrame:
             ),
             "jumps",
         )
-    return reached
+    return points.join(reached, ["domain", "at"], "left_semi").select("domain", "seq")

@@ -308,9 +308,9 @@ outcome AS (
 
 ORACLE: dict[str, str] = {
     # sources and sinks
-    "page_snapshot_rows": f"""WITH {PAGES}
+    "page_snapshot": f"""WITH {PAGES}
         SELECT src AS url, 200::BIGINT AS status, md5(html) AS html_md5 FROM p""",
-    "validated_requests": """
+    "validate_requests": """
         WITH r AS (SELECT c_custkey AS c, c_custkey % 12 AS k FROM customer),
         s AS (SELECT *, CASE
             WHEN k = 0 THEN '' WHEN k = 1 THEN 'ftp://h' || c || '.example.com/'
@@ -424,9 +424,9 @@ ORACLE: dict[str, str] = {
         SELECT url, CASE WHEN status <> -1 AND html <> '' THEN 'visited' ELSE 'failed' END AS outcome
         FROM outcome""",
     # crawls
-    "crawl_shop_pages": _shop("SELECT crawl_id, url, depth, status_code, links_found FROM page"),
-    "crawl_shop_failed": _shop("SELECT crawl_id, url, depth FROM failure"),
-    "crawl_hosts_pages": _hosts("SELECT crawl_id, url, depth, status_code, links_found FROM page"),
+    "crawl": _shop("SELECT crawl_id, url, depth, status_code, links_found FROM page"),
+    "crawl_failed": _shop("SELECT crawl_id, url, depth FROM failure"),
+    "crawl_hosts": _hosts("SELECT crawl_id, url, depth, status_code, links_found FROM page"),
     "crawl_hosts_failed": _hosts("SELECT crawl_id, url, depth FROM failure"),
     "depth_limit": _shop(
         """SELECT crawl_id, max_depth::BIGINT AS max_depth, depth, count(*) AS n_pages
@@ -435,7 +435,7 @@ ORACLE: dict[str, str] = {
     "page_cap": f"""WITH {PAGES}, {REQUESTS}
         SELECT crawl_id, src AS url FROM p JOIN wide USING (host)
         QUALIFY row_number() OVER (PARTITION BY crawl_id ORDER BY src) <= max_pages""",
-    "links_found_by_page": _shop(
+    "links_found": _shop(
         """SELECT found.crawl_id, found.url, links_found FROM found
            JOIN s ON s.crawl_id = found.crawl_id AND s.url = found.url AND NOT s.over"""
     ),
@@ -478,7 +478,7 @@ ORACLE: dict[str, str] = {
            WHERE position <= n"""
     ),
     # streaming
-    "stream_discovery": f"""WITH {PAGES}, {REQUESTS}
+    "stream_link_discovery": f"""WITH {PAGES}, {REQUESTS}
         SELECT DISTINCT crawl_id, scheme || '://' || word0.host || href AS url
         FROM word0 JOIN wide ON wide.host = word0.host""",
 }

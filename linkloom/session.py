@@ -39,6 +39,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a file scan at least one partition per core.
+
+    Work per row can be heavy (whole pages), and a small file may be one split.
+    A scan that has enough splits, as any large table does, is left alone.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
