@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -151,7 +151,7 @@ def crawl_result_document(run: CrawlRun, part_rows: int = PART_ROWS) -> DataFram
         before=True,
     ).withColumn("part", F.floor(F.col("i") / part_rows).cast("int"))
 
-    def listed(kind: str, value) -> "F.Column":
+    def listed(kind: str, value: Column) -> Column:
         item = F.when(F.col("kind") == kind, F.struct("i", value.alias("value")))
         return F.array_sort(F.collect_list(item)).getField("value")
 
