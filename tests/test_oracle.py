@@ -5,6 +5,8 @@ import pytest
 
 import __spark_entry__ as entry
 from check import TABLES, compare
+from linkloom.catalog import QUERIES
+from linkloom.oracle import ORACLE
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,14 +21,15 @@ def tables():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, tables, name):
-    ok, note = compare(spark, tables, name, entry.queries()[name], entry.oracle_sql()[name], SF)
+    ok, note = compare(spark, tables, name, QUERIES[name], ORACLE[name], SF)
     assert ok, note
