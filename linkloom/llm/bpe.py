@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -29,11 +30,11 @@ from pyspark.sql import types as T
 
 # Pieces handed to one recursive query, and from how many bytes on a piece
 # takes the query that contracts all equal pairs at once.
-PIECES_PER_QUERY = 50_000
+PIECES_PER_QUERY = 20_000
 LONG_PIECE = 256
 # Bounds on what a task holds: remembered pieces, tokens decoded at once.
-REMEMBERED_PIECES = 400_000
-TOKENS_PER_QUERY = 1_000_000
+REMEMBERED_PIECES = 600_000
+TOKENS_PER_QUERY = 250_000
 
 # One contraction per piece and round. The smallest key of a piece is its
 # leftmost pair of the lowest rank; the three fields have 20 bits or more.
@@ -114,7 +115,7 @@ class _Tables:
         ]
         single = {x for left, right, rank in merges for x in (left, right) if rank < x}
         table = np.array(merges, dtype="int32").reshape(-1, 3)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         self.put(
             "merges",
             l=table[:, 0],
@@ -230,33 +231,24 @@ class _Memory:
             self.number[p] = len(self.number)
 
 
-def _encoder(path: str, pattern: str, key: str, text: str):
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, pieces_of = _tables(path), regex.compile(pattern).findall
-        memory = _Memory(tables)
-        for batch in batches:
-            if len(memory.number) > REMEMBERED_PIECES:
-                memory.clear()
-            keys, texts = batch.column(key), batch.column(text)
-            for rows in _slices(texts):
-                found = [pieces_of(t) if t else [] for t in texts.slice(rows.start, len(rows)).to_pylist()]
-                new = [p for p in dict.fromkeys(p for ps in found for p in ps) if p not in memory.number]
-                if new:
-                    memory.learn(new)
-                sizes = np.fromiter(map(len, found), dtype="int64", count=len(found))
-                number = memory.number
-                use = np.fromiter((number[p] for ps in found for p in ps), dtype="int64", count=int(sizes.sum()))
-                count = memory.count[use]
-                ends = np.cumsum(count)
-                total = int(ends[-1]) if len(ends) else 0
-                ids = memory.ids[np.repeat(memory.begin[use] - (ends - count), count) + np.arange(total)]
-                offsets = np.append(0, ends)[np.append(0, np.cumsum(sizes))].astype("int32")
-                yield pa.RecordBatch.from_arrays(
-                    [keys.slice(rows.start, len(rows)), pa.ListArray.from_arrays(offsets, ids)],
-                    names=[key, "ids"],
-                )
-
-    return encode
+def _encoded(batch: pa.RecordBatch, memory: _Memory, pieces_of, text: str) -> Iterator[tuple[range, np.ndarray, np.ndarray]]:
+    """Rows of the batch, and offsets and values of their lists of ids."""
+    texts = batch.column(text)
+    for rows in _slices(texts):
+        if len(memory.number) > REMEMBERED_PIECES:
+            memory.clear()
+        number = memory.number
+        found = [pieces_of(t) if t else [] for t in texts.slice(rows.start, len(rows)).to_pylist()]
+        new = set(chain.from_iterable(found)).difference(number)
+        if new:
+            memory.learn(list(new))
+        sizes = np.fromiter(map(len, found), dtype="int64", count=len(found))
+        use = np.fromiter(map(number.__getitem__, chain.from_iterable(found)), dtype="int32", count=int(sizes.sum()))
+        count = memory.count[use]
+        ends = np.cumsum(count)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = memory.ids[np.repeat(memory.begin[use] - (ends - count), count) + np.arange(total)]
+        yield rows, np.append(0, ends)[np.append(0, np.cumsum(sizes))].astype("int32"), ids
 
 
 def _slices(texts: pa.Array, size: int = 4_000_000) -> Iterator[range]:
@@ -271,11 +263,30 @@ def _slices(texts: pa.Array, size: int = 4_000_000) -> Iterator[range]:
         yield range(first, len(texts))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``ids``, the token ids of the whole text, for every row."""
+def encode(
+    docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", decoded: bool = False
+) -> DataFrame:
+    """``key`` and ``ids``, the token ids of the whole text, for every row.
+
+    With ``decoded`` the ids are decoded again in the same pass over the data, as
+    ``decode`` would, into a column of that name.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, pieces_of = _tables(path), regex.compile(pattern).findall
+        memory = _Memory(tables)
+        for batch in batches:
+            for rows, offsets, ids in _encoded(batch, memory, pieces_of, text):
+                out = [batch.column(key).slice(rows.start, len(rows)), pa.ListArray.from_arrays(offsets, ids)]
+                if decoded:
+                    out.append(pa.array(tables.decode(offsets, ids), pa.binary()))
+                yield pa.RecordBatch.from_arrays(out, names=schema.names)
+
     docs = docs.select(docs[key], docs[text])
     schema = T.StructType([docs.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
-    return docs.mapInArrow(_encoder(path, pattern, key, text), schema)
+    if decoded:
+        schema = schema.add("decoded", T.BinaryType(), False)
+    return docs.mapInArrow(work, schema)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -287,8 +298,8 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             lists = batch.column(ids)
             lists = lists.fill_null([]) if lists.null_count else lists
             offsets = lists.offsets.to_numpy()
-            values = lists.values.to_numpy(zero_copy_only=False)
-            found = tables.decode(offsets - offsets[0] if len(offsets) else offsets, values[offsets[0] : offsets[-1]])
+            values = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+            found = tables.decode(offsets - offsets[0], values)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, "decoded"]
             )

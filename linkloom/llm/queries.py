@@ -97,8 +97,7 @@ def op6_substrings(spark: SparkSession, sf: str) -> DataFrame:
 def op8_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """Every text encoded with a public vocabulary and decoded again."""
     path = public_tokenizers.path(RANKS)
-    encoded = bpe.encode(documents(spark, sf), path, public_tokenizers.PATTERN)
-    return digests(bpe.decode(encoded, path))
+    return digests(bpe.encode(documents(spark, sf), path, public_tokenizers.PATTERN, decoded=True))
 
 
 def digests(decoded: DataFrame) -> DataFrame:
