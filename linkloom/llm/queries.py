@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import bpe, mixing, simhash, substrings, toxicity
+from linkloom.llm import bpe, fingerprints, mixing, quality, simhash, substrings, toxicity
 from linkloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,58 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents")
 
 
+@query
+def op1_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Measures and verdict of every document."""
+    names = "n_words word_chars n_symbols n_dup_lines n_repeat_words".split()
+    judged = quality.judged(documents(spark, sf))
+    return judged.select("doc_id", *names, "base_failed", "kept", F.array_join("failed", " ").alias("failed"))
+
+
+ORACLE["op1_quality"] = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents),
+windows AS (
+  SELECT doc_id, t, w, l,
+    list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS g
+  FROM cut),
+spots AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, v) AS n
+  FROM (SELECT doc_id, unnest(g) AS v, unnest(range(1, len(g) + 1)) AS i FROM windows)),
+covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words
+  FROM spots, (VALUES (0), (1), (2)) AS o(k) WHERE n > 1 GROUP BY doc_id),
+measured AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+    len(l) AS n_lines,
+    len(list_filter(w, lambda x: list_contains(STOP_WORDS, lower(x)))) AS n_stop_words,
+    len(list_filter(w, lambda x: regexp_matches(x, '\pL'))) AS n_letter_words,
+    len(list_filter(l, lambda x: regexp_matches(x, '^\s*[-*•]'))) AS n_bullet_lines,
+    len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) AS n_cut_lines
+  FROM windows d LEFT JOIN covered c ON c.doc_id = d.doc_id),
+judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    list_filter([
+      CASE WHEN word_chars < 2 * n_words OR word_chars > 12 * n_words THEN 'word_length' END,
+      CASE WHEN n_symbols > 0.1::DOUBLE * n_words THEN 'symbols' END,
+      CASE WHEN n_stop_words < 2 THEN 'stop_words' END,
+      CASE WHEN n_letter_words < 0.7::DOUBLE * n_words THEN 'no_letters' END,
+      CASE WHEN n_dup_lines > 0.5::DOUBLE * n_lines THEN 'repeated_lines' END,
+      CASE WHEN n_bullet_lines > 0.9::DOUBLE * n_lines THEN 'bullets' END,
+      CASE WHEN n_cut_lines > 0.3::DOUBLE * n_lines THEN 'cut_lines' END], lambda x: x IS NOT NULL) AS f
+  FROM measured)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND len(f) = 0 AS kept, array_to_string(f, ' ') AS failed
+FROM judged
+""".replace("STOP_WORDS", str(list(quality.STOP_WORDS)))
+
+
 @query
 def op2_mixing(spark: SparkSession, sf: str) -> DataFrame:
     """Words of each document that the mix takes."""
@@ -76,6 +128,12 @@ SELECT doc_id, size, source_size, target, taken::BIGINT AS taken FROM served
 """
 
 
+@query
+def op3_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints.compared(documents(spark, sf))
+
+
 @query
 def op6_substrings(spark: SparkSession, sf: str) -> DataFrame:
     """Repeated passages removed from each document, first copies kept."""
