@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import bpe, fingerprints, mixing, quality, simhash, substrings, toxicity
+from linkloom.llm import bpe, fingerprints, html_text, mixing, quality, simhash, substrings, toxicity
 from linkloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,6 +134,14 @@ def op3_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.compared(documents(spark, sf))
 
 
+@query
+def op5_html(spark: SparkSession, sf: str) -> DataFrame:
+    """The article of every page."""
+    pages = table(spark, sf, "pages")
+    found = pages.select("page_id", "url", html_text.main_text(F.col("html")).alias("text"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 @query
 def op6_substrings(spark: SparkSession, sf: str) -> DataFrame:
     """Repeated passages removed from each document, first copies kept."""
