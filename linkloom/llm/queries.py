@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import bpe, fingerprints, html_text, mixing, quality, simhash, substrings, toxicity
+from linkloom.llm import bpe, fingerprints, html_text, mixing, quality, simhash, substrings, suffixes, toxicity
 from linkloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,6 +159,20 @@ def op6_substrings(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op7_suffixes(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes inside strings of 200 that occur twice removed from each document."""
+    out = suffixes.remove(documents(spark, sf))
+    total = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        total.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op8_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """Every text encoded with a public vocabulary and decoded again."""
