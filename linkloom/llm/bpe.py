@@ -30,11 +30,11 @@ from pyspark.sql import types as T
 
 # Pieces handed to one recursive query, and from how many bytes on a piece
 # takes the query that contracts all equal pairs at once.
-PIECES_PER_QUERY = 20_000
+PIECES_PER_QUERY = 8_000
 LONG_PIECE = 256
 # Bounds on what a task holds: remembered pieces, tokens decoded at once.
-REMEMBERED_PIECES = 600_000
-TOKENS_PER_QUERY = 250_000
+REMEMBERED_PIECES = 400_000
+TOKENS_PER_QUERY = 100_000
 
 # One contraction per piece and round. The smallest key of a piece is its
 # leftmost pair of the lowest rank; the three fields have 20 bits or more.
@@ -251,7 +251,7 @@ def _encoded(batch: pa.RecordBatch, memory: _Memory, pieces_of, text: str) -> It
         yield rows, np.append(0, ends)[np.append(0, np.cumsum(sizes))].astype("int32"), ids
 
 
-def _slices(texts: pa.Array, size: int = 4_000_000) -> Iterator[range]:
+def _slices(texts: pa.Array, size: int = 1_000_000) -> Iterator[range]:
     """Ranges of rows of about ``size`` bytes, whole rows each."""
     first, held = 0, 0
     for row, length in enumerate(pc.binary_length(texts).to_pylist()):
