@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import bpe, fingerprints, html_text, mixing, quality, simhash, substrings, suffixes, toxicity
+from linkloom.llm import bpe, fingerprints, html_text, licenses, mixing, quality, simhash, substrings, suffixes, toxicity
 from linkloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,6 +134,22 @@ def op3_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.compared(documents(spark, sf))
 
 
+@query
+def op4_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    """Licence notices of every document."""
+    docs = documents(spark, sf)
+    found = licenses.scan(docs, licenses.train(docs))
+    families = F.array_sort(F.array_distinct(F.transform("notices", lambda n: n["family"])))
+    return found.select(
+        "doc_id",
+        "n_paragraphs",
+        F.size("notices").cast("long").alias("n_notices"),
+        F.array_join(families, " ").alias("families"),
+        F.coalesce(F.array_max(F.transform("notices", lambda n: n["probability"])), F.lit(0.0)).alias("probability"),
+        "notices",
+    )
+
+
 @query
 def op5_html(spark: SparkSession, sf: str) -> DataFrame:
     """The article of every page."""
