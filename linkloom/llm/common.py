@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,3 +20,16 @@ def row_key(key: str, text: str) -> list[Column]:
     Rows with the same key and text count as one document.
     """
     return [F.col(key).alias("_id"), F.xxhash64(F.col(text)).alias("_hash")]
+
+
+def with_text(rows: DataFrame, schema: T.StructType, text: str, new: Column) -> DataFrame:
+    """The documents held whole in ``doc``, with a new text and ``n_chars`` to match."""
+    columns = []
+    for field in schema.fields:
+        value = F.col("doc")[field.name]
+        if field.name == text:
+            value = new
+        elif field.name == "n_chars":
+            value = F.char_length(new).cast(field.dataType)
+        columns.append(value.alias(field.name))
+    return rows.select(*columns)

@@ -223,13 +223,13 @@ class _Tree:
                 break
             node = self.parent[node]
         marked = [False] * count
-        if article >= 0:
-            marked[article] = True
+        if article >= 0 or sums[best] <= 0:
+            marked[max(article, 0)] = True
         else:
             top = list(range(count))  # the node of the largest sum in the subtree
             for k in range(count - 1, 0, -1):
                 up = self.parent[k]
-                if not self.out[k] and sums[top[k]] >= sums[top[up]]:
+                if not self.out[k] and sums[top[k]] > sums[top[up]]:
                     top[up] = top[k]
             for k in range(count):
                 if density[k] > 0 and density[k] >= threshold:

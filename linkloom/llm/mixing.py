@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import WORD
+from linkloom.llm.common import WORD, with_text
 from linkloom.llm.prefix import running_sums
 from linkloom.session import written
 
@@ -118,11 +118,9 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     takes = takes.groupBy("_k", "_k2", "copy", "taken", "size").agg(F.count(F.lit(1)).alias("_times"))
     # One row per name, numbered in the shuffle that the join needs as well.
     same = W.partitionBy("_k", "_k2").orderBy(F.lit(0))
-    rows = docs.select("*", *_names(docs, key, text, source))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), *_names(docs, key, text, source))
     rows = rows.withColumn("_nth", F.row_number().over(same)).filter("_nth = 1")
     out = rows.join(takes, ["_k", "_k2"]).withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
-    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), 0), 1, out["taken"].cast("int")), " ")
-    out = out.withColumn(text, F.when(out["taken"] < out["size"], cut).otherwise(F.col(text)))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length(text).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    own = F.col("doc")[text]
+    cut = F.array_join(F.slice(F.regexp_extract_all(own, F.lit(WORD), F.lit(0)), 1, F.col("taken").cast("int")), " ")
+    return with_text(out, docs.schema, text, F.when(F.col("taken") < F.col("size"), cut).otherwise(own))

@@ -62,8 +62,8 @@ RULES = (
 
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and the measures, as longs."""
-    held = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    """All columns of ``docs`` and the measures, as longs. A measure replaces a column of its name."""
+    held = docs.select(F.struct(*docs.columns).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     held = held.withColumn("_words", F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)))
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(WORD))
     held = held.withColumns({"_lines": lines, "_windows": _windows(F.col("_words"))})
@@ -80,7 +80,8 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_bullet_lines": F.size(F.filter(lines, lambda x: x.rlike(r"^\s*[-*•]"))),
         "n_cut_lines": F.size(F.filter(lines, lambda x: x.rlike(r"(\.\.\.|…)\s*$"))),
     }
-    return held.select(*docs.columns, *[v.cast("long").alias(k) for k, v in found.items()])
+    own = [F.col("_doc")[c].alias(c) for c in docs.columns if c not in found]
+    return held.select(*own, *[v.cast("long").alias(k) for k, v in found.items()])
 
 
 def _windows(words: Column) -> Column:

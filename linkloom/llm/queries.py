@@ -162,16 +162,16 @@ def op5_html(spark: SparkSession, sf: str) -> DataFrame:
 def op6_substrings(spark: SparkSession, sf: str) -> DataFrame:
     """Repeated passages removed from each document, first copies kept."""
     out = substrings.dedup(documents(spark, sf))
-    spans = F.coalesce("_spans", F.array().cast("array<struct<begin:int,end:int>>"))
+    spans = F.coalesce("spans", F.array().cast("array<struct<begin:int,end:int>>"))
     total = F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
     return out.select(
-        "doc_id",
-        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        "doc.doc_id",
+        F.coalesce(F.octet_length("doc.text"), F.lit(0)).cast("long").alias("n_bytes"),
         total.alias("n_removed"),
         F.size(spans).cast("long").alias("n_spans"),
-        F.sha2(F.coalesce("_kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
-        F.coalesce("_n_repeated", F.lit(0)).cast("long").alias("n_repeated"),
-        F.coalesce("_first_ids", F.array().cast("array<long>")).alias("first_ids"),
+        F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+        F.coalesce("n_repeated", F.lit(0)).cast("long").alias("n_repeated"),
+        F.coalesce("first_ids", F.array().cast("array<long>")).alias("first_ids"),
     )
 
 

@@ -192,7 +192,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     once = docs.join(heads.filter("_rows = 1").select(key), key, "left_semi").select(*docs.columns)
     again = docs.join(heads.filter("_rows > 1").select(key), key, "left_semi")
     again = again.groupBy(key).agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
-    nameless = found.filter(F.col("component_id").isNull()).select("fp").distinct()
-    unkeyed = docs.filter(docs[key].isNull()).withColumn("fp", fingerprint(F.col(text)))
-    unkeyed = unkeyed.join(nameless, "fp", "left_semi").select(*docs.columns)
+    nameless = found.filter(F.col("component_id").isNull()).select(F.col("fp").alias("_fp")).distinct()
+    unkeyed = docs.filter(docs[key].isNull()).select(
+        F.struct(*docs.columns).alias("_doc"), fingerprint(F.col(text)).alias("_fp")
+    )
+    unkeyed = unkeyed.join(nameless, "_fp", "left_semi").select("_doc.*")
     return once.unionByName(again).unionByName(unkeyed)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import row_key
+from linkloom.llm.common import row_key, with_text
 from linkloom.session import written
 
 BITS, SMALLEST, LARGEST = 5, 16, 4_096
@@ -178,25 +178,18 @@ def kept_text(text: Column, spans: Column) -> Column:
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``_kept``, the text without repeats, ``_spans``
-    removed (bytes), ``_n_repeated`` and ``_first_ids``."""
+    """``doc``, the whole row of ``docs``, with ``kept``, the text without repeats, the
+    ``spans`` removed (bytes), ``n_repeated`` and ``first_ids``."""
     found = repeats(docs, key, text).select(
-        F.col("_id").alias("_rid"),
-        F.col("_hash").alias("_rhash"),
-        F.col("spans").alias("_spans"),
-        F.col("n_repeated").alias("_n_repeated"),
-        F.col("first_ids").alias("_first_ids"),
-    )
-    same = F.col(key).eqNullSafe(F.col("_rid")) & (F.xxhash64(F.col(text)) == F.col("_rhash"))
-    kept = F.when(F.size("_spans") > 0, kept_text(F.col(text), F.col("_spans"))).otherwise(F.col(text))
-    return docs.join(found, same, "left").select(
-        *docs.columns, kept.alias("_kept"), "_spans", "_n_repeated", "_first_ids"
+        F.col("_id").alias("_rid"), F.col("_hash").alias("_rhash"), "spans", "n_repeated", "first_ids"
     )
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), *row_key(key, text))
+    same = F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_hash") == F.col("_rhash"))
+    own = F.col("doc")[text]
+    kept = F.when(F.size("spans") > 0, kept_text(own, F.col("spans"))).otherwise(own)
+    return rows.join(found, same, "left").select("doc", kept.alias("kept"), "spans", "n_repeated", "first_ids")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` with repeats removed from their texts; ``n_chars`` follows the text."""
-    out = dedup(docs, key, text).withColumn(text, F.col("_kept"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length(text).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return with_text(dedup(docs, key, text), docs.schema, text, F.col("kept"))

@@ -19,8 +19,9 @@ At the last length a context is the window itself and nothing is left open. Grou
 of copies, however large, go on as one position with a weight. Counts are combined
 before the shuffle; no pairs are formed.
 
-Small tables (at most ``BROADCAST_ROWS`` rows, counted) are broadcast so that texts
-need not move; larger ones take part in shuffled joins with the same result.
+Texts meet the open positions and the final spans by a broadcast of these while they
+have at most ``BROADCAST_ROWS`` rows (they are counted), so that texts need not
+move; beyond that by a shuffled join with the same result.
 
 Defined results: null and empty texts, and those below the threshold, have no
 windows; rows with the same key and text are separate documents, so both lose
@@ -44,8 +45,8 @@ from linkloom.session import written
 LENGTH = 200
 LADDER = (64, 160, 192, 200)
 BROADCAST_ROWS = 1_000_000
-# Bytes ranked at a time.
-SLICE = 1_000_000
+# Bytes ranked at a time, few enough for the arrays to stay in the cache.
+SLICE = 120_000
 
 _BASE = 0x9E3779B97F4A7C15
 _PLACE = np.uint64((1 << 24) - 1)
@@ -128,7 +129,7 @@ def ranked(pieces: list[bytes], k: int, length: int, hashes: _Hashes) -> tuple[n
 
 def _ranker(k: int, length: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes(SLICE + length)
+        hashes = _Hashes(2 * (SLICE + length))
         for batch in batches:
             bases, data = batch.column("_base").to_pylist(), batch.column("_data")
             rows, starts, pieces, held = [], [], [], 0
@@ -194,7 +195,7 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
         positions = _positions(stretches, k, length)
         shared = positions.groupBy("_rank").agg(F.sum("_weight").alias("_w")).filter("_w > 1").select("_rank")
         shared = written(shared, "ranks")
-        positions = written(positions.join(_small(shared), "_rank", "left_semi"), "positions")
+        positions = written(positions.join(shared, "_rank", "left_semi"), "positions")
         contexts = positions.groupBy("_rank", "_context").agg(F.sum("_weight").alias("_w"))
         several = contexts.groupBy("_rank").agg(F.count(F.lit(1)).alias("_m"))
         contexts = contexts.join(several, "_rank")

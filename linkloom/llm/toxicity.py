@@ -160,7 +160,7 @@ def _calibrate(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 def _sample(labels: DataFrame, key: str, label: str) -> DataFrame:
     """Bounded training labels, one row per document, chosen by hash."""
     known = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key))
-    known = known.groupBy(F.col(key).alias("_id")).agg(F.max(F.col(label)).alias("_label"))
+    known = known.groupBy(F.col(key).cast("long").alias("_id")).agg(F.max(F.col(label)).alias("_label"))
     return known.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
 
 
@@ -210,7 +210,7 @@ def _hash(left: str, right: str) -> int:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Index:
     """The index of the labelled examples; what reaches the driver is bounded by ``SAMPLE`` and ``TERMS``."""
     sample = _sample(labels, key, label)
-    texts = docs.select(docs[key].alias("_id"), docs[text].alias("_text")).join(F.broadcast(sample), "_id")
+    texts = docs.select(docs[key].cast("long").alias("_id"), docs[text].alias("_text")).join(F.broadcast(sample), "_id")
     texts = written(texts, "examples")
     toxic, total = texts.agg(F.coalesce(F.sum("_label"), F.lit(0)), F.count(F.lit(1))).first()
     none = Index({}, np.empty(0), np.empty(0), np.empty(0), np.empty((0, 0)), np.empty(0), np.empty(0), np.empty(0), 0.0)
