@@ -176,7 +176,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     smallest = named.groupBy("root").agg(F.min("_first").alias("_least"))
     moved = named.join(smallest, "root").select("fp", "_least")
     classes = nodes.join(moved, "fp", "left").select("fp", F.coalesce("_least", "_first").alias("component_id"))
-    return prints.join(classes, "fp").select(F.col("_key").alias(key), "fp", "component_id")
+    # Written, so that the join can be split on a fingerprint that very many documents share.
+    return prints.join(written(classes, "classes"), "fp").select(F.col("_key").alias(key), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

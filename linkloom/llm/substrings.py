@@ -125,7 +125,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     place = F.struct("_id", "_hash", "_begin")
     first = found.groupBy("_digest").agg(F.min(place).alias("_first"), F.max(place).alias("_last"))
     first = first.filter(~F.col("_first").eqNullSafe(F.col("_last"))).drop("_last")
-    marked = found.join(first, "_digest").select(
+    # Written, so that the join can be split on a digest that very many chunks share.
+    marked = found.join(written(first, "firsts"), "_digest").select(
         "_id",
         "_hash",
         "_begin",
