@@ -7,6 +7,7 @@ directly with plain SQL.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,11 +19,15 @@ from linkloom.plans import report
 from linkloom.plans.crawl import CrawlRun, crawl, links_found
 from linkloom.session import new_path, spread
 from linkloom.sources import derived as D
+from linkloom.sources import crawl_store
 from linkloom.sources import runs as store
 from linkloom.sources.requests import validate_requests
-from linkloom.sources.snapshot import page_snapshot
+from linkloom.sources.snapshot import page_snapshot, snapshot_from_outcomes
 from linkloom.streaming.discovery import page_stream, stream_link_discovery
 
+# When the crawls of the stored pages are taken to start.
+STARTED = datetime(2026, 1, 1, tzinfo=timezone.utc)
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -45,9 +50,7 @@ def _noisy(spark, sf):
     return page_snapshot(D.noisy_pages(spread(_pages(spark, sf))))
 
 
-# -- finished crawls, shared by the queries about them --------------------------
-
-_runs: dict[tuple[str, str, str], CrawlRun] = {}
+# -- crawls that several queries look at -----------------------------------------
 
 
 def crawl_shop(spark: SparkSession, sf: str) -> CrawlRun:
@@ -56,22 +59,15 @@ def crawl_shop(spark: SparkSession, sf: str) -> CrawlRun:
 
 def crawl_hosts(spark: SparkSession, sf: str) -> CrawlRun:
     pages = _pages(spark, sf)
-    return crawl(D.host_requests(pages), D.host_web(pages), D.host_robots(pages))
-
-
-def _shared(make: Callable[[SparkSession, str], CrawlRun], spark, sf) -> CrawlRun:
-    key = (spark.sparkContext.applicationId, make.__name__, sf)
-    if key not in _runs:
-        _runs[key] = make(spark, sf)
-    return _runs[key]
+    return crawl(D.host_requests(pages), D.host_web(pages), D.host_robots(pages), STARTED)
 
 
 def _shop(spark, sf):
-    return _shared(crawl_shop, spark, sf)
+    return crawl_shop(spark, sf)
 
 
 def _hosts(spark, sf):
-    return _shared(crawl_hosts, spark, sf)
+    return crawl_hosts(spark, sf)
 
 
 def _ints(df: DataFrame, *names: str) -> DataFrame:
@@ -374,7 +370,7 @@ def robots_fetch_plan(spark, sf):
 @query
 def robots_fetch_plan_spread(spark, sf):
     """The same by the way meant for very large domains."""
-    plan = politeness.robots_fetch_plan(D.request_log(spark, sf), fold_rows=0)
+    plan = politeness.robots_fetch_plan(D.request_log(spark, sf), window_rows=0)
     return plan.select("domain", "seq", "fetches")
 
 
@@ -518,9 +514,10 @@ def crawl_result_document(spark, sf):
     )
     return docs.select(
         "crawl_id",
-        F.col("part").cast("bigint").alias("part"),
         "seed_url",
         "status",
+        F.coalesce("error", F.lit("")).alias("error"),
+        F.col("max_depth_reached").cast("bigint").alias("max_depth_reached"),
         F.col("total_pages").cast("bigint").alias("total_pages"),
         F.array_join("urls_visited", "\n").alias("urls_visited"),
         F.array_join("urls_failed", "\n").alias("urls_failed"),
@@ -539,10 +536,70 @@ def crawl_report(spark, sf):
     return _ints(listing, "position", "more_visited")
 
 
+def _saved_hosts(spark, sf):
+    path = _store_path(spark)
+    crawl_store.save_crawl(_hosts(spark, sf), path)
+    return path
+
+
+@query
+def crawl_store_pages(spark, sf):
+    """Page rows of the host crawls, saved and loaded again."""
+    pages = crawl_store.latest_pages(spark, _saved_hosts(spark, sf))
+    return _ints(pages.select("seed_url", "url", "depth", "status_code", "links_found"), "depth", "status_code", "links_found")
+
+
+@query
+def crawl_store_list(spark, sf):
+    """The listing of the saved host crawls after the successful ones were deleted."""
+    path = _saved_hosts(spark, sf)
+    done = store.list_crawls(spark, path).filter("status = 'success'").select("seed_url")
+    store.delete_latest(spark, path, done)
+    return _ints(store.list_crawls(spark, path).select("seed_url", "status", "total_pages"), "total_pages")
+
+
+def _stored_pages(spark, sf):
+    """Pages stored with bodies for client and server errors too."""
+    status = F.when(F.col("page_id") % 7 == 3, 404).when(F.col("page_id") % 7 == 5, 503).otherwise(200)
+    return _pages(spark, sf).withColumn("status", status)
+
+
+@query
+def page_snapshot_errors(spark, sf):
+    """The snapshot of pages among which are errors with bodies."""
+    snapshot = page_snapshot(_stored_pages(spark, sf))
+    return snapshot.select("url", F.col("status").cast("bigint").alias("status"), F.md5("html").alias("html_md5"))
+
+
+@query
+def crawl_errors(spark, sf):
+    """Every stored page as the seed of a crawl of depth 0: visited or failed."""
+    pages = _stored_pages(spark, sf)
+    requests = pages.select(F.col("page_id").alias("crawl_id"), F.col("url").alias("seed_url"), F.lit(0).alias("max_depth"))
+    return _outcomes(crawl(requests, page_snapshot(pages), None, STARTED))
+
+
+@query
+def crawl_attempts(spark, sf):
+    """Crawls of depth 0 over what the retried fetches of the order pages gave."""
+    outcomes = fetchlog.fetch_outcome(D.fetch_attempts(spark, sf)).filter("url LIKE 'http%'")
+    requests = outcomes.select(
+        F.regexp_extract("url", r"/order/(\d+)\.html", 1).cast("bigint").alias("crawl_id"),
+        F.col("url").alias("seed_url"),
+        F.lit(0).alias("max_depth"),
+    )
+    return _outcomes(crawl(requests, snapshot_from_outcomes(outcomes), None, STARTED))
+
+
+def _outcomes(run: CrawlRun):
+    found = run.enqueued.select("crawl_id", "state", F.col("status_code").cast("bigint").alias("status_code"))
+    return found
+
+
 # -- streaming ------------------------------------------------------------------
 
 
 @query
 def stream_link_discovery_query(spark, sf):
     requests = D.host_requests(_pages(spark, sf))
-    return stream_link_discovery(spark, page_stream(spark, sf, "pages.parquet"), requests)
+    return stream_link_discovery(spark, page_stream(spark, f"{sf}/pages.parquet"), requests)

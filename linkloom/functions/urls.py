@@ -363,3 +363,21 @@ def in_scope(canonical: Column, prefix: Column) -> Column:
         | (rest == closed)
         | rest.startswith(F.concat(closed, F.lit("?")))
     )
+
+
+def scope_keys(canonical: Column) -> Column:
+    """Every text that the key of a scope holding the URL can have: the path and
+    each of its ancestors, with domain. Scopes are then met by equality."""
+    rest = F.substr(canonical, F.instr(canonical, "//") + F.lit(2))
+    segments = F.split(F.substring_index(rest, "?", 1), "/")
+    above = F.transform(
+        F.sequence(F.lit(1), F.size(segments) - 1),
+        lambda i: F.concat(F.array_join(F.slice(segments, F.lit(1), i), "/"), F.lit("/")),
+    )
+    return F.array_distinct(F.array_append(above, F.array_join(segments, "/")))
+
+
+def keys_of_scope(prefix: Column) -> Column:
+    """The keys under which ``in_scope`` URLs are found: below the scope path, or
+    the path itself without its slash. A URL meets one of them at most."""
+    return F.array_distinct(F.array(prefix, F.regexp_replace(prefix, r"/+\z", "")))

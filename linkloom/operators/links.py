@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from linkloom.functions import html as H
 from linkloom.functions import urls as U
 from linkloom.functions.columns import let, over
+from linkloom.operators.urls import page_scopes
 
 
 def _tagged(snapshot: DataFrame, *keep: str) -> DataFrame:
@@ -99,15 +100,23 @@ def page_links(snapshot: DataFrame) -> DataFrame:
     Targets are worked out inside the array, so that filters on the result stay
     above the explode and nothing is resolved twice.
     """
+    lists = _link_lists(snapshot)
+    return _unfolded(lists, "src")
+
+
+def _link_lists(snapshot: DataFrame) -> DataFrame:
+    """``(src, links)``: one compact row per page."""
+    return _based(snapshot).select(
+        F.col("url").alias("src"), over(_resolve_all, "base", "hrefs").alias("links")
+    )
+
+
+def _unfolded(lists: DataFrame, *keep: str) -> DataFrame:
     return (
-        _based(snapshot)
-        .select(
-            F.col("url").alias("src"),
-            F.posexplode_outer(over(_resolve_all, "base", "hrefs")).alias("pos", "link"),
-        )
+        lists.select(*keep, F.posexplode_outer("links").alias("pos", "link"))
         .filter("link IS NOT NULL")
         .select(
-            "src",
+            *keep,
             "pos",
             "link.href",
             _link_fault(F.col("link.early"), F.col("link.dst")).alias("fault"),
@@ -121,29 +130,14 @@ def resolve_links(snapshot: DataFrame) -> DataFrame:
     return page_links(snapshot).filter("fault IS NULL").drop("fault")
 
 
-def _scopes(requests: DataFrame) -> DataFrame:
-    return requests.select(
-        "crawl_id",
-        over(U.url_domain, "seed_url").alias("domain"),
-        over(U.scope_prefix, "seed_url").alias("prefix"),
-    )
-
-
-def _crawled_pages(snapshot: DataFrame, requests: DataFrame) -> DataFrame:
-    """Snapshot pages in the scope of at least one crawl: others can never be
-    reached, so their bodies are not scanned."""
-    scopes = _scopes(requests).select("domain", "prefix").distinct()
-    pages = snapshot.withColumn("domain", over(U.url_domain, "url"))
-    hit = (pages["domain"] == scopes["domain"]) & U.in_scope(pages["url"], scopes["prefix"])
-    return pages.join(scopes, hit, "left_semi").drop("domain")
-
-
 def _links_per_crawl(snapshot: DataFrame, requests: DataFrame) -> DataFrame:
-    """Links of each page once per crawl whose scope holds the page."""
-    scopes = _scopes(requests)
-    links = page_links(_crawled_pages(snapshot, requests))
-    keyed = links.withColumn("domain", over(U.url_domain, "src"))
-    return keyed.join(scopes, "domain").filter(U.in_scope(F.col("src"), F.col("prefix")))
+    """Links of each page once per crawl whose scope holds the page.
+
+    Bodies are read row-wise where they are stored; what meets the scopes is one
+    compact row per page.
+    """
+    hits = page_scopes(snapshot.select("url"), requests).withColumnRenamed("url", "src")
+    return _unfolded(_link_lists(snapshot).join(hits, "src"), "crawl_id", "prefix", "src")
 
 
 def classify_links(
@@ -204,18 +198,20 @@ def adjacency(snapshot: DataFrame, requests: DataFrame, partitions: int) -> Data
     crawl; ``links`` are its distinct valid targets in page order.
 
     One pass over the bodies serves all crawls and all levels. Only the compact
-    result is shuffled, once, into ``partitions`` by URL.
+    result is shuffled, into ``partitions`` by URL; pages outside every scope are
+    dropped from it.
     """
-    pages = _crawled_pages(snapshot, requests)
     ok = (F.col("status") != -1) & (F.coalesce(F.col("html"), F.lit("")) != "")
-    pages = pages.withColumn("ok", F.coalesce(ok, F.lit(False)))
+    pages = snapshot.withColumn("ok", F.coalesce(ok, F.lit(False)))
     resolved = over(_resolve_distinct, "base", "hrefs")
     valid = F.filter(resolved, lambda r: U.is_valid_canonical(r["dst"]))
+    hits = page_scopes(snapshot.select("url"), requests).select("url")
     return (
         _based(pages, "status", "ok", "fetched_at")
         .select(
             "url", "status", "ok", "fetched_at",
             F.array_distinct(F.transform(valid, lambda r: r["dst"])).alias("links"),
         )
+        .join(hits, "url", "left_semi")
         .repartition(partitions, "url")
     )

@@ -14,9 +14,6 @@ LOG_SCHEMA = "domain STRING, seq BIGINT, arrival TIMESTAMP"
 ROBOTS_TTL = 3600
 DEFAULT_DELAY = 1.0
 
-# Largest number of distinct arrivals of one domain folded in a single row.
-FOLD_ROWS = 20_000
-
 
 def politeness_schedule(
     request_log: DataFrame,
@@ -26,6 +23,10 @@ def politeness_schedule(
 ) -> DataFrame:
     """Add ``start_at`` and ``wait_seconds`` to ``(domain, seq, arrival)``.
 
+    Where both tables have a ``crawl_id`` every crawl keeps its own times, as
+    delays are settings of a crawl. Without it a domain has one queue, and the
+    longest delay stated for it holds.
+
     The first request of a domain starts at once, each later one at its arrival
     or one delay after the previous start, whichever is later. With ``i`` the
     number of earlier requests that is ``i*d + max(arrival_j - j*d)`` over the
@@ -34,21 +35,24 @@ def politeness_schedule(
     whole microseconds.
     """
     delay = F.round(F.coalesce("delay", F.lit(default_delay)) * 1_000_000).cast("bigint")
-    log = request_log.join(delays.select("domain", "delay"), "domain", "left").select(
-        "domain",
+    both = "crawl_id" in request_log.columns and "crawl_id" in delays.columns
+    keys = ["crawl_id", "domain"] if both else ["domain"]
+    stated = delays.groupBy(*keys).agg(F.max("delay").alias("delay"))
+    log = request_log.join(stated, keys, "left").select(
+        *keys,
         "seq",
         "arrival",
         F.unix_micros("arrival").alias("_at"),
         delay.alias("_delay"),
     )
     order = ["_at", "seq"]
-    size = {"largest": largest_group(request_log, ["domain"]), "window_rows": window_rows}
-    counted = running(log, ["domain"], order, {"_i": ("sum", F.lit(1))}, before=True, **size)
+    size = {"largest": largest_group(request_log, keys), "window_rows": window_rows}
+    counted = running(log, keys, order, {"_i": ("sum", F.lit(1))}, before=True, **size)
     slack = F.col("_at") - F.col("_i") * F.col("_delay")
-    peaks = running(counted, ["domain"], order, {"_peak": ("max", slack)}, **size)
+    peaks = running(counted, keys, order, {"_peak": ("max", slack)}, **size)
     start = F.col("_peak") + F.col("_i") * F.col("_delay")
     return peaks.select(
-        "domain",
+        *keys,
         "seq",
         "arrival",
         F.timestamp_micros(start).alias("start_at"),
@@ -57,56 +61,30 @@ def politeness_schedule(
 
 
 def robots_fetch_plan(
-    request_log: DataFrame, ttl: int = ROBOTS_TTL, fold_rows: int | None = None
+    request_log: DataFrame, ttl: int = ROBOTS_TTL, window_rows: int | None = None
 ) -> DataFrame:
     """Add ``fetches``: does this request fetch robots.txt?
 
     A request fetches when nothing is cached or the last fetch is ``ttl`` or
     more old. Equal arrivals are one point in time, where the smallest ``seq``
-    fetches. A domain with a bounded number of points is folded in one row; the
-    points of a larger one are linked to their successors, and the chain of
-    fetches is followed by doubling, so no task ever holds the whole domain.
+    fetches. Without caching (``ttl`` of 0 or less) every request does. Points are
+    linked to the first one at least ``ttl`` later, and the chains of all domains
+    are followed by doubling, so no task ever holds a whole domain.
     """
-    limit = FOLD_ROWS if fold_rows is None else fold_rows
+    if ttl <= 0:
+        return request_log.withColumn("fetches", F.lit(True))
     points = request_log.groupBy("domain", F.unix_micros("arrival").alias("at")).agg(
         F.min("seq").alias("seq")
     )
-    sizes = points.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.filter(F.col("n") > limit).select("domain")
-    if large.isEmpty():
-        fetches = _fold(points, ttl)
-    else:
-        points = written(points, "points")
-        large = written(large, "large-domains")
-        small = points.join(large, "domain", "left_anti")
-        fetches = _fold(small, ttl).unionByName(
-            _follow(points.join(large, "domain", "left_semi"), ttl)
-        )
+    fetches = _follow(written(points, "points"), ttl, window_rows)
     hits = fetches.withColumn("fetches", F.lit(True))
     return request_log.join(hits, ["domain", "seq"], "left").withColumn(
         "fetches", F.coalesce("fetches", F.lit(False))
     )
 
 
-def _fold(points: DataFrame, ttl: int) -> DataFrame:
-    """``(domain, seq)`` of the fetches of domains whose points fit in one row."""
-    step = ttl * 1_000_000
-    times = points.groupBy("domain").agg(
-        F.array_sort(F.collect_list(F.struct("at", "seq"))).alias("times")
-    )
-    fetched = F.aggregate(
-        "times",
-        F.array().cast("array<struct<at: bigint, seq: bigint>>"),
-        lambda kept, t: F.when(
-            (F.size(kept) == 0) | (t["at"] - F.try_element_at(kept, F.lit(-1))["at"] >= step),
-            F.array_append(kept, t),
-        ).otherwise(kept),
-    )
-    return times.select("domain", F.explode(fetched).alias("t")).select("domain", "t.seq")
-
-
-def _follow(points: DataFrame, ttl: int) -> DataFrame:
-    """``(domain, seq)`` of the fetches of large domains: follow "next point at least ttl later"
+def _follow(points: DataFrame, ttl: int, window_rows: int | None) -> DataFrame:
+    """``(domain, seq)`` of the fetches: follow "next point at least ttl later"
     from the first point, doubling the step length each round."""
     step = ttl * 1_000_000
     # Merge points with the times "ttl later"; the next point at or after such a
@@ -123,7 +101,7 @@ def _follow(points: DataFrame, ttl: int) -> DataFrame:
         ["domain"],
         ["r", "k"],
         {"next": ("min", F.when(F.col("k") == -1, F.col("at")))},
-        window_rows=0,
+        window_rows=window_rows,
     )
     jumps = written(
         ahead.filter("k = 0 AND next IS NOT NULL").select("domain", "at", "next"), "jumps"

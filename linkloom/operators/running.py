@@ -44,7 +44,11 @@ def running(
     the largest key passes it as ``largest``.
     """
     limit = WINDOW_ROWS if window_rows is None else window_rows
-    if (largest_group(df, keys) if largest is None else largest) <= limit:
+    if largest is None and limit > 0:
+        # Counted from the written rows, so what is upstream runs once.
+        df = written(df, "running")
+        largest = largest_group(df, keys)
+    if largest is not None and largest <= limit:
         return _within(df, keys, order, values, before)
     return _chunked(df, keys, order, values, before)
 

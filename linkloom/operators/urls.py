@@ -64,18 +64,18 @@ def seed_scope(requests: DataFrame) -> DataFrame:
 def scope_join(urls: DataFrame, requests: DataFrame, url: str = "url") -> DataFrame:
     """``(crawl_id, url)`` for each canonical URL inside the scope of a crawl.
 
-    An equi-join on the domain with the path as residual predicate. No side is
-    forced to broadcast: the optimizer does it below its size threshold, and
-    above it a domain that holds many rows is split by the adaptive skew join.
+    An equi-join: a URL is keyed by its path and that path's ancestors, a scope by
+    its own path, so only true matches meet, however many pages and crawls a
+    domain has. No side is forced to broadcast: the optimizer does it below its
+    size threshold, and above it a frequent key is split by the adaptive skew join.
     """
-    scopes = requests.select(
-        "crawl_id",
-        over(U.url_domain, "seed_url").alias("domain"),
-        over(U.scope_prefix, "seed_url").alias("prefix"),
-    )
-    keyed = urls.select(F.col(url).alias("url"), over(U.url_domain, url).alias("domain"))
-    return (
-        keyed.join(scopes, "domain")
-        .filter(U.in_scope(F.col("url"), F.col("prefix")))
-        .select("crawl_id", "url")
-    )
+    return page_scopes(urls, requests, url).select("crawl_id", "url")
+
+
+def page_scopes(urls: DataFrame, requests: DataFrame, url: str = "url") -> DataFrame:
+    """``(crawl_id, prefix, url)`` for each canonical URL and scope that holds it."""
+    scopes = requests.select("crawl_id", over(U.scope_prefix, "seed_url").alias("prefix"))
+    scopes = scopes.select("crawl_id", "prefix", F.explode(U.keys_of_scope(F.col("prefix"))).alias("key"))
+    keyed = urls.select(F.col(url).alias("url"))
+    keyed = keyed.select("url", F.explode(U.scope_keys(F.col("url"))).alias("key"))
+    return keyed.join(scopes, "key").select("crawl_id", "prefix", "url")

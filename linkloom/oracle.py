@@ -449,8 +449,8 @@ ORACLE: dict[str, str] = {
                   seconds::DOUBLE AS duration_seconds FROM total"""
     ),
     "crawl_result_document": _hosts(
-        """SELECT total.crawl_id, 0::BIGINT AS part, seed_url, status, total_pages,
-                  coalesce(v.list, '') AS urls_visited, coalesce(f.list, '') AS urls_failed,
+        """SELECT total.crawl_id, seed_url, status, '' AS error, max_depth_reached,
+                  total_pages, coalesce(v.list, '') AS urls_visited, coalesce(f.list, '') AS urls_failed,
                   coalesce(v.pages, '') AS pages
            FROM total
            LEFT JOIN (SELECT crawl_id, string_agg(url, chr(10) ORDER BY url) AS list,
@@ -467,16 +467,33 @@ ORACLE: dict[str, str] = {
                                      ELSE seconds || '.0s' END AS summary FROM total"""
     ),
     "crawl_report": _shop(
-        """SELECT l.crawl_id, section, position, l.url, status, TRUE AS ok,
+        """SELECT total.crawl_id, section, position, l.url, status, TRUE AS ok,
                   greatest(total_pages - 10, 0) AS more_visited
-           FROM (SELECT crawl_id, 'visited' AS section, url,
+           FROM total LEFT JOIN (SELECT * FROM (SELECT crawl_id, 'visited' AS section, url,
                         row_number() OVER (PARTITION BY crawl_id ORDER BY url) AS position, 10 AS n FROM page
                  UNION ALL
                  SELECT crawl_id, 'failed', url,
-                        row_number() OVER (PARTITION BY crawl_id ORDER BY depth, ord), 5 FROM failure) l
-           JOIN total ON total.crawl_id = l.crawl_id
-           WHERE position <= n"""
+                        row_number() OVER (PARTITION BY crawl_id ORDER BY depth, ord), 5 FROM failure)
+                 WHERE position <= n) l ON total.crawl_id = l.crawl_id"""
     ),
+    "crawl_store_pages": _hosts(
+        """SELECT seed_url, page.url, depth, status_code, links_found
+           FROM page JOIN total ON total.crawl_id = page.crawl_id"""
+    ),
+    "crawl_store_list": _hosts("SELECT seed_url, status, total_pages FROM total WHERE status <> 'success'"),
+    "page_snapshot_errors": f"""WITH {PAGES}
+        SELECT src AS url,
+               CASE page_id % 7 WHEN 3 THEN 404 WHEN 5 THEN -1 ELSE 200 END::BIGINT AS status,
+               md5(CASE WHEN page_id % 7 IN (3, 5) THEN '' ELSE html END) AS html_md5 FROM p""",
+    "crawl_errors": f"""WITH {PAGES}
+        SELECT p0.page_id AS crawl_id, CASE WHEN p.page_id % 7 IN (3, 5) THEN 'failed' ELSE 'ok' END AS state,
+               CASE p.page_id % 7 WHEN 3 THEN 404 WHEN 5 THEN -1 ELSE 200 END::BIGINT AS status_code
+        FROM p0 JOIN p ON p.src = p0.src""",
+    "crawl_attempts": f"""WITH {ATTEMPTS}
+        SELECT regexp_extract(url, '/order/(\\d+)', 1)::BIGINT AS crawl_id,
+               CASE WHEN status <> -1 AND html <> '' THEN 'ok' ELSE 'failed' END AS state,
+               status AS status_code
+        FROM outcome WHERE url LIKE 'http%'""",
     # streaming
     "stream_link_discovery": f"""WITH {PAGES}, {REQUESTS}
         SELECT DISTINCT crawl_id, scheme || '://' || word0.host || href AS url

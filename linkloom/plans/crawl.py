@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,14 +79,24 @@ def links_found(run: CrawlRun) -> DataFrame:
     )
 
 
-def crawl(requests: DataFrame, snapshot: DataFrame, robots: DataFrame | None = None) -> CrawlRun:
+def crawl(
+    requests: DataFrame,
+    snapshot: DataFrame,
+    robots: DataFrame | None = None,
+    started_at: datetime | None = None,
+) -> CrawlRun:
     """Crawl every request over the snapshot.
 
-    ``requests(crawl_id, seed_url, max_depth, max_pages, respect_robots_txt)``
-    are valid ones; missing settings get their defaults. ``snapshot`` is keyed
+    ``requests(crawl_id, seed_url, max_depth, max_pages, respect_robots_txt,
+    started_at)`` are valid ones; missing settings get their defaults. Where the
+    table has no ``started_at``, the argument gives it for all. ``snapshot`` is keyed
     by canonical URL, ``robots(domain, fetched_at, status, body)`` is optional.
     """
     spark = requests.sparkSession
+    if "started_at" not in requests.columns:
+        if started_at is None:
+            raise ValueError("a crawl needs started_at, as a column or an argument")
+        requests = requests.withColumn("started_at", F.lit(started_at).cast("timestamp"))
     requests = written(
         with_defaults(requests)
         .withColumn("url", over(U.canonical_url, "seed_url"))

@@ -21,9 +21,6 @@ GOOD_ENDINGS = (SUCCESS, MAX_PAGES_HIT, MAX_DEPTH_HIT)
 REPORT_VISITED = 10
 REPORT_FAILED = 5
 
-# Entries of one document row; a larger crawl gets several rows.
-PART_ROWS = 100_000
-
 
 def page_cap(pages: DataFrame, limits: DataFrame, order: list[str]) -> DataFrame:
     """The first ``max_pages`` rows of each crawl in the given order.
@@ -49,9 +46,7 @@ def crawl_stats(run: CrawlRun) -> DataFrame:
         "crawl_id",
         "seed_url",
         "max_depth",
-        (
-            F.col("started_at") if "started_at" in run.requests.columns else F.lit(None)
-        ).cast("timestamp").alias("_started"),
+        F.col("started_at").cast("timestamp").alias("_started"),
     )
     # The deepest page decides whether the depth limit was met.
     totals = run.enqueued.groupBy("crawl_id").agg(
@@ -107,71 +102,29 @@ def crawl_summary(run: CrawlRun) -> DataFrame:
     return crawl_stats(run).select("crawl_id", line.alias("summary"))
 
 
-def crawl_result_document(run: CrawlRun, part_rows: int = PART_ROWS) -> DataFrame:
-    """The nested document of each crawl: scalars, sorted visited URLs, failed
-    URLs and page records in discovery order.
+def crawl_result_document(run: CrawlRun) -> DataFrame:
+    """The nested document of each crawl, one row: scalars, sorted visited URLs,
+    failed URLs and page records in discovery order.
 
-    A crawl with more than ``part_rows`` entries in a list continues in further
-    rows (``part`` of ``parts``), so that no row and no task has to hold an
-    unbounded crawl; nothing is left out.
+    For crawls whose page cap keeps a document within a row, as the format is
+    meant; ``sources.crawl_store`` keeps crawls of any size as tables.
     """
-    pages = run.page_records()
     entry = F.struct("url", "depth", "status_code", "links_found", "crawled_at", "error")
-    no_entry = F.lit(None).cast(
-        "struct<url: string, depth: int, status_code: int, links_found: int, "
-        "crawled_at: timestamp, error: string>"
+    pages = run.page_records().groupBy("crawl_id").agg(
+        F.sort_array(F.collect_list("url")).alias("urls_visited"),
+        F.sort_array(F.collect_list(F.struct("depth", "ord", entry.alias("entry")))).getField("entry").alias("pages"),
     )
-    lists = (
-        pages.select(
-            "crawl_id",
-            F.explode(F.array(F.lit("page"), F.lit("visited"))).alias("kind"),
-            "url",
-            "depth",
-            "ord",
-            entry.alias("entry"),
-        )
-        .unionByName(
-            run.failed().select(
-                "crawl_id",
-                F.lit("failed").alias("kind"),
-                "url",
-                "depth",
-                "ord",
-                no_entry.alias("entry"),
-            )
-        )
-        .withColumn("by_url", F.when(F.col("kind") == "visited", F.col("url")).otherwise(""))
-        .withColumn("entry", F.when(F.col("kind") == "page", F.col("entry")))
+    failed = run.failed().groupBy("crawl_id").agg(
+        F.sort_array(F.collect_list(F.struct("depth", "ord", "url"))).getField("url").alias("urls_failed")
     )
-    numbered = running(
-        lists,
-        ["crawl_id", "kind"],
-        ["by_url", "depth", "ord"],
-        {"i": ("sum", F.lit(1))},
-        before=True,
-    ).withColumn("part", F.floor(F.col("i") / part_rows).cast("int"))
-
-    def listed(kind: str, value: Column) -> Column:
-        item = F.when(F.col("kind") == kind, F.struct("i", value.alias("value")))
-        return F.array_sort(F.collect_list(item)).getField("value")
-
-    parts = numbered.groupBy("crawl_id", "part").agg(
-        listed("visited", F.col("url")).alias("urls_visited"),
-        listed("failed", F.col("url")).alias("urls_failed"),
-        listed("page", F.col("entry")).alias("pages"),
-    )
-    # Part numbers have no gaps, so their maximum counts them.
-    last = numbered.groupBy("crawl_id").agg((F.max("part") + 1).alias("parts"))
     no_urls = F.array().cast("array<string>")
-    no_pages = F.array().cast(parts.schema["pages"].dataType)
+    no_pages = F.array().cast(pages.schema["pages"].dataType)
     return (
         crawl_stats(run)
-        .join(last, "crawl_id", "left")
-        .join(parts, "crawl_id", "left")
+        .join(pages, "crawl_id", "left")
+        .join(failed, "crawl_id", "left")
         .select(
             "crawl_id",
-            F.coalesce("part", F.lit(0)).alias("part"),
-            F.coalesce("parts", F.lit(1)).alias("parts"),
             "seed_url",
             "status",
             F.lit(None).cast("string").alias("error"),
@@ -192,7 +145,8 @@ def crawl_report(run: CrawlRun) -> DataFrame:
     first failures in discovery order, one row each, with the number of further
     visited URLs and whether the crawl ended well.
 
-    The ranks are limited, so each task passes on only a few rows per crawl.
+    A crawl without any URL has one row with its status and nothing listed. The
+    ranks are limited, so each task passes on only a few rows per crawl.
     """
     by_url = W.partitionBy("crawl_id").orderBy("url")
     by_discovery = W.partitionBy("crawl_id").orderBy("depth", "ord")
@@ -215,4 +169,6 @@ def crawl_report(run: CrawlRun) -> DataFrame:
         F.col("status").isin(*GOOD_ENDINGS).alias("ok"),
         F.greatest(F.col("total_pages") - REPORT_VISITED, F.lit(0)).alias("more_visited"),
     )
-    return visited.unionByName(failed).join(heads, "crawl_id")
+    return heads.join(visited.unionByName(failed), "crawl_id", "left").select(
+        "crawl_id", "section", "position", "url", "status", "ok", "more_visited"
+    )

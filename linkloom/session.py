@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -40,13 +41,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """Give a file scan at least one partition per core.
+    """Deal the rows of a small file to all cores of a single machine.
 
-    Work per row can be heavy (whole pages), and a small file may be one split.
-    A scan that has enough splits, as any large table does, is left alone.
+    Work per row can be heavy (whole pages), and a test file is one split. On a
+    cluster the scan is left alone: splits are set by the file size settings.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    context = scan.sparkSession.sparkContext
+    if not re.fullmatch(r"local(\[[^,\]]*\])?", context.master):
+        return scan
+    return scan.repartition(context.defaultParallelism)
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -7,12 +7,12 @@ is rewritten: deleting adds tombstones.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.session import written
+
 _PAGE = (
     "STRUCT<url: STRING, depth: INT, status_code: INT, links_found: INT, "
     "crawled_at: {time}, error: STRING>"
@@ -23,14 +23,17 @@ _DOCUMENT = (
     "pages ARRAY<{page}>, started_at {time}, finished_at {time}, duration_seconds DOUBLE"
 )
 RUN_SCHEMA = _DOCUMENT.format(page=_PAGE.format(time="TIMESTAMP"), time="TIMESTAMP")
-_STORED = ", batch STRING, seed_bucket INT"
+RUN_TYPES = {
+    "urls_visited": "ARRAY<STRING>",
+    "urls_failed": "ARRAY<STRING>",
+    "pages": f"ARRAY<{_PAGE.format(time='TIMESTAMP')}>",
+}
+_STORED = ", run_id STRING, seed_bucket INT"
 _JSON_SCHEMA = _DOCUMENT.format(page=_PAGE.format(time="STRING"), time="STRING") + _STORED
 _COLUMNS = [
     "crawl_id", "seed_url", "status", "error", "total_pages", "max_depth_reached",
     "urls_visited", "urls_failed", "pages", "started_at", "finished_at", "duration_seconds",
 ]
-_RUN_KEY = ["seed_bucket", "seed_url", "started_at", "crawl_id", "batch"]
-
 SEED_BUCKETS = 64
 
 
@@ -61,17 +64,19 @@ def _savable() -> Column:
     return F.col("seed_url").isNotNull() & F.col("status").isNotNull() & F.col("started_at").isNotNull()
 
 
-def save_runs(runs: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Append runs to the store as ``parquet`` rows or ``json`` documents.
+def save_runs(runs: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
+    """Append runs to the store as ``parquet`` rows or ``json`` documents; one row
+    with ``saved, failed, total``.
 
-    Runs without seed, status or start are not savable and are left out. The
-    rebalance hint lets the adaptive planner even out the files, however the
-    runs are spread over seeds.
+    Runs without seed, status or start are not savable and count as failed. Each
+    saved run gets a ``run_id`` of its own, whatever its crawl id is. The rebalance
+    hint lets the adaptive planner even out the files, however the runs are spread
+    over seeds.
     """
     rows = (
         runs.filter(_savable())
-        .select(*_COLUMNS)
-        .withColumn("batch", F.lit(uuid.uuid4().hex))
+        .select(*_COLUMNS, *[c for c in runs.columns if c == "run_id"])
+        .withColumn("run_id", F.expr("uuid()") if "run_id" not in runs.columns else F.col("run_id"))
         .withColumn("seed_bucket", seed_bucket(F.col("seed_url")))
     )
     if fmt == "json":
@@ -88,11 +93,15 @@ def save_runs(runs: DataFrame, path: str, fmt: str = "parquet") -> None:
     if fmt == "json":
         writer = writer.option("ignoreNullFields", "false")
     writer.format(fmt).save(f"{path}/runs")
+    return _counts(runs)
 
 
 def save_many(runs: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
     """Save a batch; one row with ``saved, failed, total``."""
-    save_runs(runs, path, fmt)
+    return save_runs(runs, path, fmt)
+
+
+def _counts(runs: DataFrame) -> DataFrame:
     return runs.agg(
         F.count_if(_savable()).alias("saved"),
         F.count_if(~_savable()).alias("failed"),
@@ -119,10 +128,12 @@ def _stored(spark: SparkSession, path: str, fmt: str) -> DataFrame:
 def _live(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     rows = _stored(spark, path, fmt)
     try:
-        gone = spark.read.parquet(f"{path}/tombstones")
-    except AnalysisException:  # nothing was ever deleted
-        return rows
-    return rows.join(gone.select(*_RUN_KEY), _RUN_KEY, "left_anti")
+        gone = spark.read.schema("run_id STRING").parquet(f"{path}/tombstones")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return rows  # nothing was ever deleted
+    return rows.join(gone, "run_id", "left_anti")
 
 
 def _of_seeds(rows: DataFrame, seeds: DataFrame | None) -> DataFrame:
@@ -134,11 +145,12 @@ def _of_seeds(rows: DataFrame, seeds: DataFrame | None) -> DataFrame:
 
 
 def _newest(rows: DataFrame) -> DataFrame:
-    """Key of the newest run per seed, from the narrow columns only."""
+    """``run_id`` of the newest run per seed, from the narrow columns only. Of runs
+    that started together the one of the largest crawl id counts."""
     return (
         rows.groupBy("seed_bucket", "seed_url")
-        .agg(F.max(F.struct("started_at", "batch", "crawl_id")).alias("k"))
-        .select("seed_bucket", "seed_url", "k.*")
+        .agg(F.max(F.struct("started_at", F.coalesce("crawl_id", F.lit(-1)), "run_id")).alias("k"))
+        .select("k.run_id")
     )
 
 
@@ -147,13 +159,19 @@ def read_runs(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame
     return _live(spark, path, fmt).select(*_COLUMNS)
 
 
+def latest_ids(spark: SparkSession, path: str, seeds: DataFrame | None = None) -> DataFrame:
+    """``(seed_url, run_id)`` of the newest run of each seed."""
+    rows = _of_seeds(_live(spark, path, "parquet"), seeds)
+    return rows.join(_newest(rows), "run_id").select("seed_url", "run_id")
+
+
 def load_latest(
     spark: SparkSession, path: str, seeds: DataFrame | None = None, fmt: str = "parquet"
 ) -> DataFrame:
     """The newest run of each seed. Its key is found first, so the documents of
     older runs are not moved around."""
     rows = _of_seeds(_live(spark, path, fmt), seeds)
-    return rows.join(_newest(rows), _RUN_KEY, "left_semi").select(*_COLUMNS)
+    return rows.join(_newest(rows), "run_id", "left_semi").select(*_COLUMNS)
 
 
 def run_exists(spark: SparkSession, path: str, seeds: DataFrame, fmt: str = "parquet") -> DataFrame:
@@ -171,11 +189,10 @@ def delete_latest(
     """Remove the newest run of each seed; ``(seed_url, deleted)``."""
     found = run_exists(spark, path, seeds, fmt).select("seed_url", F.col("found").alias("deleted"))
     # The answer must be fixed before the tombstones change it.
-    answer = f"{path}/answers/{uuid.uuid4().hex}"
-    found.write.parquet(answer)
+    found = written(found, "deleted")
     newest = _newest(_of_seeds(_live(spark, path, fmt), seeds))
-    newest.select(*_RUN_KEY).write.mode("append").parquet(f"{path}/tombstones")
-    return spark.read.schema("seed_url STRING, deleted BOOLEAN").parquet(answer)
+    newest.write.mode("append").parquet(f"{path}/tombstones")
+    return found
 
 
 def list_crawls(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

@@ -21,10 +21,13 @@ def page_snapshot(pages: DataFrame) -> DataFrame:
     """``(url, status, html, fetched_at)`` keyed by canonical URL.
 
     ``pages`` has ``page_id, url, html`` and optionally ``status`` (else 200)
-    and ``fetched_at`` (else null).
-    Among pages with one canonical URL the smallest ``page_id`` counts. It is
-    found without touching the bodies; the join back has the unique page in its
-    key, so a URL that was stored very often stays spread out.
+    and ``fetched_at`` (else null). A page stored with a client error (4xx) keeps
+    its status and has no body; one with a server error (5xx and above) is a
+    failed fetch: status -1, no body.
+
+    Among pages with one canonical URL the smallest ``page_id`` counts. The others
+    are found from the narrow columns, and only their ids meet the bodies, so with
+    few repeats no body is moved.
     """
     status = F.col("status").cast("int") if "status" in pages.columns else F.lit(200)
     keyed = pages.select(
@@ -34,8 +37,19 @@ def page_snapshot(pages: DataFrame) -> DataFrame:
         "html",
         _fetched_at(pages),
     ).filter(F.col("url").isNotNull())
-    first = keyed.groupBy("url").agg(F.min("page_id").alias("page_id"))
-    return keyed.join(first, ["url", "page_id"], "left_semi").drop("page_id")
+    named = keyed.select("url", "page_id")
+    repeated = named.groupBy("url").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    later = (
+        named.join(repeated.filter("n > 1"), "url").filter("page_id > first").select("page_id")
+    )
+    kept = keyed.join(later, "page_id", "left_anti")
+    failed = F.col("status") >= 500
+    return kept.select(
+        "url",
+        F.when(failed, F.lit(-1)).otherwise(F.col("status")).alias("status"),
+        F.when(F.col("status") >= 400, F.lit("")).otherwise(F.col("html")).alias("html"),
+        "fetched_at",
+    )
 
 
 def snapshot_from_outcomes(outcomes: DataFrame) -> DataFrame:

@@ -9,20 +9,20 @@ from pyspark.sql.streaming import StreamingQuery
 from linkloom.functions import urls as U
 from linkloom.functions.columns import over
 from linkloom.operators.links import page_links
-from linkloom.session import new_path
+from linkloom.session import new_path, written
 
 PAGES_SCHEMA = "page_id BIGINT, url STRING, html STRING"
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def page_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFrame:
-    """Pages from files as they arrive."""
-    return (
-        spark.readStream.schema(PAGES_SCHEMA)
-        .option("pathGlobFilter", pattern)
-        .parquet(folder)
-    )
+def page_stream(spark: SparkSession, path: str) -> DataFrame:
+    """Pages from the files of a folder as they arrive, or from a single file.
+
+    A plain path must be a folder for the file source; written as a pattern that
+    only matches itself it may be either.
+    """
+    return spark.readStream.schema(PAGES_SCHEMA).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def discovered_links(pages: DataFrame, requests: DataFrame) -> DataFrame:
@@ -32,16 +32,15 @@ def discovered_links(pages: DataFrame, requests: DataFrame) -> DataFrame:
     state; it never expires, just as a crawl never forgets a URL.
     """
     keyed = pages.select(over(U.canonical_url, "url").alias("url"), "html")
-    scopes = requests.select(
-        "crawl_id",
-        over(U.url_domain, "seed_url").alias("domain"),
-        over(U.scope_prefix, "seed_url").alias("prefix"),
-    )
+    scopes = requests.select("crawl_id", over(U.scope_prefix, "seed_url").alias("prefix"))
+    scopes = scopes.select("crawl_id", "prefix", F.explode(U.keys_of_scope(F.col("prefix"))).alias("key"))
+    # Written once: each micro-batch reads the scopes, not what they are made of.
+    scopes = written(scopes, "scopes")
     links = page_links(keyed).filter("fault IS NULL")
     return (
-        links.withColumn("domain", over(U.url_domain, "src"))
-        .join(scopes, "domain")
-        .filter(U.in_scope(F.col("src"), F.col("prefix")) & U.in_scope(F.col("dst"), F.col("prefix")))
+        links.withColumn("key", F.explode(U.scope_keys(F.col("src"))))
+        .join(scopes, "key")
+        .filter(U.in_scope(F.col("dst"), F.col("prefix")))
         .select("crawl_id", F.col("dst").alias("url"))
         .dropDuplicates(["crawl_id", "url"])
     )

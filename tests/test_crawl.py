@@ -1,6 +1,7 @@
 """The crawl plan against a queue simulation on random webs."""
 
 import random
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from linkloom.plans import report
 from linkloom.plans.crawl import crawl
 
 REQUEST = "crawl_id long, seed_url string, max_depth int, max_pages int, respect_robots_txt boolean"
+START = datetime(2026, 1, 2, 3, 4, 5, tzinfo=timezone.utc)
 ROBOTS = "domain string, fetched_at timestamp, status int, body string"
 
 
@@ -66,7 +68,7 @@ def test_many_crawls_equal_queue(spark, monkeypatch, window_rows):
         ok = {**fetch, "http://h/s/": True}
         expected[i] = simulate(start, depth, cap, web, ok, blocked if respect else set())
     index = ("http://h/s/", 200, "".join(f"<a href={u}>" for u in url[:6]))
-    run = crawl(spark.createDataFrame(requests, REQUEST), snapshot(spark, rows + [index]), robots)
+    run = crawl(spark.createDataFrame(requests, REQUEST), snapshot(spark, rows + [index]), robots, START)
     pages, failed, status = results(run)
     for i, (want_pages, want_failed, want_status) in expected.items():
         assert pages.get(i, []) == want_pages, (i, limits[i])
@@ -75,46 +77,44 @@ def test_many_crawls_equal_queue(spark, monkeypatch, window_rows):
 
 
 def test_literal_cases(spark):
-    seed = "https://docs.example.org/3/"
-    html = "<a href='/3/tutorial/'>t</a><a href='/3/library/'>l</a>"
-    rows = [(seed, 200, html), (seed + "tutorial/", 200, "x"), (seed + "library/", 404, "")]
+    seed = "https://lib.m.test/v2/"
+    html = "<a href='/v2/shelf/'>t</a><a href='/v2/row/'>l</a>"
+    rows = [(seed, 200, html), (seed + "shelf/", 200, "x"), (seed + "row/", 404, "")]
     requests = [
         (1, seed, 0, 10, False),  # depth 0: the seed only
         (2, seed, 3, 1, False),  # cap 1
         (3, seed, 2, 10, True),  # robots denies all
-        (4, "https://docs.example.org/4/", 2, 10, False),  # seed not stored
-        (5, "https://docs.example.org/3#x", 2, 10, False),  # seed without slash
+        (4, "https://lib.m.test/v1/", 2, 10, False),  # seed not stored
+        (5, "https://lib.m.test/v2#x", 2, 10, False),  # seed without slash
         (6, "http://[bad/", 2, 10, False),  # no canonical seed
-        (7, "https://docs.example.org/3/library", 1, 10, False),
+        (7, "https://lib.m.test/v2/row", 1, 10, False),
     ]
-    robots = spark.createDataFrame([("docs.example.org", None, 200, "User-agent: *\nDisallow: /")], ROBOTS)
-    run = crawl(spark.createDataFrame(requests, REQUEST), snapshot(spark, rows), robots)
+    robots = spark.createDataFrame([("lib.m.test", None, 200, "User-agent: *\nDisallow: /")], ROBOTS)
+    run = crawl(spark.createDataFrame(requests, REQUEST), snapshot(spark, rows), robots, START)
     pages, failed, status = results(run)
     assert pages == {1: [(seed, 0, 0)], 2: [(seed, 0, 2)]}
-    assert failed == {4: ["https://docs.example.org/4/"], 5: ["https://docs.example.org/3"], 7: [seed + "library"]}
+    assert failed == {4: ["https://lib.m.test/v1/"], 5: ["https://lib.m.test/v2"], 7: [seed + "row"]}
     assert status == {
         1: "max_depth_hit", 2: "max_pages_hit", 3: "success", 4: "success", 5: "success", 6: "failed", 7: "success",
     }
     docs = {r.crawl_id: r for r in report.crawl_result_document(run).collect()}
     assert len(docs) == 7 and docs[3].urls_visited == [] and docs[3].pages == [] and docs[4].urls_failed
+    # A crawl that robots.txt keeps from every page is reported too.
+    blocked = [r for r in report.crawl_report(run).collect() if r.crawl_id == 3]
+    assert [(r.section, r.url, r.status, r.ok) for r in blocked] == [(None, None, "success", True)]
     summary = {r.crawl_id: r.summary for r in report.crawl_summary(run).collect()}
     assert summary[1] == f"seed={seed} status=max_depth_hit pages=1 failed=0 max_depth_reached=0 duration=ongoing"
 
 
-def test_documents_split_and_join_again(spark):
+def test_documents_and_listings_agree(spark):
     _, url, links, fetch, _, rows = random_web(9, 120)
     index = ("http://h/s/", 200, "".join(f"<a href={u}>" for u in url[:6]))
     requests = [(1, "http://h/s/", 9, 999, False), (2, "http://h/s/", 2, 20, False)]
-    run = crawl(spark.createDataFrame(requests, REQUEST), snapshot(spark, rows + [index]))
+    run = crawl(spark.createDataFrame(requests, REQUEST), snapshot(spark, rows + [index]), None, START)
     whole = {r.crawl_id: r for r in report.crawl_result_document(run).collect()}
-    split = report.crawl_result_document(run, part_rows=7).orderBy("crawl_id", "part").collect()
-    for crawl_id, doc in whole.items():
-        parts = [r for r in split if r.crawl_id == crawl_id]
-        assert doc.parts == 1 and len(parts) == parts[0].parts > 1
-        assert [r.part for r in parts] == list(range(len(parts)))
-        for name in ("urls_visited", "urls_failed", "pages"):
-            assert [x for r in parts for x in r[name]] == list(doc[name])
+    for doc in whole.values():
         assert doc.urls_visited == sorted(doc.urls_visited) and len(doc.pages) == doc.total_pages
+        assert sorted(p.url for p in doc.pages) == doc.urls_visited
     listed = report.crawl_report(run).filter("section = 'visited'").orderBy("crawl_id", "position").collect()
     for crawl_id, doc in whole.items():
         mine = [r for r in listed if r.crawl_id == crawl_id]

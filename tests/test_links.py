@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from linkloom.operators import links as L
 
-PAGE = "https://docs.example.org/3/tutorial/"
-SEED = "https://docs.example.org/3/"
+PAGE = "https://lib.m.test/v2/shelf/"
+SEED = "https://lib.m.test/v2/"
 
 
 def classified(spark, html, seen=()):
@@ -22,24 +22,24 @@ def classified(spark, html, seen=()):
     "html, reasons, targets",
     [
         (
-            "<a href='https://docs.example.org/3/a'>a</a><a href='../library/os.html'>b</a><a href='/3/library/os.html'>c</a>",
-            ["accepted", "accepted", "duplicate"], [SEED + "a", SEED + "library/os.html"],
+            "<a href='https://lib.m.test/v2/p'>1</a><a href='../row/top.html'>2</a><a href='/v2/row/top.html'>3</a>",
+            ["accepted", "accepted", "duplicate"], [SEED + "p", SEED + "row/top.html"],
         ),
         ("", [], []),
-        ("<p>none</p><a name='x'>y</a><a href=''>z</a>", [], []),
+        ("<p>text</p><a id='w'>no href</a><a href=''>empty</a>", [], []),
         (
-            "<a href='mailto:a@b'><a href='tel:1'><a href='javascript:void(0)'><a href='#s'><a href='https://code.example.com/x'><a href='/2/tutorial/'>",
+            "<a href='mailto:me@m.test'><a href='tel:49'><a href='javascript:go()'><a href='#mid'><a href='https://n.test/w'><a href='/v1/shelf/'>",
             ["non_http_scheme"] * 3 + ["fragment", "out_of_scope", "out_of_scope"], [],
         ),
-        ("<a href='x'><a href='x#1'><a href='HTTPS://DOCS.EXAMPLE.ORG/3/tutorial/x'>", ["accepted", "duplicate", "duplicate"], [PAGE + "x"]),
-        ("<a href='/3/1'><a href='/3/2'><a href='/3/3'>", ["accepted"] * 3, [SEED + "1", SEED + "2", SEED + "3"]),
-        ("<base href='https://docs.example.org/3/library/'><a href='os.html'>", ["accepted"], [SEED + "library/os.html"]),
-        ("<base href='/3/library/'><a href='os.html'>", ["invalid"], []),
-        ("<base href=''><a href='os.html'><a href='https://docs.example.org/3/z'>", ["invalid", "accepted"], [SEED + "z"]),
-        ("<base href='http://[bad'><a href='os.html'>", ["unresolvable"], []),
-        ("<a href='intro.html'>", ["accepted"], [PAGE + "intro.html"]),
-        ("<a href='/3/tutorial/'>unclosed", ["accepted"], [PAGE]),
-        ("<a href='/3/wiki/Help:X'><a href='p?t=12:30'><a href='//[bad/'>", ["non_http_scheme", "non_http_scheme", "unresolvable"], []),
+        ("<a href='q'><a href='q#2'><a href='HTTPS://LIB.M.TEST/v2/shelf/q'>", ["accepted", "duplicate", "duplicate"], [PAGE + "q"]),
+        ("<a href='/v2/c'><a href='/v2/b'><a href='/v2/a'>", ["accepted"] * 3, [SEED + "c", SEED + "b", SEED + "a"]),
+        ("<base href='https://lib.m.test/v2/row/'><a href='top.html'>", ["accepted"], [SEED + "row/top.html"]),
+        ("<base href='/v2/row/'><a href='top.html'>", ["invalid"], []),
+        ("<base href=''><a href='top.html'><a href='https://lib.m.test/v2/z'>", ["invalid", "accepted"], [SEED + "z"]),
+        ("<base href='http://[odd'><a href='top.html'>", ["unresolvable"], []),
+        ("<a href='first.html'>", ["accepted"], [PAGE + "first.html"]),
+        ("<a href='/v2/shelf/'>left open", ["accepted"], [PAGE]),
+        ("<a href='/v2/note/Ask:W'><a href='p?at=9:15'><a href='//[odd/'>", ["non_http_scheme", "non_http_scheme", "unresolvable"], []),
     ],
 )
 def test_page(spark, html, reasons, targets):
@@ -49,7 +49,7 @@ def test_page(spark, html, reasons, targets):
 
 
 def test_known_targets(spark):
-    html = "<a href='/3/seen'><a href='/3/new'><a href='/3/seen'>"
+    html = "<a href='/v2/seen'><a href='/v2/new'><a href='/v2/seen'>"
     rows, _ = classified(spark, html, [SEED + "seen"])
     assert [r for _, r in rows] == ["visited", "accepted", "visited"]
     edges = spark.createDataFrame([(1, PAGE, SEED + "seen"), (1, PAGE, SEED + "new"), (2, PAGE, SEED + "seen")], "crawl_id long, src string, dst string")

@@ -59,11 +59,11 @@ def test_schedule_equals_loop(spark, window_rows):
     assert got == want
 
 
-@pytest.mark.parametrize("fold_rows", [None, 100, 0])
-@pytest.mark.parametrize("ttl", [7, 60])
-def test_fetch_plan_equals_loop(spark, fold_rows, ttl):
+@pytest.mark.parametrize("window_rows", [None, 0])
+@pytest.mark.parametrize("ttl", [0, 7, 60])
+def test_fetch_plan_equals_loop(spark, window_rows, ttl):
     rows = random_log(random.Random(ttl), 1500, 3000)
-    out = politeness.robots_fetch_plan(log_frame(spark, rows), ttl, fold_rows=fold_rows)
+    out = politeness.robots_fetch_plan(log_frame(spark, rows), ttl, window_rows)
     got = {(r.domain, r.seq): r.fetches for r in out.collect()}
     want, last = {}, {}
     for domain, seq, at in sorted(rows, key=lambda r: (r[2], r[1])):
@@ -74,40 +74,59 @@ def test_fetch_plan_equals_loop(spark, fold_rows, ttl):
 
 
 def test_fetch_plan_literal(spark):
-    rows = [("a.org", 1, 0), ("a.org", 2, 5), ("a.org", 3, 9), ("b.org", 4, 1), ("c.org", 5, 0), ("c.org", 6, 9_999_000_000)]
+    rows = [("p.test", 11, 0), ("p.test", 12, 40), ("p.test", 13, 80), ("q.test", 14, 7), ("r.test", 15, 0), ("r.test", 16, 7_200_000_000)]
     out = politeness.robots_fetch_plan(log_frame(spark, rows))
-    assert {r.seq for r in out.filter("fetches").collect()} == {1, 4, 5, 6}
+    assert {r.seq for r in out.filter("fetches").collect()} == {11, 14, 15, 16}
+
+
+def test_equal_arrivals(spark):
+    rows = [("p.test", 2, 5), ("p.test", 1, 5), ("p.test", 3, 5)]
+    cached = politeness.robots_fetch_plan(log_frame(spark, rows), 60)
+    assert {r.seq for r in cached.filter("fetches").collect()} == {1}
+    assert politeness.robots_fetch_plan(log_frame(spark, rows), 0).filter("fetches").count() == 3
+
+
+def test_delays_belong_to_crawls(spark):
+    rows = [(1, "p.test", 1, 0), (1, "p.test", 2, 0), (2, "p.test", 3, 0), (2, "p.test", 4, 0)]
+    log = spark.createDataFrame(rows, "crawl_id long, domain string, seq long, at long").select(
+        "crawl_id", "domain", "seq", F.timestamp_micros("at").alias("arrival")
+    )
+    delays = spark.createDataFrame([(1, "p.test", 2.0), (2, "p.test", 9.0)], "crawl_id long, domain string, delay double")
+    waits = {r.seq: r.wait_seconds for r in politeness.politeness_schedule(log, delays).collect()}
+    assert waits == {1: 0.0, 2: 2.0, 3: 0.0, 4: 9.0}
+    # Without crawls a domain has one queue, and no row is multiplied.
+    shared = politeness.politeness_schedule(log.drop("crawl_id"), delays)
+    assert sorted(r.wait_seconds for r in shared.collect()) == [0.0, 9.0, 18.0, 27.0]
 
 
 ATTEMPTS = {
-    "http://h/200": [("response", 200)],
-    "not-a-valid-url": [("response", 200)],
-    "http://h/404": [("response", 404), ("response", 200)],
-    "http://h/500": [("response", 500)] * 3 + [("response", 200)],
-    "http://h/500-200": [("response", 500), ("response", 200)],
-    "http://h/timeout": [("timeout", None), ("response", 200)],
-    "http://h/error": [("connection", None), ("error", None), ("response", 200)],
-    "http://h/301": [("response", 301)],
+    "http://m.test/fine": [("response", 204)],
+    "no scheme at all": [("response", 200)],
+    "http://m.test/gone": [("response", 410), ("response", 200)],
+    "http://m.test/down": [("response", 502), ("response", 503), ("response", 500), ("response", 200)],
+    "http://m.test/back": [("response", 503), ("response", 200)],
+    "http://m.test/slow": [("timeout", None), ("response", 200)],
+    "http://m.test/cut": [("connection", None), ("error", None), ("response", 200)],
+    "http://m.test/moved": [("response", 302)],
 }
 
 
 def test_fetch_attempts_literal(spark):
+    body = "<i>leaf</i>"
     rows = [
-        (u, i + 1, kind, status, "<p>body</p>" if kind == "response" else None)
+        (u, i + 1, kind, status, body if kind == "response" else None)
         for u, tries in ATTEMPTS.items()
         for i, (kind, status) in enumerate(tries)
     ]
     df = spark.createDataFrame(rows, fetchlog.SCHEMA).repartition(3)
-    outcome = {r.url: (r.status, r.html) for r in fetchlog.fetch_outcome(df).collect()}
-    ok = (200, "<p>body</p>")
-    assert outcome == {
-        "http://h/200": ok, "not-a-valid-url": (-1, ""), "http://h/404": (404, ""), "http://h/500": (-1, ""),
-        "http://h/500-200": ok, "http://h/timeout": ok, "http://h/error": (-1, ""), "http://h/301": (301, "<p>body</p>"),
+    want = {  # status, body, attempts used, seconds waited
+        "http://m.test/fine": (204, body, 1, 0), "no scheme at all": (-1, "", 0, 0), "http://m.test/gone": (410, "", 1, 0),
+        "http://m.test/down": (-1, "", 3, 6), "http://m.test/back": (200, body, 2, 2), "http://m.test/slow": (200, body, 2, 2),
+        "http://m.test/cut": (-1, "", 2, 2), "http://m.test/moved": (302, body, 1, 0),
     }
+    outcome = {r.url: (r.status, r.html) for r in fetchlog.fetch_outcome(df).collect()}
+    assert outcome == {u: w[:2] for u, w in want.items()}
     budget = {r.url: (r.attempts_used, r.backoff_seconds) for r in fetchlog.retry_budget(df).collect()}
-    assert budget == {
-        "http://h/200": (1, 0), "not-a-valid-url": (0, 0), "http://h/404": (1, 0), "http://h/500": (3, 6),
-        "http://h/500-200": (2, 2), "http://h/timeout": (2, 2), "http://h/error": (2, 2), "http://h/301": (1, 0),
-    }
+    assert budget == {u: w[2:] for u, w in want.items()}
     split = {r.url: r.outcome for r in fetchlog.split_outcomes(fetchlog.fetch_outcome(df)).collect()}
-    assert split["http://h/404"] == "failed" and split["http://h/301"] == "visited"
+    assert split["http://m.test/gone"] == "failed" and split["http://m.test/moved"] == "visited"

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from linkloom.operators import robots as R
 
-BODY_D = "\nUser-agent: *\nDisallow: /admin/\nAllow: /public/\nCrawl-delay: 2\n"
-BODY_A = "\nUser-agent: *\nDisallow:\n"
+RULED = "# cellar\nUser-agent: *\nCrawl-delay: 6\nAllow: /cellar/door\nDisallow: /cellar\n"
+OPEN = "User-agent: *\nAllow: /\n"
 
 
 def table(spark, bodies):
@@ -30,27 +30,23 @@ def delays(spark, bodies, agent="*"):
 
 
 def test_literal_cases(spark):
-    bodies = {"d.org": (200, BODY_D), "a.org": (200, BODY_A), "m.org": (404, BODY_D), "e.org": (500, BODY_D)}
-    got = verdicts(
-        spark, bodies,
-        ["https://d.org/3/tutorial/", "https://d.org/admin/settings", "https://a.org/x", "https://m.org/admin/",
-         "https://e.org/admin/", "https://none.org/admin/"],
-    )
-    assert got == {
-        "https://d.org/3/tutorial/": True, "https://d.org/admin/settings": False, "https://a.org/x": True,
-        "https://m.org/admin/": True, "https://e.org/admin/": True, "https://none.org/admin/": True,
+    bodies = {"ruled.test": (200, RULED), "open.test": (200, OPEN), "gone.test": (410, RULED), "down.test": (503, RULED)}
+    want = {
+        "https://ruled.test/attic": True, "https://ruled.test/cellar/wine?year=1": False, "https://ruled.test/cellar/door": True,
+        "https://open.test/cellar": True, "https://gone.test/cellar": True, "https://down.test/cellar": True, "https://silent.test/cellar": True,
     }
-    assert delays(spark, bodies) == {"d.org": 2, "a.org": None, "m.org": None, "e.org": None}
+    assert verdicts(spark, bodies, list(want)) == want
+    assert delays(spark, bodies) == {"ruled.test": 6, "open.test": None, "gone.test": None, "down.test": None}
 
 
 def test_flag_off_allows(spark):
-    rules = R.robots_rules(table(spark, {"d.org": (200, BODY_D)}))
+    rules = R.robots_rules(table(spark, {"ruled.test": (200, RULED)}))
     df = spark.createDataFrame(
-        [("https://d.org/admin/", False), ("https://d.org/admin/", True)], "url string, respect_robots_txt boolean"
+        [("https://ruled.test/cellar", False), ("https://ruled.test/cellar", True)], "url string, respect_robots_txt boolean"
     )
     got = {r.respect_robots_txt: r.allowed for r in R.robots_allowed(df, rules).collect()}
     assert got == {False: True, True: False}
-    domains = spark.createDataFrame([("d.org", False)], "domain string, respect_robots_txt boolean")
+    domains = spark.createDataFrame([("ruled.test", False)], "domain string, respect_robots_txt boolean")
     assert R.crawl_delay(domains, rules).first().delay is None
 
 

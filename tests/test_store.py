@@ -10,8 +10,8 @@ from linkloom.session import new_path
 from linkloom.sources import runs as store
 from linkloom.sources.requests import SCHEMA, accepted_requests, validate_requests
 
-T0 = datetime(2026, 5, 9, 14, 30, 22, tzinfo=timezone.utc)
-LONG = "https://docs.example.org/" + "x" * 300
+T0 = datetime(2031, 11, 3, 6, 7, 8, tzinfo=timezone.utc)
+LONG = "https://lib.m.test/" + "w" * 300
 
 
 def run(crawl_id, seed, hours=0, micros=0, status="success"):
@@ -48,7 +48,7 @@ def test_requests(spark):
 def test_store_life(spark, fmt):
     path = new_path(spark, "test-runs")
     near = ["https://h/3", "https://h/3/lib"]
-    first = [run(1, near[0]), run(2, near[1], 5), run(3, "https://docs.example.org/3/", 0, 7), run(9, near[0], status=None)]
+    first = [run(1, near[0]), run(2, near[1], 5), run(3, "https://lib.m.test/v2/", 0, 7), run(9, near[0], status=None)]
     counts = store.save_many(frame(spark, first), path, fmt).first()
     assert (counts.saved, counts.failed, counts.total) == (3, 1, 4)
     store.save_runs(frame(spark, [run(4, near[0], 1)]), path, fmt)
@@ -72,9 +72,9 @@ def test_store_life(spark, fmt):
 
     listed = [(r.filename, r.started_at, r.total_pages) for r in store.list_crawls(spark, path, fmt).collect()]
     assert listed == [
-        ("docs.example.org_3__20260509_143022.json", "2026-05-09T14:30:22.000007+00:00", 1),
-        ("h_3_20260509_153022.json", "2026-05-09T15:30:22+00:00", 1),
-        ("h_3_lib_20260509_193022.json", "2026-05-09T19:30:22+00:00", 1),
+        ("h_3_20311103_070708.json", "2031-11-03T07:07:08+00:00", 1),
+        ("h_3_lib_20311103_110708.json", "2031-11-03T11:07:08+00:00", 1),
+        ("lib.m.test_v2__20311103_060708.json", "2031-11-03T06:07:08.000007+00:00", 1),
     ]
 
 
@@ -86,7 +86,7 @@ def test_json_documents_keep_nulls_and_text(spark):
     assert "https://h/éü" in line
     doc = json.loads(line)
     assert doc["error"] is None and doc["pages"][0]["error"] is None
-    assert doc["started_at"] == "2026-05-09T14:30:22+00:00" and doc["duration_seconds"] == 1.5
+    assert doc["started_at"] == "2031-11-03T06:07:08+00:00" and doc["duration_seconds"] == 1.5
     with open(files[0], "a", encoding="utf-8") as f:
         f.write("{broken\n")
     os.remove(os.path.join(os.path.dirname(files[0]), "." + os.path.basename(files[0]) + ".crc"))
@@ -96,4 +96,42 @@ def test_json_documents_keep_nulls_and_text(spark):
 def test_long_names_are_cut(spark):
     df = frame(spark, [run(1, LONG)])
     name = df.select(store.run_filename(df.seed_url, df.started_at).alias("n")).first().n
-    assert name == ("docs.example.org_" + "x" * 300)[:180] + "_20260509_143022.json"
+    assert name == ("lib.m.test_" + "w" * 300)[:180] + "_20311103_060708.json"
+
+
+def test_runs_without_crawl_id(spark):
+    path = new_path(spark, "test-null-ids")
+    rows = [run(None, f"https://m.test/{i}") for i in range(5)]
+    counts = store.save_runs(frame(spark, rows), path).first()
+    assert (counts.saved, counts.failed) == (5, 0)
+    seeds = spark.createDataFrame([(r[1],) for r in rows], "seed_url string")
+    assert store.load_latest(spark, path, seeds).count() == 5
+    assert store.delete_latest(spark, path, seeds).filter("deleted").count() == 5
+    assert store.read_runs(spark, path).isEmpty()
+
+
+def test_crawl_is_saved_whole(spark):
+    from linkloom.plans.crawl import crawl
+    from linkloom.plans.report import crawl_result_document
+    from linkloom.sources import crawl_store
+    from linkloom.sources.snapshot import page_snapshot
+
+    pages = spark.createDataFrame(
+        [(1, "http://m.test/", "<a href=p><a href=q><a href=r>", 200), (2, "http://m.test/p", "leaf", 200),
+         (3, "http://m.test/q", "not here", 404), (4, "http://m.test/r", "oops", 500)],
+        "page_id long, url string, html string, status int",
+    )
+    requests = spark.createDataFrame([(None, "http://n.test/"), (7, "http://m.test/")], "crawl_id long, seed_url string")
+    with pytest.raises(ValueError):
+        crawl(requests, page_snapshot(pages))
+    done = crawl(requests.filter("crawl_id = 7"), page_snapshot(pages), None, T0)
+    path = new_path(spark, "test-crawl")
+    assert crawl_store.save_crawl(done, path).first().saved == 1
+    assert store.list_crawls(spark, path).first().total_pages == 2
+    assert {r.url for r in crawl_store.latest_pages(spark, path).collect()} == {"http://m.test/", "http://m.test/p"}
+    assert {r.url for r in crawl_store.latest_failed(spark, path).collect()} == {"http://m.test/q", "http://m.test/r"}
+    text = json.loads(crawl_result_document(done).select(crawl_store.document_json()).first()[0])
+    assert text["max_depth_reached"] == 1 and text["error"] is None and len(text["urls_failed"]) == 2
+    seeds = requests.select("seed_url")
+    store.delete_latest(spark, path, seeds)
+    assert store.list_crawls(spark, path).isEmpty() and crawl_store.latest_pages(spark, path).isEmpty()

@@ -32,3 +32,15 @@ def test_stream_equals_batch_and_never_repeats(spark):
     twice_stored = pages.count() - page_snapshot(pages).count()
     if not twice_stored:
         assert got.exceptAll(batch).isEmpty()
+
+
+def test_folder_and_file_give_the_same(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    folder, requests = new_path(spark, "table") + "/pages.parquet", host_requests(pages)
+    pages.write.parquet(folder)
+    found = []
+    for path in (folder, "/root/testdata/sf0.001/pages.parquet"):
+        out, state = new_path(spark, "out"), new_path(spark, "state")
+        write_discovered(discovered_links(page_stream(spark, path), requests), out, state).awaitTermination()
+        found.append(spark.read.parquet(out).count())
+    assert found[0] == found[1] > 0
