@@ -103,7 +103,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class _Tables:
-    """A worker's in-process database with the merge table and the vocabulary."""
+    """A worker's merge table and vocabulary, and a task's in-process database with them.
+
+    The database lives as long as the task: an idle worker keeps no more than the tables.
+    """
 
     def __init__(self, path: str):
         self.ranks = read_ranks(path)
@@ -115,29 +118,30 @@ class _Tables:
         ]
         single = {x for left, right, rank in merges for x in (left, right) if rank < x}
         table = np.array(merges, dtype="int32").reshape(-1, 3)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
-        self.put(
-            "merges",
-            l=table[:, 0],
-            r=table[:, 1],
-            rank=table[:, 2],
-            single=np.array([rank in single for *_, rank in merges], dtype=bool),
-        )
-        self.con.register(
-            "given",
-            pa.table(
-                {
-                    "id": pa.array(list(self.ranks.values()), pa.int32()),
-                    "hex": pa.array([t.hex() for t in self.ranks], pa.string()),
-                }
-            ),
-        )
-        self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
-        self.con.unregister("given")
+        self.merges = {
+            "l": table[:, 0],
+            "r": table[:, 1],
+            "rank": table[:, 2],
+            "single": np.array([rank in single for *_, rank in merges], dtype=bool),
+        }
+        self.vocabulary = {
+            "id": pa.array(list(self.ranks.values()), pa.int32()),
+            "hex": pa.array([t.hex() for t in self.ranks], pa.string()),
+        }
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], dtype="int32")
         self.known = set(self.ranks.values())
 
-    def put(self, name: str, **columns: np.ndarray) -> None:
+    def __enter__(self) -> _Tables:
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self.put("merges", **self.merges)
+        self.put("vocabulary", **self.vocabulary)
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.con.close()
+        pa.default_memory_pool().release_unused()
+
+    def put(self, name: str, **columns: np.ndarray | pa.Array) -> None:
         self.con.register("given", pa.table(columns))
         self.con.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
         self.con.unregister("given")
@@ -273,14 +277,15 @@ def encode(
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, pieces_of = _tables(path), regex.compile(pattern).findall
-        memory = _Memory(tables)
-        for batch in batches:
-            for rows, offsets, ids in _encoded(batch, memory, pieces_of, text):
-                out = [batch.column(key).slice(rows.start, len(rows)), pa.ListArray.from_arrays(offsets, ids)]
-                if decoded:
-                    out.append(pa.array(tables.decode(offsets, ids), pa.binary()))
-                yield pa.RecordBatch.from_arrays(out, names=schema.names)
+        pieces_of = regex.compile(pattern).findall
+        with _tables(path) as tables:
+            memory = _Memory(tables)
+            for batch in batches:
+                for rows, offsets, ids in _encoded(batch, memory, pieces_of, text):
+                    out = [batch.column(key).slice(rows.start, len(rows)), pa.ListArray.from_arrays(offsets, ids)]
+                    if decoded:
+                        out.append(pa.array(tables.decode(offsets, ids), pa.binary()))
+                    yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
     docs = docs.select(docs[key], docs[text])
     schema = T.StructType([docs.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
@@ -293,16 +298,16 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """All columns and ``decoded``, the bytes that the ids stand for (null: none)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _tables(path)
-        for batch in batches:
-            lists = batch.column(ids)
-            lists = lists.fill_null([]) if lists.null_count else lists
-            offsets = lists.offsets.to_numpy()
-            values = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
-            found = tables.decode(offsets - offsets[0], values)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, "decoded"]
-            )
+        with _tables(path) as tables:
+            for batch in batches:
+                lists = batch.column(ids)
+                lists = lists.fill_null([]) if lists.null_count else lists
+                offsets = lists.offsets.to_numpy()
+                values = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+                found = tables.decode(offsets - offsets[0], values)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, "decoded"]
+                )
 
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType(), False)])
     return encoded.mapInArrow(work, schema)
