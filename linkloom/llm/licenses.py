@@ -205,7 +205,10 @@ def _regression(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int =
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
     """The model with ordinary prose from a bounded sample of ``docs``."""
     sample = docs.select(docs[key].alias("k"), docs[text].alias("t")).filter(F.length("t") > 0)
-    rows = sample.orderBy(F.xxhash64("k"), "k", F.xxhash64("t")).limit(SAMPLE).collect()
+    # The keys are chosen first, so that only the chosen texts leave their tasks.
+    keys = sample.select("k").orderBy(F.xxhash64("k"), "k").limit(SAMPLE).distinct()
+    chosen = sample.join(F.broadcast(keys), "k")
+    rows = chosen.orderBy(F.xxhash64("k"), "k", F.xxhash64("t")).limit(SAMPLE).collect()
     prose = [line for r in rows for line in r.t.split("\n") if line.strip()]
     clues = {frozenset(pairs_of(words_of(t))) for _, t in templates()}
 
