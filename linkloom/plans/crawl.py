@@ -146,10 +146,11 @@ def _levels(
         "respect_robots_txt",
     )
     cuts: list[DataFrame] = []
+    deepest = requests.agg(F.max("max_depth")).first()[0] or 0
     depth = 0
     while True:
         path = f"{root}/levels/depth={depth}"
-        _fetch(frontier, pages, rules, depth).write.parquet(path)
+        _fetch(frontier, pages, rules, depth, depth < deepest).write.parquet(path)
         levels = spark.read.schema(_LEVEL_SCHEMA + ", depth INT").parquet(f"{root}/levels")
         level = levels.filter(F.col("depth") == depth).drop("depth")
         tally = _tally(levels, requests, depth)
@@ -208,11 +209,12 @@ def _expands(depth: int) -> Column:
 
 
 def _fetch(
-    frontier: DataFrame, pages: DataFrame, rules: DataFrame | None, depth: int
+    frontier: DataFrame, pages: DataFrame, rules: DataFrame | None, depth: int, deeper: bool = True
 ) -> DataFrame:
     """Look the frontier up: robots first, then the page table.
 
-    The links of a page come along, so that expanding needs no second look-up.
+    The links of a page that are in scope come along, so that expanding needs no
+    second look-up. Where no crawl goes ``deeper`` they are not even read.
     """
     if rules is None:
         checked = frontier.withColumn("allowed", F.lit(True))
@@ -225,7 +227,13 @@ def _fetch(
             .withColumn("allowed", F.when(F.col("rules").isNull(), F.lit(True)).otherwise(verdict))
             .drop("_domain", "rules")
         )
-    found = pages.select("url", "status", "ok", F.col("fetched_at").alias("crawled_at"), "links")
+    found = pages.select(
+        "url", "status", "ok", F.col("fetched_at").alias("crawled_at"), *(["links"] if deeper else [])
+    )
+    links = F.lit(None).cast("array<string>")
+    if deeper:
+        inside = F.filter("links", lambda x: U.in_scope(x, F.col("prefix")))
+        links = F.when(_expands(depth), inside)
     state = (
         F.when(~F.col("allowed"), F.lit("blocked"))
         .when(F.col("ok"), F.lit("ok"))
@@ -242,7 +250,7 @@ def _fetch(
             "state",
             F.when(F.col("allowed"), F.col("status")).alias("status_code"),
             F.when(F.col("allowed"), F.col("crawled_at")).alias("crawled_at"),
-            F.when(_expands(depth), F.col("links")).alias("links"),
+            links.alias("links"),
             "max_depth",
             "prefix",
             "respect_robots_txt",
@@ -280,7 +288,6 @@ def _expand(pages: DataFrame) -> DataFrame:
             "respect_robots_txt",
             F.posexplode("links").alias("pos", "dst"),
         )
-        .filter(U.in_scope(F.col("dst"), F.col("prefix")))
         .select(
             "crawl_id",
             F.col("dst").alias("url"),
