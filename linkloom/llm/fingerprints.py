@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -162,25 +163,28 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     """
     spark = docs.sparkSession
     count = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shares = F.array(*[F.lit(k / count) for k in range(1, count + 1)])
-    cuts = docs.agg(F.percentile_approx(key, shares, F.lit(100 * count))).first()[0] or []
-    cuts = sorted(set(cuts), reverse=True)
+    shares = F.array(*[F.lit(k / count) for k in range(1, count)])
+    inner, last = docs.agg(F.percentile_approx(key, shares, F.lit(100 * count)), F.max(key)).first()
+    cuts = np.array(sorted({*(inner or []), *([last] if last is not None else [])}))
     rows = docs.select(docs[key].alias("_key"), F.coalesce(docs[text], F.lit("")).alias("_text"))
     rows = rows.withColumn("_hash", F.xxhash64("_text"))
-    if cuts:
-        tops = F.array(*[F.lit(c) for c in cuts])
-        # The number of cuts at or above the key: range 1 begins with the largest.
-        chunk = F.size(F.filter(tops, lambda c: c >= F.col("_key")))
-        chunk = F.when(F.col("_key").isNull(), len(cuts)).otherwise(chunk)
-        tail = F.when(F.col("_key") == cuts[0], len(cuts)).otherwise(chunk - 1)
-        places = F.when(
-            F.array_contains(tops, F.col("_key")),
-            F.array(F.struct(chunk.alias("c"), F.lit(0).alias("tail")), F.struct(tail.alias("c"), F.lit(1).alias("tail"))),
-        ).otherwise(F.array(F.struct(chunk.alias("c"), F.lit(0).alias("tail"))))
-        order = [F.col("p.tail"), F.desc_nulls_last("_key"), F.col("_hash")]
-        within = W.partitionBy("p.c").orderBy(*order)
-        rows = rows.withColumn("p", F.explode(places)).withColumn("_next", F.lead("_text").over(within))
-        rows = rows.filter("p.tail = 0")
+    if len(cuts):
+
+        @F.pandas_udf("array<int>")
+        def ranges(keys: pd.Series, missing: pd.Series) -> pd.Series:
+            """A row's range, numbered from the largest keys on, and the one it is also sent to."""
+            known = ~missing.to_numpy(dtype=bool)
+            values = keys.to_numpy()[known]
+            at = np.searchsorted(cuts, values)
+            own = len(cuts) - at
+            before = np.where(own == 1, len(cuts), own - 1)
+            lists = iter([[o, b] if c else [o] for o, b, c in zip(own.tolist(), before.tolist(), cuts[at] == values)])
+            return pd.Series([next(lists) if k else [len(cuts)] for k in known.tolist()])
+
+        order = [F.col("_tail"), F.desc_nulls_last("_key"), F.col("_hash")]
+        within = W.partitionBy("_range").orderBy(*order)
+        rows = rows.select("*", F.posexplode(ranges(F.coalesce("_key", F.lit(0)), F.col("_key").isNull())).alias("_tail", "_range"))
+        rows = rows.withColumn("_next", F.lead("_text").over(within)).filter("_tail = 0")
     else:
         # No key at all: the rows follow each other by hash, in ranges of it.
         within = W.partitionBy(F.pmod("_hash", F.lit(count))).orderBy("_hash")
