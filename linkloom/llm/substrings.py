@@ -121,11 +121,12 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     first copies included, and ``first_ids`` where the removed chunks occur first."""
     found = chunks(docs, key, text)
     twice = found.groupBy("_digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_digest")
+    # Written, here and below, so that the join can be split on a digest that very many chunks share.
+    twice = written(twice, "twice")
     found = written(found.join(twice, "_digest", "left_semi"), "chunks")
     place = F.struct("_id", "_hash", "_begin")
     first = found.groupBy("_digest").agg(F.min(place).alias("_first"), F.max(place).alias("_last"))
     first = first.filter(~F.col("_first").eqNullSafe(F.col("_last"))).drop("_last")
-    # Written, so that the join can be split on a digest that very many chunks share.
     marked = found.join(written(first, "firsts"), "_digest").select(
         "_id",
         "_hash",
