@@ -1,0 +1,208 @@
+"""Near copies by the exact Jaccard similarity of word shingles.
+
+A text is the set of its runs of ``SHINGLE`` lower-case words (a shorter text is
+one run), each named by a 64-bit hash. Texts with equal sets are one node. Two sets
+of similarity ``t`` or more share at least the ``t``-th part of the larger one, so
+in any common order of the shingles their first ``n - ceil(t n) + 1`` meet: these
+are the join keys. Shingles that many documents of a bounded sample hold come last
+in the order, which only keeps the keys rare. Pairs of a key are dropped by their
+sizes and by the number of keys they share, and what is left is compared whole.
+
+A key of more than ``LIGHT`` nodes would make too many pairs. One of its nodes, the
+one with most of such keys, is compared with all: those near it are linked, and
+(1 - similarity is a metric) another node can only be near one of them if its
+distance from the hub is at most twice the largest. Only such pairs, unless already
+linked over others, are compared; the nodes not near the hub are taken as a key of
+their own. When a round brings little, what is left is compared in pairs. Every
+link is one of an exact comparison, and the components are those of all pairs.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from linkloom.llm.components import connected_components
+from linkloom.session import written
+
+SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
+# Nodes of one key that are still compared in pairs.
+LIGHT = 64
+# Documents that the common shingles are counted on, the count that makes one, and their most.
+SAMPLE, COMMON, MOST = 10_000, 8, 50_000
+
+
+def shingles_of(text: str | None, width: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in rising order."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.empty(0, dtype="int64")
+    joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
+    if len(words) <= width:
+        return np.array([digest(joined, SEED)], dtype="uint64").view("int64")
+    ends = np.cumsum(np.fromiter(map(len, words), dtype="int64", count=len(words)) + 1) - 1
+    begins = np.append(0, ends[:-1] + 1)[: len(words) - width + 1]
+    hashes = [digest(joined[i:j], SEED) for i, j in zip(begins.tolist(), ends[width - 1 :].tolist())]
+    return np.unique(np.array(hashes, dtype="uint64").view("int64"))
+
+
+def digest_of(found: np.ndarray) -> int:
+    """The name of a set as a signed number, zero for the empty one."""
+    return int(np.array([xxhash.xxh3_64_intdigest(found.tobytes())], dtype="uint64").view("int64")[0]) if len(found) else 0
+
+
+def digest(text: Column, width: int = SHINGLE) -> Column:
+    """The name of a text's set of shingles as a long."""
+
+    @F.pandas_udf("long")
+    def work(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield pd.Series([digest_of(shingles_of(t, width)) for t in part], dtype="int64")
+
+    return work(text)
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    """How many of a set's ``n`` shingles are keys."""
+    return n - math.ceil(similarity * n - 1e-9) + 1
+
+
+def _common(docs: DataFrame, text: str, width: int) -> np.ndarray:
+    """Shingles of many sampled documents; they only decide the order."""
+    share = max(1, docs.count() // SAMPLE)
+
+    @F.pandas_udf("array<long>")
+    def shingles(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield pd.Series([shingles_of(t, width) for t in part], dtype="object")
+
+    some = docs.select(docs[text].alias("_text")).filter(F.pmod(F.xxhash64("_text"), F.lit(share)) == 0)
+    counts = some.select(F.explode(shingles("_text")).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "s").limit(MOST).collect()
+    return np.sort(np.array([r.s for r in rows], dtype="int64"))
+
+
+def prints(docs: DataFrame, key: str, text: str, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Of every row ``_key``, ``fp`` (its set's name), ``_hash`` of the text, the set's size ``n`` and its ``keys``."""
+    common = docs.sparkSession.sparkContext.broadcast(_common(docs, text, width))
+
+    @F.pandas_udf("fp long, n int, keys array<long>")
+    def work(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for t in part:
+                found = shingles_of(t, width)
+                late = np.isin(found, common.value, assume_unique=True)
+                ordered = np.concatenate([found[~late], found[late]])
+                keys = ordered[: prefix_length(len(found), similarity)] if len(found) else ordered
+                rows.append((digest_of(found), len(found), keys))
+            yield pd.DataFrame(rows, columns=["fp", "n", "keys"])
+
+    out = docs.select(docs[key].alias("_key"), F.xxhash64(docs[text]).alias("_hash"), work(docs[text]).alias("_set"))
+    return out.select("_key", "_hash", "_set.*")
+
+
+def _close(a: str, b: str, similarity: float) -> Column:
+    """Whether two sizes allow the similarity."""
+    return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-6
+
+
+def links(found: DataFrame, docs: DataFrame, text: str, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs ``a``, ``b`` of sets whose components are those of all pairs of the similarity or more.
+
+    ``found`` are the written ``prints`` of ``docs``.
+    """
+    keyed = found.select("fp", "n", F.explode("keys").alias("k"))
+    twice = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("k")
+    # Written, here and below, so that joins can be split on a frequent key.
+    shared = written(keyed.join(written(twice, "keys"), "k", "left_semi").distinct(), "shared")
+    sizes = written(shared.groupBy("k").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "key-sizes")
+    shared = shared.join(sizes, "k")
+    heavy = written(shared.filter(F.col("c") > LIGHT).select("k", "fp", "n"), "heavy")
+    score = written(heavy.groupBy("fp").agg(F.count(F.lit(1)).alias("h")), "scores")
+    light = shared.filter(F.col("c") <= LIGHT).select("k", "fp", "n").join(score, "fp", "left").fillna(0, ["h"])
+    light = written(light, "light")
+    pairs = (
+        light.select("k", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("h").alias("ha"))
+        .join(light.select("k", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("h").alias("hb")), "k")
+        .filter((F.col("a") < F.col("b")) & _close("na", "nb", similarity))
+        .groupBy("a", "b", "na", "nb", "ha", "hb")
+        .agg(F.count(F.lit(1)).alias("m"))
+    )
+    # Common shingles beyond the keys are at most what the longer set has beyond its own.
+    beyond = F.greatest("na", "nb") * similarity
+    least = similarity / (1 + similarity) * (F.col("na") + F.col("nb"))
+    pairs = pairs.filter(F.col("m") + F.least("ha", "hb") + beyond + 1 >= least).select("a", "b")
+    pairs = written(pairs, "pairs")
+
+    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).union(score.select("fp")).distinct()
+    one = found.groupBy("fp").agg(F.min("_hash").alias("_hash")).join(wanted, "fp", "left_semi")
+    sets = _sets(written(one, "wanted"), docs, text, width)
+
+    done = [_compared(pairs, sets).filter(F.col("j") >= similarity - 1e-12).select("a", "b")]
+    borders, left = [], heavy.count()
+    while left:
+        first = heavy.join(score, "fp").groupBy("k").agg(F.max(F.struct("h", "fp")).alias("_hub"))
+        first = written(first.select("k", F.col("_hub.fp").alias("hub")), "hubs")
+        spokes = heavy.join(first, "k").filter("hub <> fp")
+        ends = written(spokes.select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct(), "spokes")
+        judged = written(_compared(ends, sets), "judged")
+        near = F.col("j") >= similarity - 1e-12
+        done.append(judged.filter(near).select("a", "b"))
+        spokes = spokes.join(judged, (F.col("hub") == F.col("a")) & (F.col("fp") == F.col("b")))
+        spokes = written(spokes.select("k", "fp", "n", "j"), "rest")
+        far = spokes.filter(~near)
+        border = far.filter(F.col("j") >= 2 * similarity - 1 - 1e-9)
+        borders.append((border.select("k", "fp", "n"), spokes.filter(near).select("k", "fp", "n")))
+        rest = far.select("k", "fp", "n").join(written(far.groupBy("k").agg(F.count(F.lit(1)).alias("c")), "c"), "k")
+        heavy = written(rest.filter(F.col("c") > LIGHT).select("k", "fp", "n"), "heavy")
+        few = rest.filter(F.col("c") <= LIGHT).select("k", "fp", "n")
+        borders.append((few, few))
+        before, left = left, heavy.count()
+        if left > 0.9 * before:
+            borders.append((heavy, heavy))
+            break
+    if not borders:
+        return done[0]
+    known = written(reduce(DataFrame.union, done).distinct(), "links")
+    roots = written(connected_components(known), "known-roots")
+
+    def rooted(rows: DataFrame, name: str) -> DataFrame:
+        rows = rows.join(roots, rows["fp"] == roots["node"], "left")
+        return rows.select("k", F.col("fp").alias(name), F.col("n").alias(f"n{name}"), F.coalesce("root", "fp").alias(f"r{name}"))
+
+    last = []
+    for x, y in borders:
+        both = rooted(x, "a").join(rooted(y, "b"), "k").filter("ra <> rb").filter(_close("na", "nb", similarity))
+        last.append(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    rest = written(reduce(DataFrame.union, last).distinct(), "last-pairs")
+    return known.union(_compared(rest, sets).filter(F.col("j") >= similarity - 1e-12).select("a", "b")).distinct()
+
+
+def _sets(one: DataFrame, docs: DataFrame, text: str, width: int) -> DataFrame:
+    """``fp`` and ``s``, the whole set, of the texts named in ``one``."""
+
+    @F.pandas_udf("array<long>")
+    def shingles(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield pd.Series([shingles_of(t, width) for t in part], dtype="object")
+
+    texts = docs.select(F.xxhash64(docs[text]).alias("_hash"), docs[text].alias("_text"))
+    texts = texts.join(one, "_hash").groupBy("fp").agg(F.min("_text").alias("_text"))
+    return written(texts.select("fp", shingles("_text").alias("s")), "sets")
+
+
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a``, ``b`` and ``j``, the exact similarity."""
+    left, right = sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), sets.select(F.col("fp").alias("b"), F.col("s").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb")).alias("n"))
+    return met.select("a", "b", (F.col("i") / (F.col("n") - F.col("i"))).alias("j"))

@@ -209,7 +209,7 @@ def digests(decoded: DataFrame) -> DataFrame:
 @query
 def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprint and component of every document."""
-    found = simhash.near_duplicates(documents(spark, sf))
+    found = simhash.near_duplicates(documents(spark, sf), similarity=None)
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
