@@ -16,6 +16,13 @@ neighbours are exact. Their votes, weighted by distance, are calibrated by logis
 regression on the examples' own leave-one-out votes. A document that holds no
 term has no neighbour; its score is the rate among the examples without any.
 
+Every sampled example is also held with all its words (``Copies``), and every document
+is searched there for examples with a TF-IDF cosine of ``COPY`` or more over all
+words. This is exact too: rare and heavy words come first until the rest of the vector
+cannot reach ``COPY`` alone, and whatever shares enough of them is compared whole. If
+the vote of these near copies is the higher score, it counts, so a near copy of a
+toxic example is found whether or not it holds a marking term.
+
 Defined results: null and empty texts hold no term; rows without a key are
 scored like others but never trained on; contradicting labels of a document
 count as toxic; without examples every score is 0. Extra columns are ignored.
@@ -25,6 +32,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -51,6 +59,8 @@ NEIGHBOURS = 10
 NEAR = 0.1
 DOUBT = 0.5
 THRESHOLD = 0.7
+# Cosine over all words from which an example is a near copy; the part of the vector not searched.
+COPY, REST = 0.8, 0.75
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -68,6 +78,109 @@ def held_out(key: str):
     return F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1
 
 
+@dataclass
+class Copies:
+    """All words of all examples: vectors by row, and the rows and weights by word.
+
+    Only the packed counts travel; the vectors are made where they are first used.
+    """
+
+    words: np.ndarray  # hashes, rising
+    used: np.ndarray
+    ids: np.ndarray
+    labels: np.ndarray
+    row_begin: np.ndarray
+    packed: tuple[bytes, bytes]  # steps between the word numbers, and the counts
+    ready: bool = False
+
+    @classmethod
+    def of(cls, rows: list) -> Copies:
+        """From rows ``id``, ``label``, ``words`` (hashes, rising) and ``counts``, both as bytes."""
+        rows = sorted(rows, key=lambda r: r.id)
+        hashes = np.frombuffer(b"".join(r.words for r in rows), dtype="int64")
+        counts = b"".join(r.counts for r in rows)
+        begin = np.cumsum([0, *(len(r.words) // 8 for r in rows)])
+        words = np.unique(hashes)
+        word = np.searchsorted(words, hashes).astype("int32")
+        return cls(
+            words,
+            np.bincount(word, minlength=len(words)).astype("int32"),
+            np.array([r.id for r in rows], dtype="int64"),
+            np.array([r.label for r in rows], dtype="float64"),
+            begin,
+            (zlib.compress(np.diff(word, prepend=np.int32(0)).tobytes(), 1), zlib.compress(counts, 1)),
+        )
+
+    def __getstate__(self) -> dict:
+        names = ("words", "used", "ids", "labels", "row_begin", "packed")
+        return {n: getattr(self, n) for n in names} | {"ready": False}
+
+    def _open(self) -> None:
+        word = np.cumsum(np.frombuffer(zlib.decompress(self.packed[0]), dtype="int32"), dtype="int32")
+        weight = 1 + np.log(np.frombuffer(zlib.decompress(self.packed[1]), dtype="int32"))
+        row = np.repeat(np.arange(len(self.ids), dtype="int32"), np.diff(self.row_begin))
+        self.idf = np.log((1 + len(self.ids)) / (1 + self.used)) + 1
+        # The idf of a word that no example holds.
+        self.rarest = math.log(1 + len(self.ids)) + 1
+        weight *= self.idf[word]
+        weight /= np.sqrt(np.bincount(row, weight * weight, minlength=len(self.ids)))[row]
+        order = np.argsort(word, kind="stable")
+        self.row_word, self.row_weight = word, weight
+        self.begin = np.append(0, np.cumsum(self.used, dtype="int64"))
+        self.post_row, self.post_weight = row[order], weight[order]
+        self.ready = True
+
+    def near(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and cosines of the examples of cosine ``COPY`` or more, best first."""
+        none = np.empty(0, dtype="int64"), np.empty(0)
+        if not words or not len(self.words):
+            return none
+        if not self.ready:
+            self._open()
+        hashes, counts = _hashed(words)
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        known = self.words[at] == hashes
+        weights = (1 + np.log(counts)) * np.where(known, self.idf[at], self.rarest)
+        weights /= math.sqrt(float(weights @ weights))
+        at, weights = at[known], weights[known]
+        # Words that no example holds only lengthen the vector.
+        if float(weights @ weights) < COPY * COPY - 1e-9:
+            return none
+        order = np.argsort(-(weights**2) / self.used[at], kind="stable")
+        left = np.sqrt(np.maximum(0.0, np.cumsum((weights[order] ** 2)[::-1])[::-1]))
+        first = order[left >= REST]
+        rest = float(left[len(first)]) if len(first) < len(order) else 0.0
+        spans = [slice(self.begin[t], self.begin[t + 1]) for t in at[first].tolist()]
+        rows = np.concatenate([self.post_row[s] for s in spans])
+        parts = np.concatenate([self.post_weight[s] * w for s, w in zip(spans, weights[first].tolist())])
+        candidates = np.flatnonzero(np.bincount(rows, parts) >= COPY - rest - 1e-9)
+        cosines = np.empty(len(candidates))
+        for k, row in enumerate(candidates.tolist()):
+            own = slice(self.row_begin[row], self.row_begin[row + 1])
+            other = self.row_word[own]
+            place = np.minimum(np.searchsorted(other, at), len(other) - 1)
+            cosines[k] = float(weights @ np.where(other[place] == at, self.row_weight[own][place], 0.0))
+        cosines = np.minimum(np.round(cosines, 9), 1.0)
+        found = np.flatnonzero(cosines >= COPY)
+        found = found[np.lexsort((self.ids[candidates[found]], -cosines[found]))]
+        return candidates[found], cosines[found]
+
+    def score(self, words: list[str]) -> tuple[float, list[int], list[float]]:
+        rows, cosines = self.near(words)
+        weights = cosines / (1 - cosines + NEAR)
+        score = float((weights * self.labels[rows]).sum() / (weights.sum() + DOUBT))
+        return score, self.ids[rows[:NEIGHBOURS]].tolist(), cosines[:NEIGHBOURS].tolist()
+
+
+def _hashed(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of words, rising, and how often each is used."""
+    digest = xxhash.xxh3_64_intdigest
+    counts = Counter(words)
+    hashes = np.array([digest(w.encode("utf-8", "surrogatepass")) for w in counts], dtype="uint64").view("int64")
+    order = np.argsort(hashes)
+    return hashes[order], np.array(list(counts.values()), dtype="int32")[order]
+
+
 @dataclass
 class Index:
     """Examples as a block-max inverted index, with the calibration of votes."""
@@ -83,6 +196,7 @@ class Index:
     none: float
     slope: float = 1.0
     shift: float = 0.0
+    copies: Copies | None = None
 
     def vector(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         number = self.number
@@ -119,8 +233,14 @@ class Index:
         return float((weights * self.labels[rows]).sum() / (weights.sum() + DOUBT))
 
     def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
-        """Score, and as evidence the neighbours' ids and cosines."""
-        terms, weights = self.vector(words_of(text))
+        """Score, and as evidence the ids and cosines of the neighbours or near copies it rests on."""
+        words = words_of(text)
+        marked = self._marked(words)
+        copied = self.copies.score(words) if self.copies else (0.0, [], [])
+        return copied if copied[0] > marked[0] else marked
+
+    def _marked(self, words: list[str]) -> tuple[float, list[int], list[float]]:
+        terms, weights = self.vector(words)
         if not len(terms):
             return self.none, [], []
         rows, cosines = self.nearest(terms, weights)
@@ -228,7 +348,28 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         second = _words(texts, candidates).groupBy("term", "context").agg(F.max("_label").alias("_label"))
         second = second.groupBy("term").agg(F.sum("_label").alias("t"), F.count(F.lit(1)).alias("n"))
         chosen = select(second, LEAST_RATIO, TERMS)
-    return _build(texts, chosen, int(toxic), int(total))
+    index = _build(texts, chosen, int(toxic), int(total))
+    index.copies = _copies(texts) if toxic else None
+    return index
+
+
+def _copies(texts: DataFrame) -> Copies:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_hashed(words_of(t)) for t in batch.column("_text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("_id"),
+                    batch.column("_label"),
+                    pa.array([h.tobytes() for h, _ in found], pa.binary()),
+                    pa.array([c.tobytes() for _, c in found], pa.binary()),
+                ],
+                names=["id", "label", "words", "counts"],
+            )
+
+    rows = texts.select("_id", "_text", F.col("_label").cast("int").alias("_label"))
+    rows = rows.mapInArrow(work, "id long, label int, words binary, counts binary")
+    return Copies.of(rows.filter(F.length("words") > 0).collect())
 
 
 def _build(texts: DataFrame, chosen: list[str], toxic: int, total: int) -> Index:
