@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import bpe, fingerprints, html_text, licenses, mixing, quality, simhash, substrings, suffixes, toxicity
+from linkloom.llm import (
+    bpe, centroids, codes, fingerprints, html_text, licenses, mixing, pieces, quality, simhash, substrings, suffixes, toxicity,
+)
 from linkloom.llm.common import table
+from linkloom.llm.vectors import decimals
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 RANKS = "byte_bpe_multi_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 
 
 def query(fn: Query) -> Query:
@@ -202,7 +207,7 @@ def digests(decoded: DataFrame) -> DataFrame:
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
 
 
@@ -227,3 +232,44 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
         "neighbours",
         "cosines",
     )
+
+
+def sha256(numbers) -> str:
+    return hashlib.sha256(decimals(numbers).encode()).hexdigest()
+
+
+@query
+def op11_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    """Cluster of every vector, and how far the clusters spread."""
+    found = centroids.clusters(table(spark, sf, "embeddings"))
+    # One row per centroid at most, so both can be collected and broadcast.
+    sums = {r.cluster: r.n for r in found.members.groupBy("cluster").agg(F.sum("distance").alias("n")).collect()}
+    total = sum(sums.values())
+    facts = spark.createDataFrame(
+        [(k, n, total, sha256(found.centroids[k])) for k, n in sums.items()],
+        "cluster int, cluster_inertia long, inertia long, centroid_sha256 string",
+    )
+    return found.members.join(F.broadcast(facts), "cluster").select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )
+
+
+@query
+def op12_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text encoded with a public merge-type vocabulary and decoded again."""
+    return digests(pieces.encode(documents(spark, sf), public_tokenizers.path(PIECES), decoded=True))
+
+
+@query
+def op13_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Short codes of all vectors, with their errors."""
+    found = codes.compress(table(spark, sf, "embeddings"), carry=("label",))
+    by_label = found.members.groupBy("label").agg(F.sum("error").alias("label_error"))
+    by_label = by_label.withColumnRenamed("label", "_label")
+    return found.members.join(by_label, F.col("label").eqNullSafe(F.col("_label"))).select(
+        "vec_id",
+        F.lower(F.hex("code")).alias("code"),
+        "error",
+        "label_error",
+        F.lit(sha256(found.codebooks)).alias("codebooks_sha256"),
+    )
