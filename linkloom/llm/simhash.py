@@ -1,4 +1,4 @@
-"""Near-duplicates: SimHash by pigeonring chains, or exact similarity (``jaccard``).
+"""Near-duplicates: SimHash by pigeonring chains.
 
 A fingerprint has 64 bits in seven segments on a ring. If two fingerprints
 differ in at most ``DISTANCE`` bits, then from some segment on every chain of
@@ -30,7 +30,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linkloom.llm import jaccard
 from linkloom.llm.components import connected_components
 from linkloom.session import written
 
@@ -168,25 +167,11 @@ def _all(tests: Iterator[Column]) -> Column:
     return out
 
 
-def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float | None = jaccard.SIMILARITY
-) -> DataFrame:
-    """``key``, ``fp`` and ``component_id``, the smallest key of the document's component.
-
-    Documents are linked by the exact similarity of their five-word shingles (see
-    ``jaccard``; ``fp`` names the set), with ``similarity`` None by their fingerprints.
-    """
-    if similarity is None:
-        prints = docs.select(docs[key].alias("_key"), fingerprint(docs[text]).alias("fp"))
-    else:
-        prints = jaccard.prints(docs, key, text, similarity=similarity)
-    prints = written(prints, "fingerprints")
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key``, ``fp`` and ``component_id``, the smallest key of the document's component."""
+    prints = written(docs.select(docs[key].alias("_key"), fingerprint(docs[text]).alias("fp")), "fingerprints")
     nodes = written(prints.groupBy("fp").agg(F.min("_key").alias("_first")), "nodes")
-    if similarity is None:
-        edges = links(nodes.select("fp"))
-    else:
-        edges = jaccard.links(prints, docs, text, similarity=similarity)
-    roots = written(connected_components(edges), "roots")
+    roots = written(connected_components(links(nodes.select("fp"))), "roots")
     named = roots.join(nodes, roots["node"] == nodes["fp"]).select("fp", "root", "_first")
     smallest = named.groupBy("root").agg(F.min("_first").alias("_least"))
     moved = named.join(smallest, "root").select("fp", "_least")
@@ -203,14 +188,14 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """
     found = near_duplicates(docs, key, text)
     heads = found.filter(F.col(key).isNotNull() & (F.col(key) == F.col("component_id")))
-    heads = heads.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"), F.min("fp").alias("_fp"))
+    heads = heads.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
     heads = written(heads, "heads")
     once = docs.join(heads.filter("_rows = 1").select(key), key, "left_semi").select(*docs.columns)
     again = docs.join(heads.filter("_rows > 1").select(key), key, "left_semi")
     again = again.groupBy(key).agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
     nameless = found.filter(F.col("component_id").isNull()).select(F.col("fp").alias("_fp")).distinct()
     unkeyed = docs.filter(docs[key].isNull()).select(
-        F.struct(*docs.columns).alias("_doc"), jaccard.digest(F.col(text)).alias("_fp")
+        F.struct(*docs.columns).alias("_doc"), fingerprint(docs[text]).alias("_fp")
     )
     unkeyed = unkeyed.join(nameless, "_fp", "left_semi").select("_doc.*")
     return once.unionByName(again).unionByName(unkeyed)

@@ -16,8 +16,8 @@ neighbours are exact. Their votes, weighted by distance, are calibrated by logis
 regression on the examples' own leave-one-out votes. A document that holds no
 term has no neighbour; its score is the rate among the examples without any.
 
-Every sampled example is also held with all its words (``Copies``), and every document
-is searched there for examples with a TF-IDF cosine of ``COPY`` or more over all
+Sampled examples are also held with all their words (``Copies``), as many in the order of the
+sample as have ``WORDS`` words in all, and every document is searched there for examples with a TF-IDF cosine of ``COPY`` or more over all
 words. This is exact too: rare and heavy words come first until the rest of the vector
 cannot reach ``COPY`` alone, and whatever shares enough of them is compared whole. If
 the vote of these near copies is the higher score, it counts, so a near copy of a
@@ -48,6 +48,8 @@ from pyspark.sql import types as T
 from linkloom.session import written
 
 SAMPLE = 20_000
+# Words of the examples searched for near copies, each counted once per example.
+WORDS = 10_000_000
 TERMS = 1_024
 LEAST_RATIO = 20.0
 # Candidates by plain document frequency pass a lower bar first.
@@ -90,34 +92,21 @@ class Copies:
     ids: np.ndarray
     labels: np.ndarray
     row_begin: np.ndarray
-    packed: tuple[bytes, bytes]  # steps between the word numbers, and the counts
+    packed: list[tuple[bytes, bytes]]  # of each block, steps between the word numbers and the counts
     ready: bool = False
 
-    @classmethod
-    def of(cls, rows: list) -> Copies:
-        """From rows ``id``, ``label``, ``words`` (hashes, rising) and ``counts``, both as bytes."""
-        rows = sorted(rows, key=lambda r: r.id)
-        hashes = np.frombuffer(b"".join(r.words for r in rows), dtype="int64")
-        counts = b"".join(r.counts for r in rows)
-        begin = np.cumsum([0, *(len(r.words) // 8 for r in rows)])
-        words = np.unique(hashes)
-        word = np.searchsorted(words, hashes).astype("int32")
-        return cls(
-            words,
-            np.bincount(word, minlength=len(words)).astype("int32"),
-            np.array([r.id for r in rows], dtype="int64"),
-            np.array([r.label for r in rows], dtype="float64"),
-            begin,
-            (zlib.compress(np.diff(word, prepend=np.int32(0)).tobytes(), 1), zlib.compress(counts, 1)),
-        )
-
     def __getstate__(self) -> dict:
         names = ("words", "used", "ids", "labels", "row_begin", "packed")
         return {n: getattr(self, n) for n in names} | {"ready": False}
 
     def _open(self) -> None:
-        word = np.cumsum(np.frombuffer(zlib.decompress(self.packed[0]), dtype="int32"), dtype="int32")
-        weight = 1 + np.log(np.frombuffer(zlib.decompress(self.packed[1]), dtype="int32"))
+        word, weight = np.empty(self.row_begin[-1], dtype="int32"), np.empty(self.row_begin[-1])
+        at = 0
+        for steps, counts in self.packed:
+            numbers = np.cumsum(np.frombuffer(zlib.decompress(steps), dtype="int32"), dtype="int32")
+            word[at : at + len(numbers)] = numbers
+            weight[at : at + len(numbers)] = 1 + np.log(np.frombuffer(zlib.decompress(counts), dtype="int32"))
+            at += len(numbers)
         row = np.repeat(np.arange(len(self.ids), dtype="int32"), np.diff(self.row_begin))
         self.idf = np.log((1 + len(self.ids)) / (1 + self.used)) + 1
         # The idf of a word that no example holds.
@@ -354,22 +343,61 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def _copies(texts: DataFrame) -> Copies:
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The examples are counted, numbered and packed in tasks; the driver gets the distinct words and packed blocks."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [_hashed(words_of(t)) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("_id"),
                     batch.column("_label"),
-                    pa.array([h.tobytes() for h, _ in found], pa.binary()),
-                    pa.array([c.tobytes() for _, c in found], pa.binary()),
+                    pa.array([h.tolist() for h, _ in found], pa.list_(pa.int64())),
+                    pa.array([c.tolist() for _, c in found], pa.list_(pa.int32())),
                 ],
                 names=["id", "label", "words", "counts"],
             )
 
     rows = texts.select("_id", "_text", F.col("_label").cast("int").alias("_label"))
-    rows = rows.mapInArrow(work, "id long, label int, words binary, counts binary")
-    return Copies.of(rows.filter(F.length("words") > 0).collect())
+    rows = rows.mapInArrow(count, "id long, label int, words array<long>, counts array<int>")
+    rows = written(rows.filter(F.size("words") > 0), "counted")
+    # In the order in which documents are sampled, as many as have WORDS words in all.
+    sizes = rows.select("id", F.size("words").alias("n")).orderBy(F.xxhash64("id"), "id").toArrow()
+    fits = np.cumsum(sizes.column("n").to_numpy()) <= WORDS
+    if not fits.all():
+        last = sizes.column("id").to_numpy()[: int(fits.sum())]
+        rows = rows.join(F.broadcast(texts.sparkSession.createDataFrame(pd.DataFrame({"id": last}))), "id", "left_semi")
+    used = rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).cast("int").alias("n")).toArrow()
+    order = np.argsort(used.column("word").to_numpy())
+    words = used.column("word").to_numpy()[order]
+    numbers = texts.sparkSession.sparkContext.broadcast(words)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = batch.column("words").flatten().to_numpy()
+            sizes = np.diff(batch.column("words").offsets.to_numpy())
+            number = np.searchsorted(numbers.value, hashes).astype("int32")
+            steps = zlib.compress(np.diff(number, prepend=np.int32(0)).tobytes(), 1)
+            counts = zlib.compress(batch.column("counts").flatten().to_numpy().tobytes(), 1)
+            longs = [batch.column("id").to_pylist(), batch.column("label").to_pylist(), sizes.tolist()]
+            columns = [pa.array([x], pa.list_(pa.int64())) for x in longs] + [pa.array([x], pa.binary()) for x in (steps, counts)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "label", "size", "steps", "counts"])
+
+    schema = "id array<long>, label array<long>, size array<long>, steps binary, counts binary"
+    blocks = rows.mapInArrow(pack, schema).toArrow()
+    blocks = blocks.take(np.argsort([b[0] for b in blocks.column("id").to_pylist()], kind="stable"))
+
+    def joined(name: str, kind: str) -> np.ndarray:
+        return np.fromiter((x for b in blocks.column(name).to_pylist() for x in b), dtype=kind)
+
+    return Copies(
+        words,
+        used.column("n").to_numpy()[order],
+        joined("id", "int64"),
+        joined("label", "float64"),
+        np.append(0, np.cumsum(joined("size", "int64"))),
+        list(zip(blocks.column("steps").to_pylist(), blocks.column("counts").to_pylist())),
+    )
 
 
 def _build(texts: DataFrame, chosen: list[str], toxic: int, total: int) -> Index:

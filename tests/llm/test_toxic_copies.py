@@ -15,7 +15,7 @@ def test_every_copy_of_a_toxic_example_is_found(spark):
     texts = {r.doc_id: r.text for r in docs.collect()}
     sample = {r._id: r._label for r in toxicity._sample(labels, "doc_id", "toxic").collect() if r._id in texts}
     examples = {i: Counter(toxicity.words_of(texts[i])) for i in sample if toxicity.words_of(texts[i])}
-    assert sorted(examples) == index.copies.ids.tolist()
+    assert sorted(examples) == sorted(index.copies.ids.tolist())
     used = Counter(w for c in examples.values() for w in c)
 
     def vector(counts):
@@ -39,3 +39,13 @@ def test_every_copy_of_a_toxic_example_is_found(spark):
             if len(words) > 60:
                 assert index.score(texts[i] + " oneword")[0] >= toxicity.THRESHOLD
     assert unmarked
+
+
+def test_the_words_searched_are_bounded(spark, monkeypatch):
+    """Examples come in the order of the sample, and whole, until the bound is met."""
+    docs, labels = queries.documents(spark, SF), table(spark, SF, "labels")
+    all_ids = toxicity.train(docs, labels).copies.ids.tolist()
+    monkeypatch.setattr(toxicity, "WORDS", 3_000)
+    copies = toxicity.train(docs, labels).copies
+    assert 0 < len(copies.ids) < len(all_ids) and set(copies.ids.tolist()) <= set(all_ids)
+    assert copies.row_begin[-1] == copies.used.sum() <= 3_000
