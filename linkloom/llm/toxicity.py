@@ -345,17 +345,16 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def _copies(texts: DataFrame) -> Copies:
     """The examples are counted, numbered and packed in tasks; the driver gets the distinct words and packed blocks."""
 
+    def lists(parts: list[np.ndarray], kind: str) -> pa.ListArray:
+        ends = np.cumsum([0, *map(len, parts)]).astype("int32")
+        return pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, kind), *parts]))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [_hashed(words_of(t)) for t in batch.column("_text").to_pylist()]
+        for part in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
+            found = [_hashed(words_of(t)) for t in part.column("_text").to_pylist()]
+            words, counts = lists([h for h, _ in found], "int64"), lists([c for _, c in found], "int32")
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("_id"),
-                    batch.column("_label"),
-                    pa.array([h.tolist() for h, _ in found], pa.list_(pa.int64())),
-                    pa.array([c.tolist() for _, c in found], pa.list_(pa.int32())),
-                ],
-                names=["id", "label", "words", "counts"],
+                [part.column("_id"), part.column("_label"), words, counts], names=["id", "label", "words", "counts"]
             )
 
     rows = texts.select("_id", "_text", F.col("_label").cast("int").alias("_label"))
