@@ -100,25 +100,35 @@ class Copies:
         return {n: getattr(self, n) for n in names} | {"ready": False}
 
     def _open(self) -> None:
-        word, weight = np.empty(self.row_begin[-1], dtype="int32"), np.empty(self.row_begin[-1])
-        at = 0
-        for steps, counts in self.packed:
-            numbers = np.cumsum(np.frombuffer(zlib.decompress(steps), dtype="int32"), dtype="int32")
-            word[at : at + len(numbers)] = numbers
-            weight[at : at + len(numbers)] = 1 + np.log(np.frombuffer(zlib.decompress(counts), dtype="int32"))
-            at += len(numbers)
-        row = np.repeat(np.arange(len(self.ids), dtype="int32"), np.diff(self.row_begin))
+        """Word numbers and counts by row, and by word the rows with rounded weights, which only find candidates."""
+        size, begin = int(self.row_begin[-1]), 0
         self.idf = np.log((1 + len(self.ids)) / (1 + self.used)) + 1
         # The idf of a word that no example holds.
         self.rarest = math.log(1 + len(self.ids)) + 1
-        weight *= self.idf[word]
-        weight /= np.sqrt(np.bincount(row, weight * weight, minlength=len(self.ids)))[row]
-        order = np.argsort(word, kind="stable")
-        self.row_word, self.row_weight = word, weight
+        self.row_word, self.row_count = np.empty(size, dtype="int32"), np.empty(size, dtype="int32")
+        for steps, counts in self.packed:
+            end = begin + len(held := np.frombuffer(zlib.decompress(counts), dtype="int32"))
+            self.row_count[begin:end] = held
+            np.cumsum(np.frombuffer(zlib.decompress(steps), dtype="int32"), dtype="int32", out=self.row_word[begin:end])
+            begin = end
+        self.length = np.ones(len(self.ids))
+        weight = np.empty(size, dtype="float32")
+        for row in range(len(self.ids)):
+            own = slice(self.row_begin[row], self.row_begin[row + 1])
+            held = self._weights(row)
+            self.length[row] = math.sqrt(float(held @ held))
+            weight[own] = held / self.length[row]
+        order = np.argsort(self.row_word, kind="stable")
         self.begin = np.append(0, np.cumsum(self.used, dtype="int64"))
-        self.post_row, self.post_weight = row[order], weight[order]
+        self.post_weight = weight[order]
+        del weight
+        self.post_row = np.repeat(np.arange(len(self.ids), dtype="int32"), np.diff(self.row_begin))[order]
         self.ready = True
 
+    def _weights(self, row: int) -> np.ndarray:
+        own = slice(self.row_begin[row], self.row_begin[row + 1])
+        return (1 + np.log(self.row_count[own])) * self.idf[self.row_word[own]] / self.length[row]
+
     def near(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the examples of cosine ``COPY`` or more, best first."""
         none = np.empty(0, dtype="int64"), np.empty(0)
@@ -142,13 +152,14 @@ class Copies:
         spans = [slice(self.begin[t], self.begin[t + 1]) for t in at[first].tolist()]
         rows = np.concatenate([self.post_row[s] for s in spans])
         parts = np.concatenate([self.post_weight[s] * w for s, w in zip(spans, weights[first].tolist())])
-        candidates = np.flatnonzero(np.bincount(rows, parts) >= COPY - rest - 1e-9)
+        # The rounded weights are off by less than this.
+        candidates = np.flatnonzero(np.bincount(rows, parts) >= COPY - rest - 1e-5)
         cosines = np.empty(len(candidates))
         for k, row in enumerate(candidates.tolist()):
             own = slice(self.row_begin[row], self.row_begin[row + 1])
             other = self.row_word[own]
             place = np.minimum(np.searchsorted(other, at), len(other) - 1)
-            cosines[k] = float(weights @ np.where(other[place] == at, self.row_weight[own][place], 0.0))
+            cosines[k] = float(weights @ np.where(other[place] == at, self._weights(row)[place], 0.0))
         cosines = np.minimum(np.round(cosines, 9), 1.0)
         found = np.flatnonzero(cosines >= COPY)
         found = found[np.lexsort((self.ids[candidates[found]], -cosines[found]))]
@@ -350,7 +361,7 @@ def _copies(texts: DataFrame) -> Copies:
         return pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, kind), *parts]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
+        for part in _slices(batches):
             found = [_hashed(words_of(t)) for t in part.column("_text").to_pylist()]
             words, counts = lists([h for h, _ in found], "int64"), lists([c for _, c in found], "int32")
             yield pa.RecordBatch.from_arrays(
@@ -471,11 +482,11 @@ def score(docs: DataFrame, index: Index, key: str = "doc_id", text: str = "text"
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shared.value.score(t) for t in batch.column(text).to_pylist()]
+        for part in _slices(batches):
+            found = [shared.value.score(t) for t in part.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(key),
+                    part.column(key),
                     pa.array([f[0] for f in found], pa.float64()),
                     pa.array([f[1] for f in found], pa.list_(pa.int64())),
                     pa.array([f[2] for f in found], pa.list_(pa.float64())),
@@ -500,9 +511,13 @@ def keep_clean(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     index = train(docs, labels, key, text)
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
-    @F.pandas_udf("double")
-    def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            yield pd.Series([shared.value.score(t)[0] for t in part], dtype="float64")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
+            yield part.filter(pa.array([shared.value.score(t)[0] < THRESHOLD for t in part.column(text).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
+
 
-    return docs.filter(scored(docs[text]) < THRESHOLD)
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, so that a task holds few texts beside its index."""
+    return (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
