@@ -22,6 +22,7 @@ from linkloom.sources import derived as D
 from linkloom.sources import crawl_store
 from linkloom.sources import runs as store
 from linkloom.sources.requests import validate_requests
+from linkloom.sources.rows import identified
 from linkloom.sources.snapshot import page_snapshot, snapshot_from_outcomes
 from linkloom.streaming.discovery import page_stream, stream_link_discovery
 
@@ -43,11 +44,11 @@ def _pages(spark, sf):
 
 
 def _snapshot(spark, sf):
-    return page_snapshot(spread(_pages(spark, sf)))
+    return page_snapshot(spread(identified(_pages(spark, sf))))
 
 
 def _noisy(spark, sf):
-    return page_snapshot(D.noisy_pages(spread(_pages(spark, sf))))
+    return page_snapshot(D.noisy_pages(spread(identified(_pages(spark, sf)))))
 
 
 # -- crawls that several queries look at -----------------------------------------
@@ -415,8 +416,8 @@ def retry_budget(spark, sf):
 
 @query
 def split_outcomes(spark, sf):
-    outcomes = fetchlog.fetch_outcome(D.fetch_attempts(spark, sf))
-    return fetchlog.split_outcomes(outcomes).select("url", "outcome")
+    won = fetchlog.winning_attempts(D.fetch_attempts(spark, sf))
+    return fetchlog.split_outcomes(won).select("url", "outcome")
 
 
 # -- crawls ---------------------------------------------------------------------
@@ -525,6 +526,14 @@ def crawl_result_document(spark, sf):
     )
 
 
+@query
+def crawl_documents(spark, sf):
+    """Lines of the JSON documents of the shop crawls, written as text and read again."""
+    path = new_path(spark, "documents")
+    crawl_store.write_documents(_shop(spark, sf), path)
+    return crawl_store.read_documents(spark, path)
+
+
 @query
 def crawl_summary(spark, sf):
     return report.crawl_summary(_shop(spark, sf))
@@ -582,13 +591,17 @@ def crawl_errors(spark, sf):
 @query
 def crawl_attempts(spark, sf):
     """Crawls of depth 0 over what the retried fetches of the order pages gave."""
-    outcomes = fetchlog.fetch_outcome(D.fetch_attempts(spark, sf)).filter("url LIKE 'http%'")
+    outcomes = fetchlog.fetch_outcome(D.fetch_attempts(spark, sf))
     requests = outcomes.select(
-        F.regexp_extract("url", r"/order/(\d+)\.html", 1).cast("bigint").alias("crawl_id"),
+        F.regexp_extract("url", r"(\d+)(?:\.html)?$", 1).cast("bigint").alias("crawl_id"),
         F.col("url").alias("seed_url"),
         F.lit(0).alias("max_depth"),
     )
-    return _outcomes(crawl(requests, snapshot_from_outcomes(outcomes), None, STARTED))
+    found = _outcomes(crawl(requests, snapshot_from_outcomes(outcomes), None, STARTED))
+    # A seed that is no URL is never enqueued.
+    return requests.select("crawl_id").join(found, "crawl_id", "left").select(
+        "crawl_id", F.coalesce("state", F.lit("failed")).alias("state"), F.coalesce("status_code", F.lit(-1)).alias("status_code")
+    )
 
 
 def _outcomes(run: CrawlRun):

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import urls as U
 from linkloom.functions.columns import over
+from linkloom.session import written
+from linkloom.sources.rows import ROW, identified, keep_rows
 
 SCHEMA = "url STRING, attempt INT, kind STRING, status INT, html STRING"
 
@@ -21,30 +23,47 @@ def _terminal() -> Column:
     return response | (F.col("kind") == "error")
 
 
-def fetch_outcome(attempts: DataFrame) -> DataFrame:
-    """``(url, status, html)``: the first terminal one of the first attempts.
+def winning_attempts(attempts: DataFrame) -> DataFrame:
+    """``(url, status, has_body, _row_id)``, one row per URL: its first terminal one of the first attempts.
 
-    4xx bodies are blank. An error, no terminal attempt or an invalid URL give
-    ``(-1, "")``. The aggregation keeps one candidate per URL and task.
+    An error, no terminal attempt or an invalid URL give status -1. ``has_body`` says whether
+    the attempt's body counts, which those of client errors and empty ones do not; ``_row_id``
+    is where it is stored. Of a body only this flag takes part.
     """
-    counted = F.col("attempt") <= MAX_ATTEMPTS
+    rows = identified(attempts, "attempts")
     fetched = F.col("kind") == "response"
-    answer = F.struct(
+    body = fetched & (F.col("status") < 400) & (F.coalesce(F.col("html"), F.lit("")) != "")
+    narrow = rows.select(
+        "url",
+        "attempt",
+        ((F.col("attempt") <= MAX_ATTEMPTS) & _terminal()).alias("ends"),
         F.when(fetched, F.col("status")).otherwise(F.lit(-1)).cast("int").alias("status"),
-        F.when(fetched & (F.col("status") < 400), F.coalesce(F.col("html"), F.lit("")))
-        .otherwise(F.lit(""))
-        .alias("html"),
+        F.coalesce(body, F.lit(False)).alias("has_body"),
+        ROW,
     )
-    first = F.min_by(
-        F.when(counted & _terminal(), answer),
-        F.when(counted & _terminal(), F.col("attempt")),
-    )
-    found = attempts.groupBy("url").agg(first.alias("answer"))
-    valid = over(U.is_valid_url, "url") & F.col("answer").isNotNull()
+    first = F.min(F.when(F.col("ends"), F.struct("attempt", ROW, "status", "has_body")))
+    found = narrow.groupBy("url").agg(first.alias("won"))
+    valid = over(U.is_valid_url, "url") & F.col("won").isNotNull()
     return found.select(
         "url",
-        F.when(valid, F.col("answer.status")).otherwise(F.lit(-1)).alias("status"),
-        F.when(valid, F.col("answer.html")).otherwise(F.lit("")).alias("html"),
+        F.when(valid, F.col("won.status")).otherwise(F.lit(-1)).alias("status"),
+        F.when(valid, F.col("won.has_body")).otherwise(F.lit(False)).alias("has_body"),
+        F.col(f"won.{ROW}").alias(ROW),
+    )
+
+
+def fetch_outcome(attempts: DataFrame) -> DataFrame:
+    """``(url, status, html)``: the winning attempt of each URL (see ``winning_attempts``).
+
+    4xx bodies are blank, and so is the body of a URL without a response. Winners are chosen
+    from narrow rows; their bodies are then read where they are stored, and never exchanged.
+    """
+    rows = identified(attempts, "attempts")
+    won = written(winning_attempts(rows), "winners")
+    bodies = keep_rows(rows, won.filter("has_body").select(ROW))
+    bare = won.filter("NOT has_body")
+    return bodies.select("url", F.col("status").cast("int").alias("status"), "html").unionByName(
+        bare.select("url", "status", F.lit("").alias("html"))
     )
 
 
@@ -74,8 +93,15 @@ def retry_budget(attempts: DataFrame) -> DataFrame:
 
 
 def split_outcomes(outcomes: DataFrame) -> DataFrame:
-    """Add ``outcome``: visited needs a response and a body, else failed."""
-    ok = (F.col("status") != -1) & (F.coalesce(F.col("html"), F.lit("")) != "")
+    """Add ``outcome``: visited needs a response and a body, else failed.
+
+    Takes outcomes with bodies, or winning attempts, whose flag ``has_body`` is enough.
+    """
+    if "has_body" in outcomes.columns:
+        body = F.col("has_body")
+    else:
+        body = F.coalesce(F.col("html"), F.lit("")) != ""
+    ok = (F.col("status") != -1) & body
     return outcomes.withColumn(
         "outcome", F.when(ok, F.lit("visited")).otherwise(F.lit("failed"))
     )

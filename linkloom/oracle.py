@@ -146,7 +146,7 @@ s AS (
 found AS (SELECT crawl_id, parent AS url, count(*) AS links_found FROM s
           WHERE parent IS NOT NULL GROUP BY ALL),
 page AS (
-  SELECT s.crawl_id, s.url, s.depth, s.ord, 200::BIGINT AS status_code,
+  SELECT s.crawl_id, s.url, s.depth, s.ord, s.second, 200::BIGINT AS status_code,
          coalesce(links_found, 0)::BIGINT AS links_found
   FROM s LEFT JOIN found USING (crawl_id, url) WHERE state = 'ok' AND NOT over),
 failure AS (SELECT crawl_id, url, depth, ord FROM s WHERE state = 'failed' AND NOT over),
@@ -306,6 +306,47 @@ outcome AS (
   FROM a)
 """
 
+_TIME = "strftime(make_timestamp((1767225600 + {}) * 1000000), '%Y-%m-%dT%H:%M:%S+00:00')"
+# Each list's rows, then the lines between the lists; a comma behind all but the last of a list.
+_DOCUMENT_LINES = f"""
+  SELECT crawl_id, 'shop.example.com_3__20260101_000000.json' AS filename, line,
+         row_number() OVER (PARTITION BY crawl_id ORDER BY section, k, i) AS line_no
+  FROM (
+    SELECT crawl_id, section, k, unnest(string_split(text, chr(10))) AS line,
+           unnest(range(len(string_split(text, chr(10))))) AS i
+    FROM (
+      SELECT crawl_id, 0 AS section, 0 AS k,
+             '{{' || chr(10) || '  "seed_url": "' || seed_url || '",' || chr(10) || '  "status": "' || status || '",'
+             || chr(10) || '  "error": null,' || chr(10) || '  "total_pages": ' || total_pages || ',' || chr(10)
+             || '  "max_depth_reached": ' || max_depth_reached || ',' || chr(10) || '  "urls_visited": ['
+             || CASE WHEN total_pages = 0 THEN '],' ELSE '' END AS text FROM total
+      UNION ALL
+      SELECT crawl_id, 1, row_number() OVER (PARTITION BY crawl_id ORDER BY url), '    "' || url || '"' ||
+             CASE WHEN url = max(url) OVER (PARTITION BY crawl_id) THEN '' ELSE ',' END FROM page
+      UNION ALL
+      SELECT crawl_id, 2, 0, CASE WHEN total_pages = 0 THEN '' ELSE '  ],' || chr(10) END
+             || '  "urls_failed": [' || CASE WHEN failed_urls = 0 THEN '],' ELSE '' END FROM total
+      UNION ALL
+      SELECT crawl_id, 3, k, '    "' || url || '"' || CASE WHEN k = n THEN '' ELSE ',' END FROM (
+        SELECT crawl_id, url, row_number() OVER (PARTITION BY crawl_id ORDER BY depth, ord) AS k,
+               count(*) OVER (PARTITION BY crawl_id) AS n FROM failure)
+      UNION ALL
+      SELECT crawl_id, 4, 0, CASE WHEN failed_urls = 0 THEN '' ELSE '  ],' || chr(10) END
+             || '  "pages": [' || CASE WHEN total_pages = 0 THEN '],' ELSE '' END FROM total
+      UNION ALL
+      SELECT crawl_id, 5, k, concat_ws(chr(10), '    {{', '      "url": "' || url || '",', '      "depth": ' || depth || ',',
+               '      "status_code": ' || status_code || ',', '      "links_found": ' || links_found || ',',
+               '      "crawled_at": "' || {_TIME.format('second')} || '",', '      "error": null',
+               '    }}' || CASE WHEN k = n THEN '' ELSE ',' END) FROM (
+        SELECT *, row_number() OVER (PARTITION BY crawl_id ORDER BY depth, ord) AS k,
+               count(*) OVER (PARTITION BY crawl_id) AS n FROM page)
+      UNION ALL
+      SELECT crawl_id, 6, 0, concat_ws(chr(10), CASE WHEN total_pages = 0 THEN NULL ELSE '  ],' END,
+               '  "started_at": "2026-01-01T00:00:00+00:00",',
+               '  "finished_at": ' || coalesce('"' || {_TIME.format('seconds')} || '"', 'null') || ',',
+               '  "duration_seconds": ' || coalesce(seconds || '.0', 'null'), '}}') FROM total))
+"""
+
 ORACLE: dict[str, str] = {
     # sources and sinks
     "page_snapshot": f"""WITH {PAGES}
@@ -460,6 +501,7 @@ ORACLE: dict[str, str] = {
            LEFT JOIN (SELECT crawl_id, string_agg(url, chr(10) ORDER BY depth, ord) AS list
                       FROM failure GROUP BY crawl_id) f ON f.crawl_id = total.crawl_id"""
     ),
+    "crawl_documents": _shop(_DOCUMENT_LINES),
     "crawl_summary": _shop(
         """SELECT crawl_id, 'seed=' || seed_url || ' status=' || status || ' pages=' || total_pages
              || ' failed=' || failed_urls || ' max_depth_reached=' || max_depth_reached
@@ -490,12 +532,12 @@ ORACLE: dict[str, str] = {
                CASE p.page_id % 7 WHEN 3 THEN 404 WHEN 5 THEN -1 ELSE 200 END::BIGINT AS status_code
         FROM p0 JOIN p ON p.src = p0.src""",
     "crawl_attempts": f"""WITH {ATTEMPTS}
-        SELECT regexp_extract(url, '/order/(\\d+)', 1)::BIGINT AS crawl_id,
+        SELECT regexp_extract(url, '(\\d+)(\\.html)?$', 1)::BIGINT AS crawl_id,
                CASE WHEN status <> -1 AND html <> '' THEN 'ok' ELSE 'failed' END AS state,
                status AS status_code
-        FROM outcome WHERE url LIKE 'http%'""",
+        FROM outcome""",
     # streaming
     "stream_link_discovery": f"""WITH {PAGES}, {REQUESTS}
-        SELECT DISTINCT crawl_id, scheme || '://' || word0.host || href AS url
-        FROM word0 JOIN wide ON wide.host = word0.host""",
+        SELECT DISTINCT crawl_id, scheme || '://' || word.host || href AS url
+        FROM word JOIN wide ON wide.host = word.host""",
 }

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from linkloom.functions import urls as U
 from linkloom.functions.columns import over
 from linkloom.operators.running import running
+from linkloom.sources.rows import ROW, identified
 from linkloom.sources.snapshot import page_snapshot
 
 SHOP = "http://shop.example.com"
@@ -95,9 +96,10 @@ def host_web(pages: DataFrame) -> DataFrame:
     the host's root page links its first one. The numbering is a running count
     that spreads over many tasks for a host with very many pages.
     """
+    pages = identified(pages)
     keyed = pages.withColumn("host", over(U.url_domain, "url"))
     ranked = running(
-        keyed.select("host", "page_id", "url"),
+        keyed.select("host", "page_id", "url", ROW),
         ["host"],
         ["page_id"],
         {"rank": ("sum", F.lit(1))},
@@ -112,12 +114,13 @@ def host_web(pages: DataFrame) -> DataFrame:
     )
     navs = ranked.join(children, ["host", "rank"], "left").select("page_id", "nav")
     linked = pages.join(navs, "page_id").select(
-        "page_id", "url", F.concat("html", F.coalesce("nav", F.lit(""))).alias("html")
+        "page_id", "url", F.concat("html", F.coalesce("nav", F.lit(""))).alias("html"), ROW
     )
     roots = ranked.filter("rank = 0").select(
         (-F.col("page_id") - 1).alias("page_id"),
         text("http://", F.col("host"), "/").alias("url"),
         _anchors(F.array(href)).alias("html"),
+        F.struct(text(F.col("_row_id.file"), "#root").alias("file"), F.col("_row_id.index").alias("index")).alias(ROW),
     )
     return page_snapshot(linked.unionByName(roots)).withColumn(
         "fetched_at", F.timestamp_seconds(F.lit(1_767_225_600) + F.length("html"))
@@ -309,9 +312,13 @@ def fetch_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.when(F.col("o_orderkey") % 97 == 0, text("not-a-valid-url-", o)).otherwise(
         text(f"{SHOP}/3/order/", o, ".html")
     )
+    # An attempt is identified by the order's row and its number among at most four.
+    place = F.struct(
+        F.col("_row_id.file").alias("file"), (F.col("_row_id.index") * 4 + F.col("t.attempt") - 1).alias("index")
+    )
     return (
-        table(spark, sf_dir, "orders")
-        .select("o_orderkey", url.alias("url"), F.explode(pattern).alias("t"))
+        identified(table(spark, sf_dir, "orders"))
+        .select("o_orderkey", ROW, url.alias("url"), F.explode(pattern).alias("t"))
         .select(
             "url",
             "t.attempt",
@@ -324,6 +331,7 @@ def fetch_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
                     text("<p>", F.col("o_orderkey").cast("string"), "</p>")
                 ),
             ).alias("html"),
+            place.alias(ROW),
         )
     )
 

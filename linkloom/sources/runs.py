@@ -2,14 +2,16 @@
 
 Runs are rows of files partitioned by a hash bucket of the seed, so that looking
 up seeds reads only their buckets, and listings read only their columns. Nothing
-is rewritten: deleting adds tombstones.
+is rewritten: deleting adds tombstones. A store that nobody has written to has no
+runs: nothing is found, listed or deleted in it.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linkloom.session import written
 
@@ -109,9 +111,22 @@ def _counts(runs: DataFrame) -> DataFrame:
     )
 
 
+def read_or_empty(reader: DataFrameReader, schema: str, path: str, fmt: str = "parquet") -> DataFrame:
+    """The files under ``path``, or no rows where nothing was ever written."""
+    try:
+        return reader.schema(schema).format(fmt).load(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        # In a form that the optimizer sees to be empty.
+        columns = [F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(schema)]
+        return SparkSession.active().range(1).select(*columns).filter(F.lit(False))
+
+
 def _stored(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     if fmt == "json":
-        rows = spark.read.schema(_JSON_SCHEMA).option("mode", "DROPMALFORMED").json(f"{path}/runs")
+        lenient = spark.read.option("mode", "DROPMALFORMED")
+        rows = read_or_empty(lenient, _JSON_SCHEMA, f"{path}/runs", "json")
         return rows.withColumns(
             {
                 "started_at": F.col("started_at").cast("timestamp"),
@@ -122,18 +137,12 @@ def _stored(spark: SparkSession, path: str, fmt: str) -> DataFrame:
                 ),
             }
         )
-    return spark.read.schema(RUN_SCHEMA + _STORED).parquet(f"{path}/runs")
+    return read_or_empty(spark.read, RUN_SCHEMA + _STORED, f"{path}/runs")
 
 
 def _live(spark: SparkSession, path: str, fmt: str) -> DataFrame:
-    rows = _stored(spark, path, fmt)
-    try:
-        gone = spark.read.schema("run_id STRING").parquet(f"{path}/tombstones")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return rows  # nothing was ever deleted
-    return rows.join(gone, "run_id", "left_anti")
+    gone = read_or_empty(spark.read, "run_id STRING", f"{path}/tombstones")
+    return _stored(spark, path, fmt).join(gone, "run_id", "left_anti")
 
 
 def _of_seeds(rows: DataFrame, seeds: DataFrame | None) -> DataFrame:
