@@ -7,13 +7,12 @@ without a shuffle. Base URL parts are computed per page, not per link.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkloom.functions import html as H
 from linkloom.functions import urls as U
 from linkloom.functions.columns import let, over
-from linkloom.operators.urls import page_scopes
+from linkloom.operators.urls import page_scopes, pages_in_scope
 
 
 def _tagged(snapshot: DataFrame, *keep: str) -> DataFrame:
@@ -100,8 +99,7 @@ def page_links(snapshot: DataFrame) -> DataFrame:
     Targets are worked out inside the array, so that filters on the result stay
     above the explode and nothing is resolved twice.
     """
-    lists = _link_lists(snapshot)
-    return _unfolded(lists, "src")
+    return _unfolded(_link_lists(snapshot), ["src"])
 
 
 def _link_lists(snapshot: DataFrame) -> DataFrame:
@@ -111,7 +109,8 @@ def _link_lists(snapshot: DataFrame) -> DataFrame:
     )
 
 
-def _unfolded(lists: DataFrame, *keep: str) -> DataFrame:
+def _unfolded(lists: DataFrame, keep: list[str], *more: str) -> DataFrame:
+    """A row per link, with columns of the page to ``keep`` and ``more`` fields of the link."""
     return (
         lists.select(*keep, F.posexplode_outer("links").alias("pos", "link"))
         .filter("link IS NOT NULL")
@@ -121,6 +120,7 @@ def _unfolded(lists: DataFrame, *keep: str) -> DataFrame:
             "link.href",
             _link_fault(F.col("link.early"), F.col("link.dst")).alias("fault"),
             "link.dst",
+            *[f"link.{name}" for name in more],
         )
     )
 
@@ -130,14 +130,34 @@ def resolve_links(snapshot: DataFrame) -> DataFrame:
     return page_links(snapshot).filter("fault IS NULL").drop("fault")
 
 
-def _links_per_crawl(snapshot: DataFrame, requests: DataFrame) -> DataFrame:
-    """Links of each page once per crawl whose scope holds the page.
+def _links_per_crawl(snapshot: DataFrame, requests: DataFrame, lists: DataFrame, *more: str) -> DataFrame:
+    """Links of each page once per crawl whose scope holds the page; ``lists`` has them by page.
 
     Bodies are read row-wise where they are stored; what meets the scopes is one
     compact row per page.
     """
     hits = page_scopes(snapshot.select("url"), requests).withColumnRenamed("url", "src")
-    return _unfolded(_link_lists(snapshot).join(hits, "src"), "crawl_id", "prefix", "src")
+    return _unfolded(lists.join(hits, "src"), ["crawl_id", "prefix", "src"], *more)
+
+
+def _with_repeats(links: Column) -> Column:
+    """Each link with ``again``: whether its target stands earlier in the array.
+
+    Positions are sorted by target, so that a repeat stands next to the one before it: n log n
+    for a page of n links, and the page's row stays where it is.
+    """
+
+    def marked(sorted_places: Column) -> Column:
+        def one(place: Column, k: Column) -> Column:
+            before = F.get(sorted_places, k - F.lit(1))
+            same = before["dst"] == place["dst"]
+            return F.struct(place["pos"].alias("pos"), F.coalesce(same, F.lit(False)).alias("again"))
+
+        return F.array_sort(F.transform(sorted_places, one))
+
+    places = F.transform(links, lambda link, k: F.struct(link["dst"].alias("dst"), k.alias("pos")))
+    flags = let(F.array_sort(places), marked)
+    return F.zip_with(links, flags, lambda link, flag: link.withField("again", flag["again"]))
 
 
 def classify_links(
@@ -146,27 +166,23 @@ def classify_links(
     """``(crawl_id, src, pos, href, dst, reason)``: the first check a link
     fails, or accepted. ``seen(crawl_id, url)`` lists URLs already enqueued.
 
-    Repeats are found within one page, so no group outgrows a page.
+    Repeats are marked inside the page's array, before its links are rows.
     """
-    links = _links_per_crawl(snapshot, requests)
+    lists = _link_lists(snapshot).withColumn("links", over(_with_repeats, "links"))
+    links = _links_per_crawl(snapshot, requests, lists, "again")
     if seen is not None:
         known = seen.select("crawl_id", F.col("url").alias("dst")).distinct()
         links = links.join(known.withColumn("known", F.lit(True)), ["crawl_id", "dst"], "left")
     else:
         links = links.withColumn("known", F.lit(None).cast("boolean"))
-    repeat = F.row_number().over(W.partitionBy("crawl_id", "src", "dst").orderBy("pos")) > 1
     reason = F.coalesce(
         "fault",
         F.when(~U.in_scope(F.col("dst"), F.col("prefix")), F.lit("out_of_scope"))
         .when(F.col("known"), F.lit("visited"))
-        .when(F.col("repeat"), F.lit("duplicate"))
+        .when(F.col("again"), F.lit("duplicate"))
         .otherwise(F.lit("accepted")),
     )
-    return (
-        links.withColumn("repeat", repeat)
-        .withColumn("reason", reason)
-        .select("crawl_id", "src", "pos", "href", "dst", "reason")
-    )
+    return links.withColumn("reason", reason).select("crawl_id", "src", "pos", "href", "dst", "reason")
 
 
 def classify_counts(classified: DataFrame) -> DataFrame:
@@ -177,7 +193,7 @@ def classify_counts(classified: DataFrame) -> DataFrame:
 def link_graph(snapshot: DataFrame, requests: DataFrame) -> DataFrame:
     """``(crawl_id, src, pos, dst)``: unique accepted links of every page in
     scope, at their first position. Repeats combine before the shuffle."""
-    links = _links_per_crawl(snapshot, requests).filter(
+    links = _links_per_crawl(snapshot, requests, _link_lists(snapshot)).filter(
         F.col("fault").isNull() & U.in_scope(F.col("dst"), F.col("prefix"))
     )
     return (
@@ -203,15 +219,18 @@ def adjacency(snapshot: DataFrame, requests: DataFrame, partitions: int) -> Data
     """
     ok = (F.col("status") != -1) & (F.coalesce(F.col("html"), F.lit("")) != "")
     pages = snapshot.withColumn("ok", F.coalesce(ok, F.lit(False)))
-    resolved = over(_resolve_distinct, "base", "hrefs")
-    valid = F.filter(resolved, lambda r: U.is_valid_canonical(r["dst"]))
-    hits = page_scopes(snapshot.select("url"), requests).select("url")
+    hits = pages_in_scope(snapshot.select("url"), requests)
     return (
-        _based(pages, "status", "ok", "fetched_at")
-        .select(
-            "url", "status", "ok", "fetched_at",
-            F.array_distinct(F.transform(valid, lambda r: r["dst"])).alias("links"),
-        )
+        distinct_targets(pages, "status", "ok", "fetched_at")
         .join(hits, "url", "left_semi")
         .repartition(partitions, "url")
     )
+
+
+def distinct_targets(pages: DataFrame, *keep: str) -> DataFrame:
+    """``url``, columns to ``keep`` and ``links``: the distinct valid targets of each page, in page order."""
+    resolved = over(_resolve_distinct, "base", "hrefs")
+    valid = F.filter(resolved, lambda r: U.is_valid_canonical(r["dst"]))
+    return _based(pages, *keep).select(
+        "url", *keep, F.array_distinct(F.transform(valid, lambda r: r["dst"])).alias("links")
+    )

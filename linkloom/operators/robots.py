@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkloom.functions import urls as U
 from linkloom.functions.columns import after, over, percent_decode_keep_plus, strip
+from linkloom.session import written
 
 SCHEMA = "domain STRING, fetched_at TIMESTAMP, status INT, body STRING"
 RULES_SCHEMA = (
@@ -19,6 +22,9 @@ RULES_SCHEMA = (
 AGENT_KEY = "user-agent"
 RULE_KEYS = ("allow", "disallow", "crawl-delay", "request-rate")
 
+# Rules of a domain that each of its URLs may scan.
+SCANNED_RULES = 100
+
 _LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
@@ -132,23 +138,73 @@ def rule_verdict(target: Column, rules: Column) -> Column:
     return F.coalesce(F.get(hits, F.lit(0))["allow"], F.lit(True))
 
 
-def robots_allowed(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
+@dataclass
+class RuleIndex:
+    """Rule tables ready for look-ups, by ``_domain``.
+
+    ``short`` has the rules of domains with few of them as an array, which is scanned. Of the others
+    ``paths`` has a row per rule path with its first line, and ``lengths`` the lengths of the
+    domain's paths; both are None where no domain has that many rules.
+    """
+
+    short: DataFrame
+    paths: DataFrame | None = None
+    lengths: DataFrame | None = None
+
+
+def rule_index(rules: DataFrame, scanned: int = SCANNED_RULES) -> RuleIndex:
+    """Written tables of ``rules(domain, rules)`` for ``robots_checked``."""
+    held = written(rules.select(F.col("domain").alias("_domain"), "rules"), "rules")
+    long = held.filter(F.size("rules") > scanned)
+    if long.isEmpty():
+        return RuleIndex(held)
+    lines = long.select("_domain", F.posexplode("rules").alias("line", "rule"))
+    first = F.min(F.struct("line", "rule.allow")).alias("first")
+    paths = written(lines.groupBy("_domain", F.col("rule.path").alias("_prefix")).agg(first), "rule-paths")
+    lengths = paths.groupBy("_domain").agg(F.collect_set(F.char_length("_prefix")).alias("_lengths"))
+    return RuleIndex(held.filter(F.size("rules") <= scanned), paths, written(lengths, "rule-lengths"))
+
+
+def robots_checked(urls: DataFrame, index: RuleIndex, url: str = "url") -> DataFrame:
+    """Add ``allowed`` to rows with a ``_domain``: the verdict of the first rule whose path is a prefix.
+
+    In a domain with very many rules a URL's prefixes, of the lengths that occur there, meet
+    the rule paths by equality and the smallest line wins, so no URL scans the rules. Each
+    distinct target is looked up once.
+    """
+    target = over(match_target, url)
+    verdict = rule_verdict(target, F.col("rules"))
+    checked = urls.join(index.short, "_domain", "left")
+    allowed = F.when(F.col("rules").isNull(), F.lit(True)).otherwise(verdict)
+    if index.paths is None:
+        return checked.withColumn("allowed", allowed).drop("rules")
+    asked = urls.select("_domain", target.alias("_target")).join(index.lengths, "_domain").distinct()
+    usable = F.filter("_lengths", lambda n: n <= F.char_length("_target"))
+    prefixes = F.transform(usable, lambda n: F.substring(F.col("_target"), F.lit(1), n))
+    hits = asked.select("_domain", "_target", F.explode(prefixes).alias("_prefix")).join(index.paths, ["_domain", "_prefix"])
+    found = hits.groupBy("_domain", "_target").agg(F.min("first").alias("_first"))
+    return (
+        checked.withColumn("_target", target)
+        .join(found, ["_domain", "_target"], "left")
+        .withColumn("allowed", F.when(F.col("_first").isNotNull(), F.col("_first.allow")).otherwise(allowed))
+        .drop("rules", "_target", "_first")
+        .select(*urls.columns, "allowed")
+    )
+
+
+def robots_allowed(urls: DataFrame, rules: DataFrame | RuleIndex, url: str = "url") -> DataFrame:
     """Add ``allowed``. A boolean column ``respect_robots_txt``, where present
     and false, allows the row's URL without a check.
 
     The rule table has one row per domain; the optimizer broadcasts it while it
     is small, and otherwise splits domains with very many URLs.
     """
-    by_domain = rules.select(F.col("domain").alias("_domain"), "rules")
-    keyed = urls.withColumn("_domain", over(U.url_domain, url))
-    verdict = rule_verdict(over(match_target, url), F.col("rules"))
+    index = rules if isinstance(rules, RuleIndex) else rule_index(rules)
+    checked = robots_checked(urls.withColumn("_domain", over(U.url_domain, url)), index, url).drop("_domain")
     if "respect_robots_txt" in urls.columns:
-        verdict = ~F.coalesce("respect_robots_txt", F.lit(True)) | verdict
-    return (
-        keyed.join(by_domain, "_domain", "left")
-        .withColumn("allowed", F.when(F.col("rules").isNull(), F.lit(True)).otherwise(verdict))
-        .drop("_domain", "rules")
-    )
+        allowed = ~F.coalesce("respect_robots_txt", F.lit(True)) | F.col("allowed")
+        checked = checked.withColumn("allowed", allowed)
+    return checked
 
 
 def crawl_delay(domains: DataFrame, rules: DataFrame) -> DataFrame:

@@ -74,8 +74,22 @@ def scope_join(urls: DataFrame, requests: DataFrame, url: str = "url") -> DataFr
 
 def page_scopes(urls: DataFrame, requests: DataFrame, url: str = "url") -> DataFrame:
     """``(crawl_id, prefix, url)`` for each canonical URL and scope that holds it."""
+    return _keyed(urls, url).join(scope_table(requests), "key").select("crawl_id", "prefix", "url")
+
+
+def pages_in_scope(urls: DataFrame, requests: DataFrame, url: str = "url") -> DataFrame:
+    """``url`` of those in the scope of some crawl, perhaps more than once. Only the distinct
+    scope keys take part, however many crawls share them."""
+    keys = scope_table(requests).select("key").distinct()
+    return _keyed(urls, url).join(keys, "key", "left_semi").select("url")
+
+
+def scope_table(requests: DataFrame) -> DataFrame:
+    """``(crawl_id, prefix, key)`` of each crawl's scope."""
     scopes = requests.select("crawl_id", over(U.scope_prefix, "seed_url").alias("prefix"))
-    scopes = scopes.select("crawl_id", "prefix", F.explode(U.keys_of_scope(F.col("prefix"))).alias("key"))
+    return scopes.select("crawl_id", "prefix", F.explode(U.keys_of_scope(F.col("prefix"))).alias("key"))
+
+
+def _keyed(urls: DataFrame, url: str) -> DataFrame:
     keyed = urls.select(F.col(url).alias("url"))
-    keyed = keyed.select("url", F.explode(U.scope_keys(F.col("url"))).alias("key"))
-    return keyed.join(scopes, "key").select("crawl_id", "prefix", "url")
+    return keyed.select("url", F.explode(U.scope_keys(F.col("url"))).alias("key"))

@@ -2,9 +2,13 @@
 
 Discovery order needs no global sort: a frontier row carries ``ord``, the link
 positions followed from the seed, and first-in-first-out order within a level is
-the lexicographic order of ``ord``. Each level is one join with the page table,
-one grouped minimum and one anti-join, and is written to the shared folder, so a
-lost executor costs at most the tasks of the running level.
+the lexicographic order of ``ord``.
+
+A level is looked up in the bucketed page table, narrow columns only; the page cap cuts
+it; the links of the pages before the cut are grouped into the next frontier, which meets the
+bucketed queue in place and is appended to it. Only the frontier moves, and no level
+is read again until the crawl is done. Each step is written to the shared folder, so
+a lost executor costs at most the tasks of the running one.
 """
 
 from __future__ import annotations
@@ -12,24 +16,27 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions import urls as U
 from linkloom.functions.columns import over
 from linkloom.operators.links import adjacency
-from linkloom.operators.robots import match_target, robots_rules, rule_verdict
-from linkloom.operators.running import running
+from linkloom.operators.robots import RuleIndex, robots_checked, robots_rules, rule_index
+from linkloom.operators.selection import kth
 from linkloom.session import new_path, written
 from linkloom.sources.requests import with_defaults
 
 _LEVEL_SCHEMA = (
     "crawl_id BIGINT, url STRING, ord ARRAY<INT>, parent STRING, state STRING, "
-    "status_code INT, crawled_at TIMESTAMP, links ARRAY<STRING>, "
-    "max_depth INT, prefix STRING, respect_robots_txt BOOLEAN"
+    "status_code INT, crawled_at TIMESTAMP, max_depth INT, prefix STRING, respect_robots_txt BOOLEAN"
 )
-_CUT_SCHEMA = "crawl_id BIGINT, cut ARRAY<INT>"
+_QUEUED = ["crawl_id", "url", "ord", "parent", "max_depth", "prefix", "respect_robots_txt"]
+
+# Rows of one URL in a level from which its page is copied, so that several tasks look it up.
+HOT_ROWS = 50_000
 
 
 @dataclass
@@ -105,14 +112,14 @@ def crawl(
     )
     rules = None
     if robots is not None:
-        rules = written(
-            robots_rules(robots).select(F.col("domain").alias("_domain"), "rules"), "rules"
-        )
+        rules = rule_index(robots_rules(robots))
     table = _page_table(spark, snapshot, requests)
+    queue = Queue(spark)
     try:
-        return _levels(spark, requests, spark.table(table), rules)
+        return _levels(spark, requests, spark.table(table), rules, queue)
     finally:
-        # Only the name goes; the levels do not depend on the table any more.
+        # Only the names go; the levels do not depend on the tables any more.
+        queue.drop()
         spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
@@ -120,7 +127,7 @@ def _page_table(spark: SparkSession, snapshot: DataFrame, requests: DataFrame) -
     """Store the pages with their links bucketed by URL: links are shuffled once,
     and every level joins them without moving them again."""
     name = f"linkloom_pages_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = _buckets(spark)
     (
         adjacency(snapshot, requests, buckets)
         .write.format("parquet")
@@ -132,52 +139,95 @@ def _page_table(spark: SparkSession, snapshot: DataFrame, requests: DataFrame) -
     return name
 
 
+def _buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+class Queue:
+    """Every URL enqueued so far: a table bucketed by crawl and URL that each level appends to.
+
+    A grouped frontier lies in the same buckets, so it meets the table, and is
+    appended to it, without moving either. Files are sorted by crawl and hold one depth each: the
+    statistics of their row groups skip other depths and crawls that have ended.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.name = f"linkloom_queue_{uuid.uuid4().hex}"
+        self.buckets = _buckets(spark)
+        self.path = new_path(spark, "queue")
+
+    def append(self, frontier: DataFrame, depth: int) -> int:
+        """Enqueue a level; its number of rows."""
+        counted = Observation()
+        (
+            frontier.select(*_QUEUED, F.lit(depth).alias("depth"))
+            .observe(counted, F.count(F.lit(1)).alias("n"))
+            .write.format("parquet")
+            .bucketBy(self.buckets, "crawl_id", "url")
+            .sortBy("crawl_id", "url")
+            .option("path", self.path)
+            .mode("append")
+            .saveAsTable(self.name)
+        )
+        return counted.get["n"]
+
+    def level(self, depth: int) -> DataFrame:
+        return self.spark.table(self.name).filter(F.col("depth") == depth).drop("depth")
+
+    def unseen(self, frontier: DataFrame, first: int, last: int) -> DataFrame:
+        """Rows not enqueued yet; their crawls lie between ``first`` and ``last``."""
+        known = self.spark.table(self.name).filter(F.col("crawl_id") >= first)
+        if first != last:  # a single id would become a constant, which no bucket has
+            known = known.filter(F.col("crawl_id") <= last)
+        return frontier.join(known.select("crawl_id", "url"), ["crawl_id", "url"], "left_anti")
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
 def _levels(
-    spark: SparkSession, requests: DataFrame, pages: DataFrame, rules: DataFrame | None
+    spark: SparkSession, requests: DataFrame, pages: DataFrame, rules: RuleIndex | None, queue: Queue
 ) -> CrawlRun:
     root = new_path(spark, "crawl")
-    frontier = requests.filter("url IS NOT NULL").select(
-        "crawl_id",
-        "url",
-        F.array().cast("array<int>").alias("ord"),
-        F.lit(None).cast("string").alias("parent"),
-        "max_depth",
-        "prefix",
-        "respect_robots_txt",
+    limits = ["max_depth", "prefix", "respect_robots_txt"]
+    seeds = requests.filter("url IS NOT NULL").select(
+        "crawl_id", "url", F.array().cast("array<int>").alias("ord"), F.lit(None).cast("string").alias("parent"), *limits
     )
+    caps = requests.select("crawl_id", "max_pages")
     cuts: list[DataFrame] = []
-    deepest = requests.agg(F.max("max_depth")).first()[0] or 0
-    depth = 0
-    while True:
+    spent, depth = None, 0
+    n_rows = queue.append(seeds, 0)
+    while n_rows or not depth:
         path = f"{root}/levels/depth={depth}"
-        _fetch(frontier, pages, rules, depth, depth < deepest).write.parquet(path)
-        levels = spark.read.schema(_LEVEL_SCHEMA + ", depth INT").parquet(f"{root}/levels")
-        level = levels.filter(F.col("depth") == depth).drop("depth")
-        tally = _tally(levels, requests, depth)
-        facts = tally.agg(
-            F.sum("n_expands").alias("expands"),
-            F.max(F.when(F.expr(_FULL), F.col("n_rows"))).alias("largest_full"),
-        ).first()
-        kept = level
-        if facts["largest_full"]:
-            cut = _cuts(level, tally, facts["largest_full"])
+        frontier = queue.level(depth)
+        hot = _hot_urls(frontier) if n_rows > HOT_ROWS else None
+        _looked_up(frontier, pages, rules, hot).write.parquet(path)
+        level = spark.read.schema(_LEVEL_SCHEMA).parquet(path)
+        # The only row per level that reaches the driver.
+        facts = Observation()
+        tally = written(_tally(level, caps, spent, depth).observe(facts, *_facts()), "tally")
+        facts, kept = facts.get, level
+        if facts["full"]:
+            cut = _cuts(level, tally)
             cuts.append(cut.withColumn("depth", F.lit(depth)))
-            kept = level.join(cut, "crawl_id", "left").filter("cut IS NULL OR ord < cut").drop("cut")
-        if not facts["expands"]:
+            kept = level.join(cut, "crawl_id", "left").filter("cut IS NULL OR ord <= last").drop("cut", "last")
+        if not facts["n_expands"]:
             break
-        frontier = _expand(kept.filter(_expands(depth))).join(
-            levels.select("crawl_id", "url"), ["crawl_id", "url"], "left_anti"
-        )
+        # Links are read for pages before the cut only.
+        linked = _with_pages(kept.filter(_expands(depth)).select("crawl_id", "url", "ord", *limits), pages, ["links"], hot)
+        frontier = queue.unseen(_expand(linked), facts["first"], facts["last"])
+        spent = tally.select("crawl_id", (F.col("n_earlier") + F.col("n_ok")).alias("n_earlier"))
         depth += 1
+        n_rows = queue.append(frontier, depth)
 
-    rows = levels.drop("links", "max_depth", "prefix", "respect_robots_txt")
+    rows = spark.read.schema(_LEVEL_SCHEMA + ", depth INT").parquet(f"{root}/levels").drop(*limits)
     if cuts:
-        all_cuts = cuts[0]
-        for more in cuts[1:]:
-            all_cuts = all_cuts.unionByName(more)
+        all_cuts = reduce(DataFrame.unionByName, cuts)
+        behind = F.col("cut") & F.coalesce(F.col("ord") > F.col("last"), F.lit(True))
         rows = rows.join(all_cuts, ["crawl_id", "depth"], "left").withColumn(
-            "over", F.coalesce(F.col("ord") >= F.col("cut"), F.lit(False))
-        ).drop("cut")
+            "over", F.coalesce(behind, F.lit(False))
+        ).drop("cut", "last")
     else:
         rows = rows.withColumn("over", F.lit(False))
     return CrawlRun(requests, rows)
@@ -187,121 +237,107 @@ def _levels(
 _FULL = "n_ok >= room"
 
 
-def _tally(levels: DataFrame, requests: DataFrame, depth: int) -> DataFrame:
+def _facts() -> list[Column]:
+    """What the driver needs to know of a tally: whether and where the crawl goes on, and whether a cap binds."""
+    expands = F.col("n_expands") > 0
+    return [
+        F.sum("n_expands").alias("n_expands"),
+        F.max(F.expr(_FULL)).alias("full"),
+        F.min(F.when(expands, F.col("crawl_id"))).alias("first"),
+        F.max(F.when(expands, F.col("crawl_id"))).alias("last"),
+    ]
+
+
+def _tally(level: DataFrame, caps: DataFrame, spent: DataFrame | None, depth: int) -> DataFrame:
     """Counts of a level per crawl that has rows in it, with the room that
-    earlier levels left under the page cap."""
+    earlier levels left under the page cap. What they took is carried, not counted again:
+    a crawl with rows in a level has some in every earlier one."""
     ok = F.col("state") == "ok"
-    here = F.col("depth") == depth
-    counts = levels.groupBy("crawl_id").agg(
-        F.count_if(here).alias("n_rows"),
-        F.count_if(here & ok).alias("n_ok"),
-        F.count_if(here & _expands(depth)).alias("n_expands"),
-        F.count_if(~here & ok).alias("n_earlier"),
-    )
-    caps = requests.select("crawl_id", "max_pages")
-    return counts.filter("n_rows > 0").join(caps, "crawl_id").withColumn(
-        "room", F.greatest(F.col("max_pages") - F.col("n_earlier"), F.lit(0))
-    )
+    counts = level.groupBy("crawl_id").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(ok).alias("n_ok"),
+        F.count_if(_expands(depth)).alias("n_expands"),
+    ).join(caps, "crawl_id")
+    if spent is None:
+        counts = counts.withColumn("n_earlier", F.lit(0).cast("bigint"))
+    else:
+        counts = counts.join(spent, "crawl_id")
+    return counts.withColumn("room", F.greatest(F.col("max_pages") - F.col("n_earlier"), F.lit(0)))
 
 
 def _expands(depth: int) -> Column:
     return (F.col("state") == "ok") & (F.col("max_depth") > depth)
 
 
-def _fetch(
-    frontier: DataFrame, pages: DataFrame, rules: DataFrame | None, depth: int, deeper: bool = True
-) -> DataFrame:
-    """Look the frontier up: robots first, then the page table.
+def _hot_urls(frontier: DataFrame) -> DataFrame | None:
+    """``(url, copies)`` of the URLs that so many crawls name in a level that one task
+    should not look them up; at most one URL per ``HOT_ROWS`` rows."""
+    counts = frontier.groupBy("url").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_ROWS)
+    hot = written(counts.select("url", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("copies")), "hot")
+    return None if hot.isEmpty() else hot
 
-    The links of a page that are in scope come along, so that expanding needs no
-    second look-up. Where no crawl goes ``deeper`` they are not even read.
+
+def _with_pages(rows: DataFrame, pages: DataFrame, columns: list[str], hot: DataFrame | None) -> DataFrame:
+    """``rows`` with columns of their stored pages, null where there is none.
+
+    The rows are moved to the buckets of the pages. Those of hot URLs are spread by crawl
+    instead, and their few pages are copied to every place they may come to.
     """
+    found = pages.select("url", *columns)
+    if hot is None:
+        return rows.join(found, "url", "left")
+    names = [*rows.columns, *columns]
+    cold = rows.join(hot, "url", "left_anti").join(found, "url", "left").select(*names)
+    copies = found.join(hot, "url").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    spread = rows.join(hot, "url").withColumn("_copy", F.pmod(F.xxhash64("crawl_id"), F.col("copies")).cast("int"))
+    return cold.union(spread.join(copies.drop("copies"), ["url", "_copy"], "left").select(*names))
+
+
+def _looked_up(
+    frontier: DataFrame, pages: DataFrame, rules: RuleIndex | None, hot: DataFrame | None = None
+) -> DataFrame:
+    """The state of each frontier row: robots first, then the page table, whose links stay unread."""
     if rules is None:
         checked = frontier.withColumn("allowed", F.lit(True))
     else:
-        verdict = ~F.col("respect_robots_txt") | rule_verdict(over(match_target, "url"), F.col("rules"))
         # All URLs of a crawl are on the domain of its seed.
-        checked = (
-            frontier.withColumn("_domain", F.substring_index("prefix", "/", 1))
-            .join(rules, "_domain", "left")
-            .withColumn("allowed", F.when(F.col("rules").isNull(), F.lit(True)).otherwise(verdict))
-            .drop("_domain", "rules")
-        )
-    found = pages.select(
-        "url", "status", "ok", F.col("fetched_at").alias("crawled_at"), *(["links"] if deeper else [])
-    )
-    links = F.lit(None).cast("array<string>")
-    if deeper:
-        inside = F.filter("links", lambda x: U.in_scope(x, F.col("prefix")))
-        links = F.when(_expands(depth), inside)
+        checked = robots_checked(frontier.withColumn("_domain", F.substring_index("prefix", "/", 1)), rules)
+        checked = checked.withColumn("allowed", ~F.col("respect_robots_txt") | F.col("allowed")).drop("_domain")
     state = (
         F.when(~F.col("allowed"), F.lit("blocked"))
         .when(F.col("ok"), F.lit("ok"))
         .otherwise(F.lit("failed"))
     )
-    return (
-        checked.join(found, "url", "left")
-        .withColumn("state", state)
-        .select(
-            "crawl_id",
-            "url",
-            "ord",
-            "parent",
-            "state",
-            F.when(F.col("allowed"), F.col("status")).alias("status_code"),
-            F.when(F.col("allowed"), F.col("crawled_at")).alias("crawled_at"),
-            links.alias("links"),
-            "max_depth",
-            "prefix",
-            "respect_robots_txt",
-        )
+    return _with_pages(checked, pages, ["status", "ok", "fetched_at"], hot).select(
+        "crawl_id",
+        "url",
+        "ord",
+        "parent",
+        state.alias("state"),
+        F.when(F.col("allowed"), F.col("status")).alias("status_code"),
+        F.when(F.col("allowed"), F.col("fetched_at")).alias("crawled_at"),
+        "max_depth",
+        "prefix",
+        "respect_robots_txt",
     )
 
 
-def _cuts(level: DataFrame, tally: DataFrame, largest: int) -> DataFrame:
-    """``(crawl_id, cut)``: the first ``ord`` of a level behind the page cap,
-    for crawls that have one."""
-    full = tally.filter(_FULL).select("crawl_id", "room")
-    rows = level.select("crawl_id", "ord", (F.col("state") == "ok").cast("int").alias("ok"))
-    counted = running(
-        rows.join(full, "crawl_id"),
-        ["crawl_id"],
-        ["ord"],
-        {"ahead": ("sum", F.col("ok"))},
-        before=True,
-        largest=largest,
-    )
-    return written(
-        counted.filter("ahead >= room").groupBy("crawl_id").agg(F.min("ord").alias("cut")), "cuts"
-    )
+def _cuts(level: DataFrame, tally: DataFrame) -> DataFrame:
+    """``(crawl_id, last, cut)``: for crawls whose cap binds in this level, the ``ord`` of the page
+    that fills it, or null where earlier levels left no room and nothing counts."""
+    full = tally.filter(_FULL)
+    pages = level.filter("state = 'ok'").select("crawl_id", F.col("ord").alias("last"))
+    filled = kth(pages, "crawl_id", "last", full.filter("room > 0").select("crawl_id", F.col("room").alias("k")))
+    none = full.filter("room = 0").select("crawl_id", F.lit(None).cast("array<int>").alias("last"))
+    return written(filled.unionByName(none).withColumn("cut", F.lit(True)), "cuts")
 
 
 def _expand(pages: DataFrame) -> DataFrame:
     """Children in scope, one row per crawl and URL with its first parent."""
-    children = (
-        pages.select(
-            "crawl_id",
-            "url",
-            "ord",
-            "max_depth",
-            "prefix",
-            "respect_robots_txt",
-            F.posexplode("links").alias("pos", "dst"),
-        )
-        .select(
-            "crawl_id",
-            F.col("dst").alias("url"),
-            F.struct(
-                F.array_append("ord", F.col("pos")).alias("ord"),
-                F.col("url").alias("parent"),
-                "max_depth",
-                "prefix",
-                "respect_robots_txt",
-            ).alias("first"),
-        )
-    )
-    return (
-        children.groupBy("crawl_id", "url").agg(F.min("first").alias("first")).select(
-            "crawl_id", "url", "first.*"
-        )
-    )
+    inside = F.filter("links", lambda x: U.in_scope(x, F.col("prefix")))
+    children = pages.select("crawl_id", "url", "ord", "max_depth", "prefix", "respect_robots_txt", F.posexplode(inside).alias("pos", "dst"))
+    first = F.min(F.struct(F.array_append("ord", F.col("pos")).alias("ord"), F.col("url").alias("parent")))
+    # The settings are the same in all rows of a crawl.
+    settings = [F.first(c).alias(c) for c in ("max_depth", "prefix", "respect_robots_txt")]
+    found = children.groupBy("crawl_id", F.col("dst").alias("url")).agg(first.alias("first"), *settings)
+    return found.select("crawl_id", "url", "first.*", "max_depth", "prefix", "respect_robots_txt")

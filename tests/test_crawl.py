@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fifo import simulate
-from linkloom.operators import running as running_module
+from linkloom.operators import selection
+from linkloom.plans import crawl as crawl_module
 from linkloom.plans import report
 from linkloom.plans.crawl import crawl
 
@@ -48,10 +49,12 @@ def random_web(seed, n):
     return rng, url, links, fetch, blocked, rows
 
 
-@pytest.mark.parametrize("window_rows", [None, 3])
-def test_many_crawls_equal_queue(spark, monkeypatch, window_rows):
-    if window_rows:
-        monkeypatch.setattr(running_module, "WINDOW_ROWS", window_rows)
+@pytest.mark.parametrize("small", [False, True])
+def test_many_crawls_equal_queue(spark, monkeypatch, small):
+    """``small``: caps cut by selection rounds, and pages that a few crawls name are copied."""
+    if small:
+        monkeypatch.setattr(selection, "SORTED", 3)
+        monkeypatch.setattr(crawl_module, "HOT_ROWS", 2)
     rng, url, links, fetch, blocked, rows = random_web(5, 400)
     robots = spark.createDataFrame(
         [("h", None, 200, "User-agent: *\nDisallow: /s/b/1\nAllow: /s/")], ROBOTS
@@ -120,3 +123,27 @@ def test_documents_and_listings_agree(spark):
         mine = [r for r in listed if r.crawl_id == crawl_id]
         assert [r.url for r in mine] == doc.urls_visited[:10]
         assert {r.more_visited for r in mine} == {max(doc.total_pages - 10, 0)}
+
+
+def test_a_page_that_very_many_crawls_name(spark, monkeypatch):
+    """Its rows come to many tasks, with the same result."""
+    monkeypatch.setattr(crawl_module, "HOT_ROWS", 500)
+    spread = []
+    look_up = crawl_module._with_pages
+
+    def watched(rows, pages, columns, hot):
+        found = look_up(rows, pages, columns, hot)
+        if hot is not None and "ok" in columns:
+            tasks = found.filter("url = 'http://h/hub'").groupBy(F.spark_partition_id()).count().collect()
+            spread.append([r["count"] for r in tasks])
+        return found
+
+    monkeypatch.setattr(crawl_module, "_with_pages", watched)
+    requests = spark.range(6_000).selectExpr(
+        "id AS crawl_id", "concat('http://h/', if(id % 2 = 0, 'hub', concat('s', id))) AS seed_url", "1 AS max_depth", "10 AS max_pages"
+    )
+    pages = [("http://h/hub", 200, "<a href=/hub/x>")] + [(f"http://h/s{k}", 200, "leaf") for k in range(1, 40, 2)]
+    run = crawl(requests, snapshot(spark, pages), None, START)
+    states = {(r.state, r.depth): r["count"] for r in run.enqueued.groupBy("state", "depth").count().collect()}
+    assert states == {("ok", 0): 3_020, ("failed", 0): 2_980, ("failed", 1): 3_000}
+    assert spread and len(spread[0]) > 2 and max(spread[0]) < 2_000

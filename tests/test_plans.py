@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from linkloom import catalog
 from linkloom.operators.urls import domain_rollup
 from linkloom.plans import crawl as crawl_plan
-from linkloom.session import new_path
+from linkloom.session import new_path, written
 from linkloom.sources import derived as D
 from linkloom.sources import runs as store
+from test_rows import nodes
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,23 +29,6 @@ def test_rollup_reads_urls_only(spark):
     assert read_columns(plan(domain_rollup(D.table(spark, SF, "pages")))) == [["url"]]
 
 
-def test_snapshot_finds_repeats_without_bodies(spark):
-    reads = read_columns(plan(catalog.QUERIES["page_snapshot"](spark, SF)))
-    assert sorted(map(len, reads)) == [2, 2, 3]
-
-
-@pytest.mark.parametrize("name", ["page_snapshot", "link_graph", "classify_counts"])
-def test_bodies_are_not_moved(spark, name, monkeypatch):
-    """What meets other rows is narrow: no shuffle below a join or aggregate has the
-    page body in it. (Ids of repeated pages are few and are broadcast.)"""
-    monkeypatch.setattr(catalog, "spread", lambda scan: scan)
-    text = plan(catalog.QUERIES[name](spark, SF))
-    for part in text.split("Exchange hashpartitioning(")[1:]:
-        below = part[: part.find("Exchange") if "Exchange" in part else len(part)]
-        output = re.search(r"Project \[([^\n]*)\]", below)
-        assert not output or not re.search(r"(?<!_)\bhtml#\d+(?! AS)\b[,\]]", output[0].split("Filter")[0] + "]"), below[:400]
-
-
 def test_listing_reads_scalars_only(spark):
     path = new_path(spark, "plans")
     store.save_runs(D.crawl_runs(spark, SF), path)
@@ -60,26 +44,73 @@ def test_seed_lookup_prunes_buckets(spark):
     assert "dynamicpruning" in text
 
 
-def test_levels_do_not_move_the_page_table(spark):
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def frontier(spark, urls, crawl_id=1):
+    limits = [F.lit(3).alias("max_depth"), F.lit("shop.example.com/3/").alias("prefix"), F.lit(True).alias("respect_robots_txt")]
+    return urls.select(
+        F.lit(crawl_id).cast("long").alias("crawl_id"), "url", F.array().cast("array<int>").alias("ord"),
+        F.lit(None).cast("string").alias("parent"), *limits,
+    )
+
+
+@pytest.fixture
+def page_table(spark):
     requests = D.shop_requests(spark, SF).withColumns(
         {"url": F.col("seed_url"), "prefix": F.lit("shop.example.com/3/")}
     )
     table = crawl_plan._page_table(spark, D.shop_web(spark, SF), requests)
-    pages = spark.table(table)
-    frontier = pages.select(
-        F.lit(1).cast("long").alias("crawl_id"), "url", F.array().cast("array<int>").alias("ord"),
-        F.lit(None).cast("string").alias("parent"), F.lit(3).alias("max_depth"),
-        F.lit("shop.example.com/3/").alias("prefix"), F.lit(True).alias("respect_robots_txt"),
-    ).repartition(3)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+
+
+def exchanged(df):
+    """Exchanges, each with the scans below it."""
+    found = [n for n in nodes(df._jdf.queryExecution().executedPlan()) if n.nodeName().startswith("Exchange")]
+    return [{m.nodeName() + m.simpleString(400) for m in nodes(n) if "Scan" in m.nodeName()} for n in found]
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_levels_do_not_move_the_page_table(spark, page_table, no_broadcast, hot):
+    rows = written(frontier(spark, page_table), "frontier")
+    urls = written(rows.limit(2).select("url", F.lit(3).alias("copies")), "hot") if hot else None
+    looked_up = crawl_plan._looked_up(rows, page_table, None, urls)
+    scans = {n.simpleString(2000) for n in nodes(looked_up._jdf.queryExecution().executedPlan()) if "Scan" in n.nodeName()}
+    of_pages = [s for s in scans if "fetched_at" in s]
+    assert of_pages and all("Bucketed: true" in s for s in of_pages)
+    # A level is decided on narrow columns: no links are read.
+    assert not any("links" in s for s in scans)
+    if not hot:
+        assert not any("linkloom_pages" in s for below in exchanged(looked_up) for s in below)
+    assert looked_up.count() == rows.count()
+
+
+def test_only_the_frontier_moves(spark, page_table, no_broadcast):
+    queue = crawl_plan.Queue(spark)
     try:
-        text = plan(crawl_plan._fetch(frontier, pages, None, 0))
+        assert queue.append(frontier(spark, page_table.limit(20)), 0) == 20
+        queue.append(frontier(spark, page_table.limit(30), 2), 1)
+        found = written(frontier(spark, page_table).union(frontier(spark, page_table)), "children")
+        children = found.groupBy("crawl_id", "url").agg(
+            *[F.first(c).alias(c) for c in ("ord", "parent", "max_depth", "prefix", "respect_robots_txt")]
+        )
+        for last in (1, 2):
+            fresh = queue.unseen(children, 1, last)
+            # The grouped children are moved once and meet the queue in its buckets; its
+            # files' statistics skip the crawls that have ended.
+            below = exchanged(fresh)
+            assert len(below) == 1 and not any("linkloom_queue" in s for s in below[0])
+            text = plan(fresh)
+            assert "GreaterThanOrEqual(crawl_id,1)" in text and "Bucketed: true" in text
+            assert fresh.count() == page_table.count() - 20
+        assert queue.level(1).count() == 30
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.sql(f"DROP TABLE {table}")
-    # The right side of the join reads buckets and is not exchanged.
-    right = text[text.rindex("FileScan") - 600 :]
-    assert "Bucketed: true" in right and "Exchange" not in right.split("Sort")[-1]
+        queue.drop()
 
 
 def test_link_graph_scans_each_body_once(spark):

@@ -3,6 +3,7 @@
 import random
 from urllib.robotparser import RobotFileParser
 
+import pytest
 from pyspark.sql import functions as F
 
 from linkloom.operators import robots as R
@@ -104,3 +105,26 @@ def test_random_bodies_equal_stdlib(spark):
         bad = [(u, got[u], want[u], bodies[u.split("/")[2]][1]) for u in urls if got[u] != want[u]]
         assert not bad, bad[:3]
         assert delays(spark, bodies, agent) == want_delay
+
+
+@pytest.mark.parametrize("scanned", [0, 3, 100])
+def test_indexed_rules_equal_scanned_ones(spark, scanned):
+    rng = random.Random(8)
+    segments = ["", "a", "b", "a/b", "ü", "a*", "b?x", "%2F"]
+    bodies = {}
+    for i in range(12):
+        lines = [f"{rng.choice(['Allow', 'Disallow'])}: /{rng.choice(segments)}{rng.choice(['', '/', '/c'])}" for _ in range(rng.randint(0, 9))]
+        bodies[f"h{i}.org"] = "\n".join(["User-agent: *", *lines])
+    bodies["many.org"] = "User-agent: *\n" + "\n".join(f"Disallow: /p{k}/\nAllow: /p{k}/open" for k in range(3_000)) + "\nAllow: /p7/"
+    paths = ["/", "/a", "/a/b/c", "/b?x=1", "/b/", "/%C3%BC/c", "/a*", "/zz", "", "/p7/x", "/p7/open", "/p2999/", "/q"]
+    urls = spark.createDataFrame([(f"http://{d}{p}",) for d in [*bodies, "none.org"] for p in paths] * 2, "url string")
+    table = spark.createDataFrame([(d, None, 200, b) for d, b in bodies.items()], R.SCHEMA)
+    rules = R.robots_rules(table)
+    index = R.rule_index(rules, scanned)
+    assert index.paths is not None
+    got = R.robots_allowed(urls, index)
+    want = R.robots_allowed(urls, R.rule_index(rules, 10**9))
+    assert got.columns == ["url", "allowed"] and got.count() == urls.count()
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    verdict = {r.url: r.allowed for r in got.collect()}
+    assert not verdict["http://many.org/p7/open"] and verdict["http://many.org/q"] and not verdict["http://many.org/p2999/"]
