@@ -109,7 +109,9 @@ def _chunked(df, keys, order, values, before) -> DataFrame:
         .drop("_n")
     )
     local = _within(chunks, [*keys, "_chunk"], order, values, before)
-    joined = local.join(F.broadcast(carries), [*keys, "_chunk"], "left")
+    # A null key is a key like others.
+    carries = carries.select(F.struct(*keys, "_chunk").alias("_carried"), *[f"_c_{n}" for n in names])
+    joined = local.join(F.broadcast(carries), F.struct(*keys, "_chunk").eqNullSafe(F.col("_carried")), "left")
     return joined.withColumns(
         {n: _combine(values[n][0], F.col(f"_c_{n}"), F.col(n)) for n in names}
     ).select(*df.columns, *names)

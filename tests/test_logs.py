@@ -73,6 +73,33 @@ def test_fetch_plan_equals_loop(spark, window_rows, ttl):
     assert got == want
 
 
+def test_null_domain_is_a_domain(spark):
+    rows = [(None, 1, 0), (None, 2, 5), (None, 3, 4_000_000_000), ("p.test", 4, 3)]
+    for window_rows in (None, 0):
+        out = politeness.robots_fetch_plan(log_frame(spark, rows), window_rows=window_rows)
+        assert {r.seq for r in out.filter("fetches").collect()} == {1, 3, 4} and out.count() == 4
+
+
+@pytest.mark.parametrize("gap, ttl", [(1, 50), (7, 3), (400, 1_000)])
+def test_one_domain_in_many_chunks(spark, monkeypatch, gap, ttl):
+    """Chunks shorter and longer than what a fetch lasts."""
+    rng = random.Random(gap)
+    at = sorted(rng.sample(range(3_000 * gap), 2_000))
+    rows = [("hot.org", k, t * 1_000_000) for k, t in enumerate(at)] + [("a.org", 5_000 + k, t) for k, t in enumerate(at[:50])]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = politeness.robots_fetch_plan(log_frame(spark, rows), ttl, window_rows=0)
+        got = {r.seq for r in out.filter("fetches AND domain = 'hot.org'").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want, last = set(), None
+    for k, t in enumerate(at):
+        if last is None or t - last >= ttl:
+            want.add(k)
+            last = t
+    assert got == want
+
+
 def test_fetch_plan_literal(spark):
     rows = [("p.test", 11, 0), ("p.test", 12, 40), ("p.test", 13, 80), ("q.test", 14, 7), ("r.test", 15, 0), ("r.test", 16, 7_200_000_000)]
     out = politeness.robots_fetch_plan(log_frame(spark, rows))
