@@ -1,4 +1,5 @@
-"""Finished crawls in the run store: one header row per run, pages and failures as tables.
+"""Finished crawls in the run store: one header row per run, pages and failures as tables,
+and documents written as text.
 
 No row holds a whole crawl, so runs of any size are saved, listed, loaded and
 deleted like others. Details are written before the header that makes them visible.
@@ -9,11 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.operators.running import running
 from linkloom.plans.crawl import CrawlRun
 from linkloom.plans.report import crawl_stats
 from linkloom.session import written
 from linkloom.sources import runs as store
 
+_DETAILS = {
+    "run_pages": "url STRING, depth INT, status_code INT, links_found INT, crawled_at TIMESTAMP, error STRING, "
+    "ord ARRAY<INT>, run_id STRING",
+    "run_failed": "url STRING, depth INT, ord ARRAY<INT>, run_id STRING",
+}
+
 
 def save_crawl(run: CrawlRun, path: str) -> DataFrame:
     """Save every crawl of a job; one row with ``saved, failed, total``."""
@@ -53,19 +61,133 @@ def latest_failed(spark: SparkSession, path: str, seeds: DataFrame | None = None
 
 def _details(spark: SparkSession, path: str, name: str, seeds: DataFrame | None) -> DataFrame:
     newest = store.latest_ids(spark, path, seeds)
-    return spark.read.parquet(f"{path}/{name}").join(newest, "run_id").drop("run_id")
-
-
-def document_json() -> Column:
-    """The text of a row of ``crawl_result_document``, times in ISO form, nulls kept."""
-    pages = F.transform("pages", lambda p: p.withField("crawled_at", store.iso_time(p["crawled_at"])))
-    return F.to_json(
-        F.struct(
-            "seed_url", "status", "error", "total_pages", "max_depth_reached", "urls_visited", "urls_failed",
-            pages.alias("pages"),
-            store.iso_time(F.col("started_at")).alias("started_at"),
-            store.iso_time(F.col("finished_at")).alias("finished_at"),
-            "duration_seconds",
+    return store.read_or_empty(spark.read, _DETAILS[name], f"{path}/{name}").join(newest, "run_id").drop("run_id")
+
+
+# -- documents ------------------------------------------------------------------
+
+_HEAD, _VISITED, _TO_FAILED, _FAILED, _TO_PAGES, _PAGES, _TAIL = range(7)
+_ORDER = ["section", "depth", "ord", "url"]
+
+
+def _quoted(text: Column) -> Column:
+    """A JSON string, or null."""
+    array = F.to_json(F.array(text))
+    return F.when(text.isNull(), F.lit("null")).otherwise(F.substring(array, F.lit(2), F.length(array) - 2))
+
+
+def _seconds(micros: Column) -> Column:
+    """Seconds as the shortest decimal number."""
+    whole = F.regexp_replace((micros / 1_000_000).cast("decimal(26,6)").cast("string"), "(?<=\\d)0{1,5}$", "")
+    tiny = F.concat(
+        F.regexp_replace((micros / F.when(micros < 10, 1).otherwise(10)).cast("string"), r"\.0$", ""),
+        F.when(micros < 10, F.lit("e-06")).otherwise(F.lit("e-05")),
+    )
+    return F.when(micros.isNull(), F.lit("null")).when(micros.between(1, 99), tiny).otherwise(whole)
+
+
+def document_fragments(run: CrawlRun) -> DataFrame:
+    """``(crawl_id, filename, section, depth, ord, url, text)``: the lines of every run's document.
+
+    In the order of ``section, depth, ord, url`` the texts of a run, one below the other, are its JSON
+    document with an indent of two. Lists are rows of their own, so no row grows with a crawl.
+    """
+    heads = crawl_stats(run).withColumn("filename", store.run_filename(F.col("seed_url"), F.col("started_at")))
+    place = F.struct("depth", "ord", "url")
+    visited, failed = run.visited(), run.failed()
+    # The last row of each list has no comma behind it.
+    ends = visited.groupBy("crawl_id").agg(F.max("url").alias("last_url"), F.max(place).alias("last_page"))
+    heads = heads.join(ends, "crawl_id", "left").join(
+        failed.groupBy("crawl_id").agg(F.max(place).alias("last_failed")), "crawl_id", "left"
+    )
+    heads = written(heads, "document-heads")
+
+    def opened(name: str, last: str) -> Column:
+        return F.when(F.col(last).isNull(), F.lit(f'  "{name}": [],')).otherwise(F.lit(f'  "{name}": ['))
+
+    def closed(last: str, then: Column) -> Column:
+        return F.when(F.col(last).isNull(), then).otherwise(F.concat(F.lit("  ],\n"), then))
+
+    time = {c: _quoted(store.iso_time(F.col(c))) for c in ("started_at", "finished_at")}
+    micros = F.unix_micros("finished_at") - F.unix_micros("started_at")
+    frame = {
+        _HEAD: F.concat_ws(
+            "\n",
+            F.concat(F.lit('{\n  "seed_url": '), _quoted(F.col("seed_url")), F.lit(",")),
+            F.concat(F.lit('  "status": '), _quoted(F.col("status")), F.lit(',\n  "error": null,')),
+            F.concat(F.lit('  "total_pages": '), F.col("total_pages").cast("string"), F.lit(",")),
+            F.concat(F.lit('  "max_depth_reached": '), F.col("max_depth_reached").cast("string"), F.lit(",")),
+            opened("urls_visited", "last_url"),
+        ),
+        _TO_FAILED: closed("last_url", opened("urls_failed", "last_failed")),
+        _TO_PAGES: closed("last_failed", opened("pages", "last_page")),
+        _TAIL: closed(
+            "last_page",
+            F.concat(
+                F.lit('  "started_at": '), time["started_at"],
+                F.lit(',\n  "finished_at": '), time["finished_at"],
+                F.lit(',\n  "duration_seconds": '), _seconds(micros), F.lit("\n}"),
+            ),
         ),
-        {"ignoreNullFields": "false"},
+    }
+    parts = F.array(*[F.struct(F.lit(k).alias("section"), text.alias("text")) for k, text in frame.items()])
+    lines = heads.select("crawl_id", "filename", F.explode(parts).alias("part"))
+    lines = lines.select(
+        "crawl_id", "filename", "part.section", F.lit(0).alias("depth"),
+        F.array().cast("array<int>").alias("ord"), F.lit("").alias("url"), "part.text",
+    )
+
+    def listed(rows: DataFrame, section: int, own: Column, last: str, text: Column, by_url: bool = False) -> DataFrame:
+        with_last = rows.join(heads.select("crawl_id", "filename", last), "crawl_id")
+        comma = F.when(own == F.col(last), F.lit("")).otherwise(F.lit(","))
+        return with_last.select(
+            "crawl_id", "filename", F.lit(section).alias("section"),
+            (F.lit(0) if by_url else F.col("depth")).alias("depth"),
+            (F.array().cast("array<int>") if by_url else F.col("ord")).alias("ord"), "url",
+            F.concat(text, comma).alias("text"),
+        )
+
+    url = F.concat(F.lit("    "), _quoted(F.col("url")))
+    status = F.coalesce(F.col("status_code").cast("string"), F.lit("null"))
+    page = F.concat(
+        F.lit('    {\n      "url": '), _quoted(F.col("url")),
+        F.lit(',\n      "depth": '), F.col("depth").cast("string"),
+        F.lit(',\n      "status_code": '), status,
+        F.lit(',\n      "links_found": '), F.col("links_found").cast("string"),
+        F.lit(',\n      "crawled_at": '), _quoted(store.iso_time(F.col("crawled_at"))),
+        F.lit(',\n      "error": '), _quoted(F.col("error")), F.lit("\n    }"),
+    )
+    return (
+        lines.unionByName(listed(visited, _VISITED, F.col("url"), "last_url", url, by_url=True))
+        .unionByName(listed(failed, _FAILED, place, "last_failed", url))
+        .unionByName(listed(run.page_records(), _PAGES, place, "last_page", page))
+    )
+
+
+def write_documents(run: CrawlRun, path: str) -> None:
+    """Write each run's document as text below ``crawl_id=.../filename=...``.
+
+    Fragments are range-sorted by run and place, so a run is one file unless it spans partitions;
+    then its files, in the order of their names, are the document. No task holds a run.
+    """
+    order = ["crawl_id", "filename", *_ORDER]
+    # A name that might be null would make the writer sort the fragments anew.
+    named = document_fragments(run).withColumn("filename", F.coalesce("filename", F.lit("unnamed.json")))
+    fragments = named.repartitionByRange(*order).sortWithinPartitions(*order)
+    fragments.select("crawl_id", "filename", "text").write.partitionBy("crawl_id", "filename").text(path)
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """``(crawl_id, filename, line_no, line)`` of the documents written, line by line."""
+    files = (
+        spark.read.schema("value STRING, crawl_id BIGINT, filename STRING")
+        .text(path, wholetext=True)
+        .select("crawl_id", "filename", F.col("_metadata.file_name").alias("part"), F.regexp_replace("value", r"\n\z", "").alias("value"))
+        .withColumn("lines", F.split("value", "\n"))
+    )
+    sizes = files.select("crawl_id", "part", F.size("lines").alias("n"))
+    ahead = running(sizes, ["crawl_id"], ["part"], {"ahead": ("sum", F.col("n"))}, before=True).drop("n")
+    numbered = files.join(ahead, ["crawl_id", "part"]).select(
+        "crawl_id", "filename", "ahead", F.posexplode("lines").alias("pos", "line")
     )
+    return numbered.select("crawl_id", "filename", (F.col("ahead") + F.col("pos") + 1).alias("line_no"), "line")

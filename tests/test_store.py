@@ -112,7 +112,6 @@ def test_runs_without_crawl_id(spark):
 
 def test_crawl_is_saved_whole(spark):
     from linkloom.plans.crawl import crawl
-    from linkloom.plans.report import crawl_result_document
     from linkloom.sources import crawl_store
     from linkloom.sources.snapshot import page_snapshot
 
@@ -130,8 +129,55 @@ def test_crawl_is_saved_whole(spark):
     assert store.list_crawls(spark, path).first().total_pages == 2
     assert {r.url for r in crawl_store.latest_pages(spark, path).collect()} == {"http://m.test/", "http://m.test/p"}
     assert {r.url for r in crawl_store.latest_failed(spark, path).collect()} == {"http://m.test/q", "http://m.test/r"}
-    text = json.loads(crawl_result_document(done).select(crawl_store.document_json()).first()[0])
-    assert text["max_depth_reached"] == 1 and text["error"] is None and len(text["urls_failed"]) == 2
+    out = new_path(spark, "documents")
+    crawl_store.write_documents(done, out)
+    lines = crawl_store.read_documents(spark, out).orderBy("line_no").collect()
+    text = "\n".join(r.line for r in lines)
+    found = json.loads(text)
+    assert found["max_depth_reached"] == 1 and found["error"] is None and len(found["urls_failed"]) == 2
+    assert text == json.dumps(found, indent=2, ensure_ascii=False)
+    assert [r.line_no for r in lines] == list(range(1, len(lines) + 1)) and lines[0].filename.endswith(".json")
     seeds = requests.select("seed_url")
     store.delete_latest(spark, path, seeds)
     assert store.list_crawls(spark, path).isEmpty() and crawl_store.latest_pages(spark, path).isEmpty()
+
+
+def test_a_store_that_nobody_has_written_to(spark):
+    from linkloom.sources import crawl_store
+
+    seeds = spark.createDataFrame([("http://m.test/",), ("http://n.test/",)], "seed_url string")
+    for fmt in ("parquet", "json"):
+        path = new_path(spark, "never")
+        assert store.load_latest(spark, path, fmt=fmt).isEmpty() and store.load_latest(spark, path, seeds, fmt).isEmpty()
+        assert store.read_runs(spark, path, fmt).isEmpty() and store.list_crawls(spark, path, fmt).isEmpty()
+        assert {r.found for r in store.run_exists(spark, path, seeds, fmt).collect()} == {False}
+        assert {r.deleted for r in store.delete_latest(spark, path, seeds, fmt).collect()} == {False}
+        assert store.list_crawls(spark, path, fmt).columns == ["seed_url", "status", "total_pages", "started_at", "filename"]
+    assert crawl_store.latest_pages(spark, path).isEmpty() and crawl_store.latest_failed(spark, path).isEmpty()
+
+
+def test_documents_over_several_files(spark, monkeypatch):
+    """A run that spans partitions is several files, in order one document."""
+    from linkloom.plans.crawl import crawl
+    from linkloom.sources import crawl_store
+    from linkloom.sources.snapshot import page_snapshot
+
+    urls = ["http://m.test/"] + [f"http://m.test/{k}\u00fc" for k in range(300)]
+    body = "".join(f'<a href="{u}">' for u in urls)
+    pages = spark.createDataFrame([(k, u, body if not k else "x") for k, u in enumerate(urls)], "page_id long, url string, html string")
+    requests = spark.createDataFrame([(1, urls[0], 9), (2, urls[1], 0), (3, "http://none/", 1)], "crawl_id long, seed_url string, max_depth int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        run = crawl(requests, page_snapshot(pages), None, T0)
+        out = new_path(spark, "documents")
+        crawl_store.write_documents(run, out)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = spark.read.text(out).inputFiles()
+    assert len([f for f in files if "crawl_id=1" in f]) > 1
+    rows = crawl_store.read_documents(spark, out).orderBy("crawl_id", "line_no").collect()
+    texts = {k: "\n".join(r.line for r in rows if r.crawl_id == k) for k in (1, 2, 3)}
+    docs = {k: json.loads(t) for k, t in texts.items()}
+    assert all(t == json.dumps(docs[k], indent=2, ensure_ascii=False) for k, t in texts.items())
+    assert docs[1]["urls_visited"] == sorted(docs[1]["urls_visited"]) and len(docs[1]["pages"]) == 301
+    assert docs[3]["pages"] == [] and docs[3]["urls_failed"] == ["http://none/"] and docs[3]["status"] == "success"
