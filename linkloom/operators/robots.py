@@ -138,6 +138,10 @@ def rule_verdict(target: Column, rules: Column) -> Column:
     return F.coalesce(F.get(hits, F.lit(0))["allow"], F.lit(True))
 
 
+def _scanned(url: Column, rules: Column) -> Column:
+    return F.when(rules.isNull(), F.lit(True)).otherwise(rule_verdict(match_target(url), rules))
+
+
 @dataclass
 class RuleIndex:
     """Rule tables ready for look-ups, by ``_domain``.
@@ -173,9 +177,8 @@ def robots_checked(urls: DataFrame, index: RuleIndex, url: str = "url") -> DataF
     distinct target is looked up once.
     """
     target = over(match_target, url)
-    verdict = rule_verdict(target, F.col("rules"))
     checked = urls.join(index.short, "_domain", "left")
-    allowed = F.when(F.col("rules").isNull(), F.lit(True)).otherwise(verdict)
+    allowed = over(_scanned, url, "rules")
     if index.paths is None:
         return checked.withColumn("allowed", allowed).drop("rules")
     asked = urls.select("_domain", target.alias("_target")).join(index.lengths, "_domain").distinct()

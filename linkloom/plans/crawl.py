@@ -332,10 +332,16 @@ def _cuts(level: DataFrame, tally: DataFrame) -> DataFrame:
     return written(filled.unionByName(none).withColumn("cut", F.lit(True)), "cuts")
 
 
+def _inside(links: Column, prefix: Column) -> Column:
+    return F.filter(links, lambda x: U.in_scope(x, prefix))
+
+
 def _expand(pages: DataFrame) -> DataFrame:
     """Children in scope, one row per crawl and URL with its first parent."""
-    inside = F.filter("links", lambda x: U.in_scope(x, F.col("prefix")))
-    children = pages.select("crawl_id", "url", "ord", "max_depth", "prefix", "respect_robots_txt", F.posexplode(inside).alias("pos", "dst"))
+    children = pages.select(
+        "crawl_id", "url", "ord", "max_depth", "prefix", "respect_robots_txt",
+        F.posexplode(over(_inside, "links", "prefix")).alias("pos", "dst"),
+    )
     first = F.min(F.struct(F.array_append("ord", F.col("pos")).alias("ord"), F.col("url").alias("parent")))
     # The settings are the same in all rows of a crawl.
     settings = [F.first(c).alias(c) for c in ("max_depth", "prefix", "respect_robots_txt")]
