@@ -113,32 +113,31 @@ def crawl(
     rules = None
     if robots is not None:
         rules = rule_index(robots_rules(robots))
-    table = _page_table(spark, snapshot, requests)
     queue = Queue(spark)
+    names = [queue.name, _page_table(spark, snapshot, requests)]
     try:
-        return _levels(spark, requests, spark.table(table), rules, queue)
+        return _levels(spark, requests, spark.table(names[1]), rules, queue, names)
     finally:
-        # Only the names go; the levels do not depend on the tables any more.
-        queue.drop()
-        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        # Only the names go; the result reads the levels' files.
+        for name in names:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def _page_table(spark: SparkSession, snapshot: DataFrame, requests: DataFrame) -> str:
     """Store the pages with their links bucketed by URL: links are shuffled once,
     and every level joins them without moving them again."""
     name = f"linkloom_pages_{uuid.uuid4().hex}"
-    buckets = _buckets(spark)
-    (
-        adjacency(snapshot, requests, buckets)
-        .write.format("parquet")
-        .bucketBy(buckets, "url")
-        .sortBy("url")
-        .option("path", new_path(spark, "pages"))
-        .saveAsTable(name)
-    )
+    _store(adjacency(snapshot, requests, _buckets(spark)), name, new_path(spark, "pages"), ["url"])
     return name
 
 
+def _store(df: DataFrame, name: str, path: str, keys: list[str]) -> None:
+    """Append to the files of a table bucketed and sorted by ``keys``."""
+    buckets = _buckets(df.sparkSession)
+    writer = df.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+    writer.option("path", path).mode("append").saveAsTable(name)
+
+
 def _buckets(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -154,22 +153,13 @@ class Queue:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.name = f"linkloom_queue_{uuid.uuid4().hex}"
-        self.buckets = _buckets(spark)
         self.path = new_path(spark, "queue")
 
     def append(self, frontier: DataFrame, depth: int) -> int:
         """Enqueue a level; its number of rows."""
         counted = Observation()
-        (
-            frontier.select(*_QUEUED, F.lit(depth).alias("depth"))
-            .observe(counted, F.count(F.lit(1)).alias("n"))
-            .write.format("parquet")
-            .bucketBy(self.buckets, "crawl_id", "url")
-            .sortBy("crawl_id", "url")
-            .option("path", self.path)
-            .mode("append")
-            .saveAsTable(self.name)
-        )
+        rows = frontier.select(*_QUEUED, F.lit(depth).alias("depth")).observe(counted, F.count(F.lit(1)).alias("n"))
+        _store(rows, self.name, self.path, ["crawl_id", "url"])
         return counted.get["n"]
 
     def level(self, depth: int) -> DataFrame:
@@ -182,13 +172,15 @@ class Queue:
             known = known.filter(F.col("crawl_id") <= last)
         return frontier.join(known.select("crawl_id", "url"), ["crawl_id", "url"], "left_anti")
 
-    def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-
-
 def _levels(
-    spark: SparkSession, requests: DataFrame, pages: DataFrame, rules: RuleIndex | None, queue: Queue
+    spark: SparkSession,
+    requests: DataFrame,
+    pages: DataFrame,
+    rules: RuleIndex | None,
+    queue: Queue,
+    names: list[str],
 ) -> CrawlRun:
+    """Run the levels; the tables made for them are added to ``names``."""
     root = new_path(spark, "crawl")
     limits = ["max_depth", "prefix", "respect_robots_txt"]
     seeds = requests.filter("url IS NOT NULL").select(
@@ -199,11 +191,12 @@ def _levels(
     spent, depth = None, 0
     n_rows = queue.append(seeds, 0)
     while n_rows or not depth:
-        path = f"{root}/levels/depth={depth}"
         frontier = queue.level(depth)
         hot = _hot_urls(frontier) if n_rows > HOT_ROWS else None
-        _looked_up(frontier, pages, rules, hot).write.parquet(path)
-        level = spark.read.schema(_LEVEL_SCHEMA).parquet(path)
+        # In the buckets of the pages, which have the links too.
+        names.append(f"{queue.name}_{depth}")
+        _store(_looked_up(frontier, pages, rules, hot), names[-1], f"{root}/levels/depth={depth}", ["url"])
+        level = spark.table(names[-1])
         # The only row per level that reaches the driver.
         facts = Observation()
         tally = written(_tally(level, caps, spent, depth).observe(facts, *_facts()), "tally")
@@ -280,7 +273,7 @@ def _hot_urls(frontier: DataFrame) -> DataFrame | None:
 def _with_pages(rows: DataFrame, pages: DataFrame, columns: list[str], hot: DataFrame | None) -> DataFrame:
     """``rows`` with columns of their stored pages, null where there is none.
 
-    The rows are moved to the buckets of the pages. Those of hot URLs are spread by crawl
+    The rows are moved to the buckets of the pages, where they are not there yet. Those of hot URLs are spread by crawl
     instead, and their few pages are copied to every place they may come to.
     """
     found = pages.select("url", *columns)

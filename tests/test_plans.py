@@ -75,6 +75,17 @@ def exchanged(df):
     return [{m.nodeName() + m.simpleString(400) for m in nodes(n) if "Scan" in m.nodeName()} for n in found]
 
 
+def test_links_are_read_where_the_level_lies(spark, page_table, no_broadcast):
+    level = crawl_plan._looked_up(written(frontier(spark, page_table), "frontier"), page_table, None)
+    crawl_plan._store(level, "linkloom_level_test", new_path(spark, "level"), ["url"])
+    try:
+        held = spark.table("linkloom_level_test").filter("state = 'ok'").select("crawl_id", "url", "ord")
+        linked = crawl_plan._with_pages(held, page_table, ["links"], None)
+        assert exchanged(linked) == [] and linked.filter("size(links) > 0").count() > 0
+    finally:
+        spark.sql("DROP TABLE linkloom_level_test")
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_levels_do_not_move_the_page_table(spark, page_table, no_broadcast, hot):
     rows = written(frontier(spark, page_table), "frontier")
@@ -110,7 +121,7 @@ def test_only_the_frontier_moves(spark, page_table, no_broadcast):
             assert fresh.count() == page_table.count() - 20
         assert queue.level(1).count() == 30
     finally:
-        queue.drop()
+        spark.sql(f"DROP TABLE {queue.name}")
 
 
 def test_link_graph_scans_each_body_once(spark):
