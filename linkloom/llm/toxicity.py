@@ -36,6 +36,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -112,17 +113,22 @@ class Copies:
             np.cumsum(np.frombuffer(zlib.decompress(steps), dtype="int32"), dtype="int32", out=self.row_word[begin:end])
             begin = end
         self.length = np.ones(len(self.ids))
-        weight = np.empty(size, dtype="float32")
         for row in range(len(self.ids)):
-            own = slice(self.row_begin[row], self.row_begin[row + 1])
             held = self._weights(row)
             self.length[row] = math.sqrt(float(held @ held))
-            weight[own] = held / self.length[row]
-        order = np.argsort(self.row_word, kind="stable")
+        small = "uint16" if len(self.ids) < 1 << 16 else "int32"
+        row_of = np.repeat(np.arange(len(self.ids), dtype=small), np.diff(self.row_begin))
         self.begin = np.append(0, np.cumsum(self.used, dtype="int64"))
-        self.post_weight = weight[order]
-        del weight
-        self.post_row = np.repeat(np.arange(len(self.ids), dtype="int32"), np.diff(self.row_begin))[order]
+        self.post_row, self.post_weight = np.empty(size, dtype=small), np.empty(size, dtype="float32")
+        # A range of words at a time, so that little is held beside the result.
+        limits = np.searchsorted(self.begin, np.linspace(0, size, 17)).tolist()
+        for low, high in pairwise(limits):
+            at = np.flatnonzero((self.row_word >= low) & (self.row_word < high))
+            at = at[np.argsort(self.row_word[at], kind="stable")]
+            rows = row_of[at]
+            own = slice(self.begin[low], self.begin[high])
+            self.post_row[own] = rows
+            self.post_weight[own] = (1 + np.log(self.row_count[at])) * self.idf[self.row_word[at]] / self.length[rows]
         self.ready = True
 
     def _weights(self, row: int) -> np.ndarray:
