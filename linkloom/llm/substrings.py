@@ -4,12 +4,18 @@ A text's UTF-8 bytes are cut where the gear hash of the last 32 bytes has
 ``BITS`` leading zeros, at least ``SMALLEST`` bytes after the last cut (and at
 ``LARGEST`` at the latest), moved to the start of a character. Cuts depend on
 content only, so an insertion shifts chunks without changing them. A chunk whose
-digest occurs earlier, in order of key, row hash and position, is a repeat; runs
-of adjoining repeats of at least ``LEAST_RUN`` bytes are removed, and the first
-copy stays.
+digest occurs earlier, in order of key, row hash and position, is a repeat. A run of
+adjoining repeats is extended byte by byte, whole characters only, as long as the bytes
+before its first chunk (after its last one) equal those beside that chunk's first copy,
+so the chunks that straddle the edges of a passage are not lost. Runs that then meet are
+one; those of at least ``LEAST_RUN`` bytes are removed, and the first copy stays: an
+extended byte's copy lies beside an earlier chunk, so copies never lead back in a circle.
 
 Digests are counted with map-side combining and only chunks of digests that
 occur twice are looked at again, in a join that can be split on frequent digests.
+Edges are compared by the ``CONTEXT`` bytes beside them, fetched once per place however
+many runs lead there; an edge equal over all of them goes on with twice as many. That ends,
+as equal bytes are cut alike soon, and within ``LARGEST`` bytes at the latest.
 
 Defined results: null and empty texts have no chunks and stay as they are; rows
 with the same key and text count as one document and come out alike; texts of any
@@ -19,19 +25,25 @@ length are cut in one pass; extra columns stay.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linkloom.llm.common import row_key, with_text
 from linkloom.session import written
 
 BITS, SMALLEST, LARGEST = 5, 16, 4_096
 LEAST_RUN = 100
+# Bytes compared beside each edge of a run in the first round.
+CONTEXT = 160
 
 
 def _gear() -> np.ndarray:
@@ -133,7 +145,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         "_begin",
         (F.col("_begin") + F.col("_length")).alias("_end"),
         (~place.eqNullSafe(F.col("_first"))).alias("_again"),
-        F.col("_first._id").alias("_first_id"),
+        "_first",
     )
     # A document's repeated chunks meet in one task, as its text does.
     document = W.partitionBy("_id", "_hash").orderBy("_begin")
@@ -148,25 +160,137 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             "_run_again": F.sum(F.col("_new_again").cast("int")).over(document),
         }
     )
-    run = W.partitionBy("_id", "_hash", "_run")
-    run_again = W.partitionBy("_id", "_hash", "_run_again")
-    marked = marked.withColumns(
-        {
-            "_long": F.max("_end").over(run) - F.min("_begin").over(run) >= LEAST_RUN,
-            "_span": F.struct(
-                F.min("_begin").over(run_again).alias("begin"), F.max("_end").over(run_again).alias("end")
-            ),
-        }
+    runs = marked.groupBy("_id", "_hash", "_run", "_run_again").agg(
+        F.min("_begin").alias("_begin"),
+        F.max("_end").alias("_end"),
+        F.min(F.struct("_begin", "_first", "_end", "_again")).alias("_head"),
+        F.max(F.struct("_begin", "_first", "_end")).alias("_tail"),
+        F.collect_set(F.when(F.col("_again"), F.col("_first._id"))).alias("_first_ids"),
     )
-    gone = F.col("_again") & (F.col("_span.end") - F.col("_span.begin") >= LEAST_RUN)
+    runs = written(runs, "runs")
+    long = runs.groupBy("_id", "_hash", "_run").agg((F.max("_end") - F.min("_begin")).alias("n"))
+    long = long.filter(F.col("n") >= LEAST_RUN).groupBy("_id", "_hash").agg(F.sum("n").alias("_n"))
+    grown = _grown(runs.filter("_head._again"), docs, key, text)
     return (
-        marked.groupBy("_id", "_hash")
+        _merged(grown)
+        .select("_id", "_hash", "spans", "first_ids", F.lit(0).cast("long").alias("_n"))
+        .unionByName(long, allowMissingColumns=True)
+        .groupBy("_id", "_hash")
         .agg(
-            F.array_sort(F.collect_set(F.when(gone, F.col("_span")))).alias("spans"),
-            F.coalesce(F.sum(F.when(F.col("_long"), F.col("_end") - F.col("_begin"))), F.lit(0)).alias("n_repeated"),
-            F.array_sort(F.collect_set(F.when(gone, F.col("_first_id")))).alias("first_ids"),
+            F.coalesce(F.max("spans"), F.array().cast("array<struct<begin:int,end:int>>")).alias("spans"),
+            F.sum("_n").alias("n_repeated"),
+            F.coalesce(F.max("first_ids"), F.array()).alias("first_ids"),
+        )
+    )
+
+
+def _grown(runs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``_id, _hash, _begin, _end, _first_ids`` of the ``runs``, extended at both edges."""
+    texts = docs.select(*row_key(key, text), F.col(text).cast("binary").alias("_data"))
+
+    def edge(left: bool, at: str, first: str, beside) -> Column:
+        return F.struct(
+            F.lit(left).alias("left"),
+            F.col(at).alias("at"),
+            F.col(f"{first}._first._id").alias("from_id"),
+            F.col(f"{first}._first._hash").alias("from_hash"),
+            (F.col(f"{first}._first._begin") + beside).alias("from_at"),
+        )
+
+    length = F.col("_tail._end") - F.col("_tail._begin")
+    both = F.array(edge(True, "_begin", "_head", F.lit(0)), edge(False, "_end", "_tail", length))
+    edges = runs.select("_id", "_hash", "_run_again", F.explode(both).alias("edge")).select(
+        "_id", "_hash", "_run_again", "edge.*"
+    )
+    rounds, width = [], CONTEXT
+    while not rounds or not edges.isEmpty():
+        rounds.append(written(_compared(edges, texts, width), "edges"))
+        edges = rounds[-1].filter("further").drop("further")
+        width *= 2
+    every = reduce(DataFrame.unionByName, rounds).select("_id", "_hash", "_run_again", "left", "at")
+    every = every.unionByName(runs.select("_id", "_hash", "_run_again", "_first_ids"), allowMissingColumns=True)
+    return every.groupBy("_id", "_hash", "_run_again").agg(
+        F.min(F.when(F.col("left"), F.col("at"))).alias("_begin"),
+        F.max(F.when(~F.col("left"), F.col("at"))).alias("_end"),
+        F.max("_first_ids").alias("_first_ids"),
+    )
+
+
+def _compared(edges: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """The ``edges`` moved by as many of ``width`` bytes as are equal, and whether to go ``further``."""
+    places = edges.select("_id", "_hash", F.struct("at", "left").alias("place")).union(
+        edges.select("from_id", "from_hash", F.struct("from_at", "left"))
+    )
+    places = places.groupBy(F.col("_id").alias("_pid"), F.col("_hash").alias("_phash")).agg(
+        F.collect_set("place").alias("places")
+    )
+
+    def beside(place) -> Column:
+        begin = F.when(place["left"], F.greatest(place["at"] - width, F.lit(0))).otherwise(place["at"])
+        count = F.when(place["left"], place["at"] - begin).otherwise(F.lit(width))
+        return F.struct(
+            place["at"].alias("_pat"), place["left"].alias("_pleft"), F.substring("_data", begin + 1, count).alias("bytes")
         )
-        .filter("n_repeated > 0")
+
+    same = F.col("_id").eqNullSafe(F.col("_pid")) & (F.col("_hash") == F.col("_phash"))
+    context = texts.join(places, same).select("_pid", "_phash", F.explode(F.transform("places", beside)).alias("c"))
+    # Repeated rows give the same bytes again.
+    context = context.select("_pid", "_phash", "c.*").dropDuplicates(["_pid", "_phash", "_pat", "_pleft"])
+    context = written(context, "contexts")
+
+    def fetch(rows: DataFrame, prefix: str, key: str, row: str, at: str) -> DataFrame:
+        there = (
+            F.col(key).eqNullSafe(F.col("_pid"))
+            & (F.col(row) == F.col("_phash"))
+            & (F.col(at) == F.col("_pat"))
+            & (F.col("left") == F.col("_pleft"))
+        )
+        return rows.join(context, there).withColumn(prefix, F.col("bytes")).drop(*context.columns)
+
+    rows = fetch(edges, "_own", "_id", "_hash", "at")
+    rows = fetch(rows, "_from", "from_id", "from_hash", "from_at")
+    names = edges.columns
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left = batch.column("left").to_pylist()
+            pairs = zip(batch.column("_own").to_pylist(), batch.column("_from").to_pylist(), left)
+            equal = [_equal(own, other, side) for own, other, side in pairs]
+            step = pa.array([-characters if side else characters for (_, characters), side in zip(equal, left)], pa.int32())
+            moved = {"at": pc.add(batch.column("at"), step), "from_at": pc.add(batch.column("from_at"), step)}
+            columns = [moved.get(n, batch.column(n)) for n in names]
+            further = pa.array([n == width for n, _ in equal], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*columns, further], names=[*names, "further"])
+
+    return rows.mapInArrow(compare, T.StructType([*edges.schema.fields, T.StructField("further", T.BooleanType())]))
+
+
+def _equal(own: bytes, other: bytes, left: bool) -> tuple[int, int]:
+    """How many bytes next to an edge are equal, and how many of them are whole characters."""
+    if left:
+        n = len(commonprefix([own[::-1], other[::-1]]))
+        whole = n
+        while whole and own[-whole] & 0xC0 == 0x80:
+            whole -= 1
+        return n, whole
+    n = len(commonprefix([own, other]))
+    return n, len(own[:n].decode("utf-8", "ignore").encode())
+
+
+def _merged(runs: DataFrame) -> DataFrame:
+    """``_id, _hash, spans, first_ids``: runs that overlap or meet as one, if long enough."""
+    document = W.partitionBy("_id", "_hash").orderBy("_begin", "_end")
+    before = F.max("_end").over(document.rowsBetween(W.unboundedPreceding, -1))
+    apart = F.coalesce(F.col("_begin") > before, F.lit(True)).cast("int")
+    runs = runs.withColumn("_apart", apart)
+    runs = runs.withColumn("_group", F.sum("_apart").over(document.rowsBetween(W.unboundedPreceding, 0)))
+    spans = runs.groupBy("_id", "_hash", "_group").agg(
+        F.min("_begin").alias("begin"), F.max("_end").alias("end"), F.flatten(F.collect_list("_first_ids")).alias("ids")
+    )
+    spans = spans.filter(F.col("end") - F.col("begin") >= LEAST_RUN)
+    return spans.groupBy("_id", "_hash").agg(
+        F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("first_ids"),
     )
 
 
