@@ -1,12 +1,15 @@
 """What grows with the tables stays off the driver, and no task holds a whole document."""
 
+import json
 from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
 from linkloom.operators import links
 from linkloom.plans import crawl as crawl_plan
-from linkloom.session import written
+from linkloom.session import new_path, written
+from linkloom.sources import crawl_store
+from linkloom.sources.snapshot import page_snapshot
 
 START = datetime(2026, 1, 1, tzinfo=timezone.utc)
 REQUEST = "crawl_id long, seed_url string, max_depth int, max_pages int"
@@ -52,3 +55,25 @@ def test_seeds_outside_their_own_scope(spark):
         run = crawl_plan.crawl(spark.createDataFrame(kept, REQUEST), web, None, START)
         states = {r.crawl_id: r.state for r in run.enqueued.collect()}
         assert states == {k: "failed" if k == 50 else "ok" for k, *_ in kept}
+
+
+def test_documents_are_read_in_blocks(spark):
+    urls = ["http://m.test/"] + [f"http://m.test/{k}ü" for k in range(300)]
+    body = "".join(f'<a href="{u}">' for u in urls)
+    pages = spark.createDataFrame([(k, u, body if not k else "x") for k, u in enumerate(urls)], "page_id long, url string, html string")
+    run = crawl_plan.crawl(spark.createDataFrame([(1, urls[0], 9, 999)], REQUEST), page_snapshot(pages), None, START)
+    path = new_path(spark, "documents")
+    crawl_store.write_documents(run, path)
+    options = {"spark.sql.files.maxPartitionBytes": "4000", "spark.sql.files.openCostInBytes": "1"}
+    try:
+        for name, value in options.items():
+            spark.conf.set(name, value)
+        blocks = crawl_store.stored_lines(spark, path).groupBy("part", "block").count().collect()
+        rows = crawl_store.read_documents(spark, path).orderBy("line_no").collect()
+    finally:
+        for name in options:
+            spark.conf.unset(name)
+    assert len(blocks) > 5 and max(b["count"] for b in blocks) < len(rows) / 3
+    assert [r.line_no for r in rows] == list(range(1, len(rows) + 1))
+    found = "\n".join(r.line for r in rows)
+    assert found == json.dumps(json.loads(found), indent=2, ensure_ascii=False) and found.count("links_found") == 301
