@@ -2,9 +2,11 @@
 
 import json
 from datetime import datetime, timezone
+from urllib.parse import urljoin
 
 from pyspark.sql import functions as F
 
+from linkloom.functions import urls as U
 from linkloom.operators import links
 from linkloom.plans import crawl as crawl_plan
 from linkloom.session import new_path, written
@@ -57,6 +59,25 @@ def test_seeds_outside_their_own_scope(spark):
         assert states == {k: "failed" if k == 50 else "ok" for k, *_ in kept}
 
 
+def test_levels_read_sorted_buckets(spark, monkeypatch):
+    """Pages and levels are not sorted again at every level."""
+    sorts, expand = [], crawl_plan._expand
+
+    def watched(linked):
+        sorts.append(text(linked).count("Sort ["))
+        return expand(linked)
+
+    monkeypatch.setattr(crawl_plan, "_expand", watched)
+    web = snapshot(spark, [("http://h/", "<a href=/a><a href=/b>"), ("http://h/a", "<a href=/c>"), ("http://h/c", "x")])
+    before = spark.conf.get(crawl_plan._SORTED_FILES)
+    run = crawl_plan.crawl(spark.createDataFrame([(1, "http://h/", 5, 99)], REQUEST), web, None, START)
+    assert {r.url: r.state for r in run.enqueued.collect()} == {
+        "http://h/": "ok", "http://h/a": "ok", "http://h/b": "failed", "http://h/c": "ok"
+    }
+    assert sorts and set(sorts) == {0}
+    assert spark.conf.get(crawl_plan._SORTED_FILES) == before
+
+
 def test_documents_are_read_in_blocks(spark):
     urls = ["http://m.test/"] + [f"http://m.test/{k}ü" for k in range(300)]
     body = "".join(f'<a href="{u}">' for u in urls)
@@ -77,3 +98,13 @@ def test_documents_are_read_in_blocks(spark):
     assert [r.line_no for r in rows] == list(range(1, len(rows) + 1))
     found = "\n".join(r.line for r in rows)
     assert found == json.dumps(json.loads(found), indent=2, ensure_ascii=False) and found.count("links_found") == 301
+
+
+def test_plain_bases_and_spelled_hosts(spark):
+    bases = ["http://h.test/a/b", "https://h.test:80/", "http://h.test", "HTTP://H.test/a", "http://h.test/a;p/b?q=1", ""]
+    hrefs = ["x", "/x", "?q=2", "//O.test/p", "HTTP://H.Test/A/../b", "Https://o.TEST:8/x", "hTTp://h.test/x;p", "HTTP://H.test?a=1"]
+    df = spark.createDataFrame([(b, h) for b in bases for h in hrefs], "b string, h string")
+    got = {(r.b, r.h): r.u for r in df.withColumn("u", U.resolve_url(F.col("b"), F.col("h"))).collect()}
+    joined = spark.createDataFrame([(b, h, urljoin(b, h)) for b in bases for h in hrefs], "b string, h string, j string")
+    want = {(r.b, r.h): r.u for r in joined.withColumn("u", U.canonical_url(F.col("j"))).collect()}
+    assert got == want
