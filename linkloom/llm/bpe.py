@@ -1,12 +1,12 @@
-"""Byte-level BPE encoding and decoding with recursive DuckDB queries inside Spark partitions.
+"""Byte-level BPE encoding with recursive DuckDB queries inside Spark partitions, and decoding.
 
 A text is cut into pieces by the tokenizer's pattern. Pieces that a partition
 has not met before become rows ``(piece, i, j, l, r)``: the token ``l`` at byte
 ``i``, the byte ``j`` where its successor ``r`` starts (-1 after the last). A
 recursive query joins them with the merge table and contracts, in every piece,
 the leftmost pair of the lowest rank, until no pair can be merged. Documents are
-then put together from the pieces' ids. Decoding joins the ids of a document
-with the vocabulary and aggregates the bytes in order of position.
+then put together from the pieces' ids. Decoding looks the ids of a document up
+in the vocabulary, an Arrow column, and joins the bytes in the order of the list.
 
 Defined results: a null text encodes as the empty list, as an empty text does;
 an id outside the vocabulary cannot be decoded and raises. Repeated rows, extra
@@ -16,9 +16,11 @@ columns and texts of any length are ordinary input. Nothing is shuffled.
 from __future__ import annotations
 
 import base64
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, count, islice, repeat
+from operator import itemgetter
 
 import duckdb
 import numpy as np
@@ -30,11 +32,11 @@ from pyspark.sql import types as T
 
 # Pieces handed to one recursive query, and from how many bytes on a piece
 # takes the query that contracts all equal pairs at once.
-PIECES_PER_QUERY = 8_000
+PIECES_PER_QUERY = 16_000
 LONG_PIECE = 256
 # Bounds on what a task holds: remembered pieces, tokens decoded at once.
 REMEMBERED_PIECES = 400_000
-TOKENS_PER_QUERY = 100_000
+TOKENS_AT_ONCE = 100_000
 
 # One contraction per piece and round. The smallest key of a piece is its
 # leftmost pair of the lowest rank; the three fields have 20 bits or more.
@@ -53,9 +55,9 @@ WITH RECURSIVE step(n, w, i, j, l, r) AS (
       FROM step t JOIN merges m ON m.l = t.l AND m.r = t.r
       GROUP BY t.w)) b
   ON s.w = b.w AND s.i <> b.i)
-SELECT s.w, list(s.l ORDER BY s.i) AS ids
+SELECT s.w, s.l
 FROM step s JOIN (SELECT w, max(n) AS n FROM step GROUP BY w) USING (w, n)
-GROUP BY s.w ORDER BY s.w
+ORDER BY s.w, s.i
 """
 
 # All pairs of the lowest rank in one round, every other one where they overlap.
@@ -89,12 +91,6 @@ FROM step s JOIN (SELECT w, max(n) AS n FROM step GROUP BY w) USING (w, n)
 ORDER BY s.w, s.i
 """
 
-_DECODE = """
-SELECT d, unhex(string_agg(v.hex, '' ORDER BY t.i)) AS bytes
-FROM tokens t JOIN vocabulary v ON v.id = t.id
-GROUP BY d ORDER BY d
-"""
-
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """Token bytes and their ranks from a rank file."""
@@ -124,17 +120,16 @@ class _Tables:
             "rank": table[:, 2],
             "single": np.array([rank in single for *_, rank in merges], dtype=bool),
         }
-        self.vocabulary = {
-            "id": pa.array(list(self.ranks.values()), pa.int32()),
-            "hex": pa.array([t.hex() for t in self.ranks], pa.string()),
-        }
+        by_id = sorted(self.ranks.items(), key=itemgetter(1))
+        self.vocabulary = pa.array([t for t, _ in by_id], pa.binary())
+        # By id the row of the vocabulary, -1 for ids outside it; the last place stands for all larger and smaller ids.
+        self.place = np.full(by_id[-1][1] + 2, -1, dtype="int32")
+        self.place[[k for _, k in by_id]] = np.arange(len(by_id), dtype="int32")
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], dtype="int32")
-        self.known = set(self.ranks.values())
 
     def __enter__(self) -> _Tables:
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         self.put("merges", **self.merges)
-        self.put("vocabulary", **self.vocabulary)
         return self
 
     def __exit__(self, *error) -> None:
@@ -148,19 +143,27 @@ class _Tables:
 
     def encode(self, pieces: list[bytes]) -> list[list[int]]:
         """The ids of each piece."""
-        out: list[list[int] | None] = [
-            None if (rank := self.ranks.get(p)) is None else [rank] for p in pieces
-        ]
-        short = [k for k, p in enumerate(pieces) if out[k] is None and len(p) < LONG_PIECE]
-        for at in range(0, len(short), PIECES_PER_QUERY):
-            some = short[at : at + PIECES_PER_QUERY]
-            self._start([pieces[k] for k in some])
-            for w, ids in self.con.execute(_SHORT).fetchall():
-                out[some[w]] = ids
-        for k, p in enumerate(pieces):
-            if out[k] is None:
-                out[k] = self._encode_long(p)
-        return out
+        sizes, ids = self.encode_flat(pieces)
+        return [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] if pieces else []
+
+    def encode_flat(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each piece, and the ids of all pieces end to end."""
+        rank = np.fromiter(map(self.ranks.get, pieces, repeat(-1)), dtype="int32", count=len(pieces))
+        at, ids = [np.flatnonzero(rank >= 0)], [rank[rank >= 0]]
+        left = np.flatnonzero(rank < 0).tolist()
+        short = [k for k in left if len(pieces[k]) < LONG_PIECE]
+        for begin in range(0, len(short), PIECES_PER_QUERY):
+            some = np.array(short[begin : begin + PIECES_PER_QUERY])
+            self._start([pieces[k] for k in some.tolist()])
+            rows = self.con.execute(_SHORT).fetchnumpy()
+            at.append(some[rows["w"]])
+            ids.append(rows["l"])
+        for k in left:
+            if len(pieces[k]) >= LONG_PIECE:
+                ids.append(np.array(self._encode_long(pieces[k]), dtype="int32"))
+                at.append(np.full(len(ids[-1]), k))
+        piece = np.concatenate(at)
+        return np.bincount(piece, minlength=len(pieces)), np.concatenate(ids)[np.argsort(piece, kind="stable")]
 
     def _start(self, pieces: list[bytes]) -> None:
         lengths = np.fromiter(map(len, pieces), dtype="int64", count=len(pieces))
@@ -183,24 +186,23 @@ class _Tables:
 
     def decode(self, offsets: np.ndarray, ids: np.ndarray) -> list[bytes]:
         """The bytes of each list of ids; ``offsets`` delimit the lists."""
-        unknown = set(np.unique(ids).tolist()) - self.known
-        if unknown:
-            raise ValueError(f"ids outside the vocabulary: {sorted(unknown)[:5]}")
+        at = self.place[np.clip(ids, -1, len(self.place) - 1)]
+        if len(at) and at.min() < 0:
+            raise ValueError(f"ids outside the vocabulary: {np.unique(ids[at < 0])[:5].tolist()}")
         count = len(offsets) - 1
         out = [b""] * count
         first = 0
         while first < count:
-            # A single document may hold more tokens than a query should take:
+            # A single document may hold more tokens than are taken at once:
             # its parts are decoded one after the other.
-            last = int(np.searchsorted(offsets, offsets[first] + TOKENS_PER_QUERY, "right")) - 1
+            last = int(np.searchsorted(offsets, offsets[first] + TOKENS_AT_ONCE, "right")) - 1
             last = min(max(last, first + 1), count)
             begin, end = int(offsets[first]), int(offsets[last])
-            for at in range(begin, end, TOKENS_PER_QUERY):
-                stop = min(end, at + TOKENS_PER_QUERY)
-                position = np.arange(at, stop)
-                document = np.searchsorted(offsets, position, "right") - 1
-                self.put("tokens", d=document, i=position, id=ids[at:stop])
-                for d, data in self.con.execute(_DECODE).fetchall():
+            for part in range(begin, end, TOKENS_AT_ONCE):
+                stop = min(end, part + TOKENS_AT_ONCE)
+                cuts = pa.array(np.clip(offsets[first : last + 1], part, stop) - part, pa.int32())
+                lists = pa.ListArray.from_arrays(cuts, self.vocabulary.take(pa.array(at[part:stop])))
+                for d, data in enumerate(pc.binary_join(lists, b"").to_pylist(), first):
                     out[d] += data
             first = last
         return out
@@ -219,20 +221,18 @@ class _Memory:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        # A new piece gets the next number when it is looked up.
+        self.number: defaultdict[str, int] = defaultdict(count().__next__)
         self.ids = np.empty(0, dtype="int32")
         self.begin = np.empty(0, dtype="int64")
         self.count = np.empty(0, dtype="int64")
 
     def learn(self, pieces: list[str]) -> None:
-        found = self.tables.encode([p.encode() for p in pieces])
-        count = np.fromiter(map(len, found), dtype="int64", count=len(found))
-        flat = np.fromiter((x for ids in found for x in ids), dtype="int32", count=int(count.sum()))
-        self.begin = np.append(self.begin, len(self.ids) + np.cumsum(count) - count)
-        self.ids = np.append(self.ids, flat)
-        self.count = np.append(self.count, count)
-        for p in pieces:
-            self.number[p] = len(self.number)
+        """Keep the ids of the pieces numbered last, in the order of their numbers."""
+        sizes, ids = self.tables.encode_flat([p.encode() for p in pieces])
+        self.begin = np.append(self.begin, len(self.ids) + np.cumsum(sizes) - sizes)
+        self.ids = np.append(self.ids, ids)
+        self.count = np.append(self.count, sizes)
 
 
 def _encoded(batch: pa.RecordBatch, memory: _Memory, pieces_of, text: str) -> Iterator[tuple[range, np.ndarray, np.ndarray]]:
@@ -243,15 +243,14 @@ def _encoded(batch: pa.RecordBatch, memory: _Memory, pieces_of, text: str) -> It
             memory.clear()
         number = memory.number
         found = [pieces_of(t) if t else [] for t in texts.slice(rows.start, len(rows)).to_pylist()]
-        new = set(chain.from_iterable(found)).difference(number)
-        if new:
-            memory.learn(list(new))
         sizes = np.fromiter(map(len, found), dtype="int64", count=len(found))
         use = np.fromiter(map(number.__getitem__, chain.from_iterable(found)), dtype="int32", count=int(sizes.sum()))
-        count = memory.count[use]
-        ends = np.cumsum(count)
+        if new := len(number) - len(memory.count):
+            memory.learn(list(islice(reversed(number), new))[::-1])
+        held = memory.count[use]
+        ends = np.cumsum(held)
         total = int(ends[-1]) if len(ends) else 0
-        ids = memory.ids[np.repeat(memory.begin[use] - (ends - count), count) + np.arange(total)]
+        ids = memory.ids[np.repeat(memory.begin[use] - (ends - held), held) + np.arange(total)]
         yield rows, np.append(0, ends)[np.append(0, np.cumsum(sizes))].astype("int32"), ids
 
 

@@ -9,6 +9,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -275,6 +276,32 @@ def test_bpe_of_odd_pieces(monkeypatch, long_piece):
         tables.decode(np.array([0, 1]), np.array([60_000], dtype="int32"))
 
 
+def test_bpe_in_few_passes(monkeypatch):
+    """Pieces of a slice take one query, a text is looked up once, and decoding takes no query at all."""
+    tables = bpe._Tables(PATH)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=tables.ranks, special_tokens={})
+    rng = random.Random(3)
+    words = [" " + "".join(rng.choice("abdeghilmnorstu") for _ in range(rng.randint(6, 12))) for _ in range(9000)]
+    queries = []
+    put = bpe._Tables.put
+    monkeypatch.setattr(bpe._Tables, "put", lambda self, name, **columns: (queries.append(name), put(self, name, **columns)))
+    texts = ["".join(words[:5000]), None, "", "".join(words[4000:]), words[0] * 30]
+    with tables:
+        memory = bpe._Memory(tables)
+        batch = pa.record_batch({"text": pa.array(texts)})
+        pieces_of = bpe.regex.compile(public_tokenizers.PATTERN).findall
+        ((rows, offsets, ids),) = bpe._encoded(batch, memory, pieces_of, "text")
+    assert queries == ["merges", "start"] and len(memory.number) == len(set(words))
+    wanted = [library.encode_ordinary(t or "") for t in texts]
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == wanted and list(rows) == [0, 1, 2, 3, 4]
+    assert tables.decode(offsets, ids) == [(t or "").encode() for t in texts]
+    monkeypatch.setattr(bpe, "TOKENS_AT_ONCE", 7)
+    assert tables.decode(offsets, ids) == [(t or "").encode() for t in texts]
+    for wrong in (-1, 60_000, 2**40):
+        with pytest.raises(ValueError):
+            tables.decode(np.array([0, 2]), np.array([5, wrong]))
+
+
 def classes(values):
     """Component of each number by comparing all pairs."""
     parent = {v: v for v in values}
