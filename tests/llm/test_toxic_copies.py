@@ -49,3 +49,27 @@ def test_the_words_searched_are_bounded(spark, monkeypatch):
     copies = toxicity.train(docs, labels).copies
     assert 0 < len(copies.ids) < len(all_ids) and set(copies.ids.tolist()) <= set(all_ids)
     assert copies.row_begin[-1] == copies.used.sum() <= 3_000
+
+
+def test_texts_reach_python_few_at_a_time(spark, monkeypatch):
+    """Whole texts in batches of 10,000 rows filled the executors; the session's setting is kept."""
+    docs, labels = queries.documents(spark, SF), table(spark, SF, "labels")
+    setting, seen, sample = "spark.sql.execution.arrow.maxRecordsPerBatch", [], toxicity._sample
+    before = spark.conf.get(setting)
+
+    def watched(*given):
+        seen.append(int(spark.conf.get(setting)))
+        return sample(*given)
+
+    monkeypatch.setattr(toxicity, "_sample", watched)
+    index = toxicity.train(docs, labels)
+    kept, scored = toxicity.keep_clean(docs, labels), toxicity.score(docs, index)
+    assert all(0 < n <= 500 for n in seen) and len(seen) == 2 and spark.conf.get(setting) == before
+    for out in (kept, scored):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" not in plan and plan.count("BatchEvalPython") == 1
+    assert kept.columns == docs.columns and scored.columns == ["doc_id", "score", "neighbours", "cosines"]
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    scores = {r.doc_id: (r.score, r.neighbours, r.cosines) for r in scored.collect()}
+    assert scores.keys() == texts.keys() and all(scores[i] == index.score(texts[i]) for i in list(texts)[:200])
+    assert {r.doc_id for r in kept.collect()} == {i for i, s in scores.items() if s[0] < toxicity.THRESHOLD}
